@@ -166,6 +166,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = N, tex
     of_length = lambda f: F.coalesce(*[F.when(F.size("win") == k, f(F.col("win"), F.lit(0), k)) for k in range(1, n + 1)])
     rows = windows.select("win", "items", of_length(_anchor).alias("anchor"), of_length(_ends).alias("ends")).limit(max_windows + 1).collect()
     marked = _spans_in_row(source, rows) if len(rows) <= max_windows else _spans_joined(source, windows)
+    # A filter on the result must not be pushed below this point: there it would be put together
+    # from the steps above by substitution and compute each of them once per word.
+    marked = marked.withColumn("hits", F.when(F.monotonically_increasing_id() >= 0, F.col("hits")))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     in_order = F.array_sort(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), (h["start"] + h["length"]).alias("end"))))
     marked = marked.withColumn("in_order", F.when(F.size("hits") > 0, in_order))
