@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import lower_words
+from .texts import Bitmap, constant, lower_words, once
 
 #: What separates words: everything in ASCII but digits and letters.
 SEPARATOR = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -39,7 +39,7 @@ def words_of(text: Column) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, *, n: int = N, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct windows: ``win`` (words), ``items`` (sorted distinct ids as strings)."""
-    cut = benchmark.select(benchmark[id_col].cast("string").alias("item"), words_of(benchmark[text_col]).alias("w")).where(F.size("w") > 0)
+    cut = benchmark.select(benchmark[id_col].cast("string").alias("item"), once(words_of(benchmark[text_col])).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
     windows = cut.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, n))).alias("win"))
     return windows.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -62,18 +62,13 @@ def _ends_at(words: Column, length: int) -> Callable[[Column], Column]:
 
 
 def _test_at(table: _Lookup) -> Callable[[Column], Column]:
-    return lambda i: table.may_start(F.get("ends", i))
+    return lambda i: table.ends.holds(F.get("ends", i))
 
 
 def _bucket_at(table: _Lookup, words: Column) -> Callable[[Column], Column]:
     return lambda i: table.bucket(words, i) != ""
 
 
-def _constant(strings: list[str], separator: str) -> Column:
-    """A constant array of strings, folded once when the query is planned."""
-    return F.split(F.lit(separator.join(strings)), separator)
-
-
 class _Lookup:
     """The windows of one length as constants: a bitmap over the first and last word, which most
     places of a corpus fail, and hash buckets of the windows with their items, which decide.
@@ -85,20 +80,12 @@ class _Lookup:
     def __init__(self, rows: list, length: int):
         self.length = length
         self.n_buckets = 1 << max(4, (2 * len(rows)).bit_length())
-        self.n_bits = 1 << max(8, (64 * len(rows)).bit_length())
-        bitmap, buckets = [0] * (self.n_bits // 64), [""] * self.n_buckets
+        buckets = [""] * self.n_buckets
         for r in rows:
-            slot = r.ends % self.n_bits
-            bitmap[slot // 64] |= 1 << (slot % 64)
             entry = " ".join(r.win) + ":" + ",".join(x.encode().hex() for x in r.items)
             buckets[r.anchor % self.n_buckets] += ("\t" if buckets[r.anchor % self.n_buckets] else "") + entry
-        self.bitmap = _constant([str(x - (1 << 64) if x >> 63 else x) for x in bitmap], ",").cast("array<bigint>")
-        self.buckets = _constant(buckets, "\n")
-
-    def may_start(self, ends: Column) -> Column:
-        """Whether the hash of a place's two words is in the bitmap."""
-        word = F.get(self.bitmap, F.call_function("shiftright", ends.bitwiseAND(F.lit(self.n_bits - 1).cast("bigint")), F.lit(6)).cast("int"))
-        return F.getbit(word, ends.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
+        self.ends = Bitmap(sorted({r.ends for r in rows}), 64)
+        self.buckets = constant(buckets, "\n")
 
     def bucket(self, words: Column, i: Column) -> Column:
         return F.get(self.buckets, _anchor(words, i, self.length).bitwiseAND(F.lit(self.n_buckets - 1).cast("bigint")).cast("int"))
@@ -166,9 +153,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = N, tex
     of_length = lambda f: F.coalesce(*[F.when(F.size("win") == k, f(F.col("win"), F.lit(0), k)) for k in range(1, n + 1)])
     rows = windows.select("win", "items", of_length(_anchor).alias("anchor"), of_length(_ends).alias("ends")).limit(max_windows + 1).collect()
     marked = _spans_in_row(source, rows) if len(rows) <= max_windows else _spans_joined(source, windows)
-    # A filter on the result must not be pushed below this point: there it would be put together
-    # from the steps above by substitution and compute each of them once per word.
-    marked = marked.withColumn("hits", F.when(F.monotonically_increasing_id() >= 0, F.col("hits")))
+    marked = marked.withColumn("hits", once(F.col("hits")))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     in_order = F.array_sort(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), (h["start"] + h["length"]).alias("end"))))
     marked = marked.withColumn("in_order", F.when(F.size("hits") > 0, in_order))

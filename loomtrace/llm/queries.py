@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import format_chats, read_chats
 from .decontamination import find_contamination
+from .license_scan import PERCENT, TEMPLATES, scan_licenses
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import quality_report
 from .token_output import read_token_files, write_token_files
+from .url_filter import filter_urls
+from .warc import page_report, write_archive
 
 #: The vocabulary of the token output; its place is looked up, nothing is copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +31,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_report(spark, write_archive(table(spark, sf_dir, "pages")))
+
+
+#: A conversation whose texts hold control strings of a common template.
+TRICKY = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    made = format_chats(turns.unionByName(spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")))
+    read = read_chats(made)
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +61,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "license", "n_shared", "n_template")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -65,6 +93,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
+_NOTICES = ", ".join("({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in kv)) for kv in sorted(TEMPLATES.items()))
+
+OP7_SQL = f"""
+WITH t AS (SELECT license, text FROM (VALUES {_NOTICES}) v(license, text)),
+src AS (SELECT 0 AS kind, license AS name, 0 AS r, text FROM t UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM documents),
+w AS (SELECT kind, name, r, list_filter(regexp_split_to_array({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM src WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT kind, name, r, array_to_string(w[i + 1:i + 5], ' ') AS sh FROM (SELECT *, unnest(range(0, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)),
+n AS (SELECT name, count(*) AS n_template FROM s WHERE kind = 0 GROUP BY name),
+m AS (SELECT d.r, t.name, count(*) AS n_shared FROM s d JOIN s t ON t.kind = 0 AND d.kind = 1 AND d.sh = t.sh GROUP BY 1, 2),
+ids AS (SELECT row_number() OVER () AS r, doc_id FROM documents)
+SELECT doc_id, name AS license, n_shared, n_template FROM m JOIN n USING (name) JOIN ids USING (r) WHERE 100 * n_shared >= {PERCENT} * n_template
+"""
+
 OP9_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -78,12 +119,25 @@ FROM d JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+#: Control strings as RE2 alternatives, with any number of backslashes after the first character.
+CONTROL = r"<\\*(\|(turn|text|more|done|im_start|im_end|endoftext)\|>|/?s>|</?SYS>>)|\[\\*/?INST\]"
+
+OP3_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+o AS (SELECT *, length(text) + len(regexp_extract_all(text, '{CONTROL}')) AS text_chars, length(role) + len(regexp_extract_all(role, '{CONTROL}')) AS role_chars, coalesce(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), true) AS first FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coalesce(CAST(sum(length(text)) FILTER (WHERE role = 'assistant') AS BIGINT), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(text_chars + CASE WHEN first THEN 24 + role_chars ELSE 8 END) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op4_quality_rules, op5_decontamination, op6_mixing, op9_near_dedup, op10_token_output)
+    own = (op1_warc, op3_chat_format, op4_quality_rules, op5_decontamination, op6_mixing, op7_license_scan, op8_url_filter, op9_near_dedup, op10_token_output)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op9_near_dedup": OP9_SQL}
+    return {"op3_chat_format": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_license_scan": OP7_SQL, "op9_near_dedup": OP9_SQL}

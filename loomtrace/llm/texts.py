@@ -57,3 +57,32 @@ def lower_words(text: Column, separator: str) -> Column:
     word = lambda w: F.when(F.lower(w) == w, w).when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
     plain = F.octet_length(text) == F.char_length(text)
     return F.filter(F.when(plain, F.split(F.lower(text), separator)).otherwise(F.transform(F.split(text, separator), word)), lambda w: w != "")
+
+
+def once(column: Column) -> Column:
+    """The same values, computed at this step alone. The optimiser pushes filters (its own, too)
+    below the steps that compute their columns, by substitution; an array that a lambda reads
+    would then be computed again for each element. It leaves what isn't deterministic in place."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
+def constant(strings: list[str], separator: str) -> Column:
+    """A constant array of strings, folded once when the query is planned."""
+    return F.split(F.lit(separator.join(strings)), separator)
+
+
+class Bitmap:
+    """A constant bitmap over hashes (the low bits count), with ``spare`` bits for each or more:
+    one membership test in ``spare`` is a false alarm."""
+
+    def __init__(self, hashes: list[int], spare: int):
+        self.n_bits = 1 << max(8, (spare * len(hashes)).bit_length())
+        words = [0] * (self.n_bits // 64)
+        for h in hashes:
+            slot = h % self.n_bits
+            words[slot // 64] |= 1 << (slot % 64)
+        self.words = constant([str(x - (1 << 64) if x >> 63 else x) for x in words], ",").cast("array<bigint>")
+
+    def holds(self, value: Column) -> Column:
+        place = F.call_function("shiftright", value.bitwiseAND(F.lit(self.n_bits - 1).cast("bigint")), F.lit(6)).cast("int")
+        return F.getbit(F.get(self.words, place), value.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
