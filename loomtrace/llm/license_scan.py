@@ -92,10 +92,11 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *,
         raise ValueError("too many templates to hold in each task; scan with parts of the list")
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("fp", F.xxhash64("text"))
     tiles = source.select("id", "fp", once(lower_words(F.col("text"), SEPARATOR)).alias("w")).select("id", "fp", once(_shingle_hashes(F.col("w"))).alias("h")).select("id", "fp", once(_windows(F.col("h"), STEP)).alias("t")).select("id", "fp", F.explode("t").alias("x")).select("id", "fp", "x.*")
-    signature = tiles.select("id", "fp", *[v.alias(f"s{b}") for b, v in enumerate(_signature(bands))])
+    signature = tiles.select("id", "fp", once(F.array(*_signature(bands))).alias("sig"))
     by_band = [[r.value for r in known if r.band == b] for b in range(bands)]
-    agrees = reduce(Column.__or__, [Bitmap(values, 2048).holds(F.col(f"s{b}")) for b, values in enumerate(by_band)])
-    near = signature.where(agrees).select("id", "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"s{b}").alias("value")) for b in range(bands)])).alias("s")).select("id", "fp", "s.*")
+    agrees = reduce(Column.__or__, [Bitmap(values, 2048).holds(F.get("sig", F.lit(b))) for b, values in enumerate(by_band)])
+    agreeing = signature.select("id", "fp", "sig", once(agrees).alias("agrees")).where("agrees")
+    near = agreeing.select("id", "fp", F.posexplode("sig").alias("band", "value"))
     nominated = near.join(F.broadcast(signed), ["band", "value"]).select("id", "fp", "license").distinct().groupBy("id", "fp").agg(F.collect_set("license").alias("licenses"))
     nominated = materialise(nominated, "license-nominated").select(F.col("id").alias("nid"), F.col("fp").alias("nfp"), "licenses")
     few = nominated.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
