@@ -1 +1 @@
-
+"""Transcript capture, retrieval and analytics on Spark."""
