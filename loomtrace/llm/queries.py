@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, read_chats
 from .decontamination import find_contamination
 from .license_scan import PERCENT, TEMPLATES, scan_licenses
+from .lm_scoring import score_documents
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import quality_report
@@ -35,6 +36,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_report(spark, write_archive(table(spark, sf_dir, "pages")))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 #: A conversation whose texts hold control strings of a common template.
 TRICKY = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -135,7 +140,7 @@ FROM o GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_warc, op3_chat_format, op4_quality_rules, op5_decontamination, op6_mixing, op7_license_scan, op8_url_filter, op9_near_dedup, op10_token_output)
+    own = (op1_warc, op2_lm_scoring, op3_chat_format, op4_quality_rules, op5_decontamination, op6_mixing, op7_license_scan, op8_url_filter, op9_near_dedup, op10_token_output)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
