@@ -86,15 +86,28 @@ def repeats(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
     if not len(suffixes):
         return twice, longest
 
-    # Ranks by the first `length` words; suffixes without an equal have ranks of their own.
+    # Ranks by the first `length` words. Those that may follow a repeat without being one are
+    # ranked along, by fewer words, so that suffixes which share these too are neighbours in the
+    # end; each of them has a rank of its own.
+    near = np.zeros(n + window + 1, bool)
+    for k in range(window + 1):
+        near[suffixes + k] = True
+    items = np.flatnonzero(near[:n])
+    ahead = [np.minimum(items + k, n - 1) for k in range(window)]
+    next_words = [np.where((items + k < n) & (doc[x] == doc[items]), words[x], -1) for k, x in enumerate(ahead)]
+    by = np.lexsort([items, *next_words[::-1], doc[items]])
+    items, next_words = items[by], [x[by] for x in next_words]
+    alike = twice[items[1:]] & twice[items[:-1]] & (doc[items[1:]] == doc[items[:-1]])
+    for x in next_words:
+        alike &= x[1:] == x[:-1]
     rank = np.arange(n, 2 * n, dtype=np.int64)
-    group = np.repeat(starts, sizes)[shared]
-    rank[suffixes] = np.flatnonzero(np.append(True, group[1:] != group[:-1]))[np.cumsum(np.append(True, group[1:] != group[:-1])) - 1]
+    rank[items] = np.maximum.accumulate(np.where(np.append(True, ~alike), np.arange(len(items)), 0))
     levels, length, open_ = [], window, suffixes
     while len(open_):
         levels.append((length, rank.copy()))
         beyond = open_ + length
-        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)], 2 * n + open_)
+        inside_doc = (beyond < n) & (doc[np.minimum(beyond, n - 1)] == doc[open_])
+        second = np.where(inside_doc, rank[np.minimum(beyond, n - 1)], 3 * n + open_)
         by = np.lexsort((second, rank[open_]))
         open_, first, second = open_[by], rank[open_][by], second[by]
         head = np.append(True, first[1:] != first[:-1])
