@@ -133,6 +133,8 @@ class _Records:
             def more(most: int = 0) -> bool:
                 """Read on; most: bytes to decode at least (0: all)."""
                 nonlocal data, left
+                if inflate.eof:
+                    return False
                 raw = inflate.unconsumed_tail
                 if not raw:
                     raw = self.source.read(min(1 << 16, left) if left is not None else 1 << 16)
