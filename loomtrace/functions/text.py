@@ -70,3 +70,8 @@ def injection_is_known_good(event: Column, source: Column) -> Column:
 def tokens(text: Column, unicode: bool = False) -> Column:
     """Lower-case words of ASCII letters and digits, or of all letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+" if unicode else "[^a-z0-9]+"), lambda t: t != "")
+
+
+def prefixed(column: Column, prefix: str, wildcards: bool = False) -> Column:
+    """begins with the prefix; with wildcards its % and _ match as in LIKE."""
+    return column.like(prefix + "%") if wildcards else column.startswith(prefix)

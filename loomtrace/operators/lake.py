@@ -106,6 +106,8 @@ class Lake:
     def register_views(self) -> None:
         for name in TABLES:
             self.table(name).createOrReplaceTempView(name)
+        # Takes any column; planned as a join with the blobs.
+        self.spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION read_blob(id STRING) RETURNS STRING RETURN (SELECT max(content) FROM blobs WHERE file_id = id)")
 
     def describe(self) -> str:
         """The tables and their columns."""

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.text import tokens
+from ..functions.text import injection_line, tokens
 
 # Parameters of BM25 as published.
 K1, B = 1.2, 0.75
@@ -115,3 +115,10 @@ def retrieve_relevant(candidates: DataFrame, supersessions: DataFrame, rerank, q
     """Rerank the candidates, flag what is superseded, compose the score, keep the k best."""
     logits = candidates.withColumn("rerank_score", rerank(F.lit(query), F.col("raw")))
     return rank_candidates(flag_superseded(logits, supersessions), now_ms, k)
+
+
+def format_injection(hits: DataFrame, header: str = "Related earlier work:") -> str | None:
+    """The k hits as a short list, best first; nothing without hits."""
+    line = injection_line(F.col("tier"), F.col("session_id"), F.col("final_score"), F.col("superseded"), F.col("raw"))
+    lines = [r.line for r in hits.orderBy(F.desc("final_score"), "id").select(line.alias("line"), "final_score", "id").collect()]
+    return "\n".join([header, *lines]) if lines else None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.engine import Engine
 from loomtrace.functions import payload as P
+from loomtrace.operators import retrieval as R
 from loomtrace.operators import sessions as SE
 from loomtrace.sources.jsonl import complete_end, project_dirs, read_history, read_session_index
 from loomtrace.streaming.capture import should_rebuild, sweep, watch
@@ -47,6 +48,8 @@ def test_every_line_is_accounted_for(engine, tmp_path):
     assert json.loads(kept.raw)["message"]["content"] == "hello" and kept.raw == line("a")
     # the long text is a blob, found again in the session
     assert engine.lake.table("blobs").count() == 1 and engine.lake.table("blob_meta").first().original_size == 150_000
+    blob = json.loads(engine.query("SELECT length(read_blob(file_id)) AS n FROM blob_meta"))
+    assert blob == [{"n": 150_000}]
     session = engine.get_session("s1").collect()
     assert len(json.loads(next(r.raw for r in session if r.uuid == "b"))["message"]["content"]) == 150_000
     meta = engine.lake.table("sessions").where("session_id = 's1'").first()
@@ -116,6 +119,9 @@ def test_retrieval_prefers_what_is_current(engine, tmp_path):
     assert [h.id for h in hits][0] == "new" and next(h for h in hits if h.id == "old").superseded
     assert "error" in json.loads(engine.query("SELECT nope FROM records"))
     assert json.loads(engine.query("SELECT count(*) AS n FROM records")) == [{"n": 3}]
+    found = engine.retrieve_relevant("zebra plan", now_ms=now)
+    text = R.format_injection(found)
+    assert text.count("\n- (primary s") == 3 and " superseded) " in text and R.format_injection(found.where("false")) is None
 
 
 def test_stream_picks_up_growth(spark, engine, tmp_path):
