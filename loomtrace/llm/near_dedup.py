@@ -8,13 +8,15 @@ agree with about the probability of the sets' Jaccard similarity.
 1. Copies: documents with equal sets form one class, and only classes go on.
 2. Bands of registers hash to buckets. A class at the wanted similarity shares a bucket with its
    partner with probability 1 - (1 - s^rows)^bands, over 0.9999 at 0.75 with the default.
-3. Stars: in each bucket all classes are compared with one centre (drawn by a hash of the bucket,
-   so centres vary), never all with all. Candidates are first estimated: the numbers of greater,
-   lesser and equal registers give the similarity's likelihood, and pairs that are clearly below
-   the limit go. The rest is confirmed on the full sets of shingles, from the texts.
-4. Rest: classes that are not in their centre's component after that are compared with the
-   bucket's classes of other components. Pairs within one component need no more evidence, so no
-   link between components is lost, and a group of many near copies costs its size, not its square.
+3. Stars: in each bucket all classes are compared with one centre, never all with all. The centre
+   is the class that shares most buckets with others, so that groups of copies agree on one.
+   Candidates are first estimated: the numbers of greater, lesser and equal registers give the
+   similarity's likelihood, and pairs that are clearly below the limit go. The rest is confirmed
+   on the full sets of shingles, from the texts.
+4. Rest: each class that is not in its centre's component after that is compared with all classes
+   of other components in its bucket, in blocks of bounded size inside a task, which gives back
+   confirmed links alone. Pairs within one component need no more evidence, so no link between
+   components is lost, and a group of many near copies costs its size, not its square.
 
 Components of classes come from alternating stars over written tables; nothing is collected.
 
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -46,7 +49,8 @@ from .texts import as_bytes, mix64, pieces
 @dataclass(frozen=True)
 class SketchSettings:
     """``percent``: similarity that links. ``base``, ``rate`` and ``limit`` are b, a and q + 1 of
-    the sketch. ``slack``: standard deviations by which an estimate may fall short."""
+    the sketch. ``slack``: standard deviations by which an estimate may fall short. ``block``:
+    classes of either side of a block, about."""
 
     shingle: int = 5
     percent: int = 75
@@ -56,6 +60,7 @@ class SketchSettings:
     rate: float = 20.0
     limit: int = 65535
     slack: float = 4.0
+    block: int = 2048
     seed: int = 7
 
     @property
@@ -185,14 +190,12 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, s: SketchSettings) -> DataFrame:
-    """The pairs (a, b) whose estimate isn't clearly below the limit; adds the id that each
-    class's text can be found by."""
-    side = classes.select("set", "n_shingles", "regs", "min_id")
-    left = side.select(F.col("set").alias("a"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a"), F.col("min_id").alias("id_a"))
-    right = side.select(F.col("set").alias("b"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("regs_b"), F.col("min_id").alias("id_b"))
+    """The pairs (a, b) whose estimate isn't clearly below the limit."""
+    side = classes.select("set", "n_shingles", "regs")
+    left = side.select(F.col("set").alias("a"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a"))
+    right = side.select(F.col("set").alias("b"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("regs_b"))
     # Sizes alone bound the similarity.
     sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b"))
-    kind = classes.schema["min_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = s.percent / 100
@@ -203,9 +206,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, s: SketchSettings) -> DataFram
                 regs = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(part.num_rows, s.size) for c in ("regs_a", "regs_b")]
                 n = [part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")]
                 found = estimate(*regs, *n, s)
-                yield part.filter(pa.array(found >= least)).select(["a", "b", "id_a", "id_b"])
+                yield part.filter(pa.array(found >= least)).select(["a", "b"])
 
-    return sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "id_a", "id_b").mapInArrow(run, f"a binary, b binary, id_a {kind}, id_b {kind}")
+    return sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a binary, b binary")
 
 
 def _shingles(text: bytes, k: int) -> set:
@@ -213,9 +216,8 @@ def _shingles(text: bytes, k: int) -> set:
     return set(zip(*(words[i:] for i in range(k)))) if len(words) >= k else {tuple(words)} if words else set()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, s: SketchSettings) -> DataFrame:
-    """The pairs that meet the limit on their full shingle sets."""
-    wanted = pairs.select(F.col("a").alias("set"), F.col("id_a").alias("id")).unionByName(pairs.select(F.col("b").alias("set"), F.col("id_b").alias("id"))).distinct()
+def _texts(wanted: DataFrame, docs: DataFrame, s: SketchSettings) -> DataFrame:
+    """wanted: set, id (of a document with that set). Returns set and text."""
     found = wanted.join(docs.select(docs.id.alias("own"), "text"), F.col("id").eqNullSafe(F.col("own"))).select("set", "text")
 
     def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +228,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, s: SketchSettings) -> DataFram
                 own = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == y for x, y in zip(sets, part.column("set").to_pylist())]
                 yield part.filter(pa.array(own, pa.bool_()))
 
-    texts = materialise(found.mapInArrow(of_class, "set binary, text string").dropDuplicates(["set"]), "near-texts")
+    return found.mapInArrow(of_class, "set binary, text string").dropDuplicates(["set"])
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, s: SketchSettings) -> DataFrame:
+    """The pairs that meet the limit on their full shingle sets."""
     left, right = texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +251,67 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, s: SketchSettings) -> DataFram
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
+def _compare_blocks(left: pd.DataFrame, right: pd.DataFrame, s: SketchSettings) -> pd.DataFrame:
+    """Confirmed links between the apart classes of a block and its other classes, as many as join
+    their components. Columns: band, set, root, apart, n_shingles, regs, text."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []})
+    regs = np.frombuffer(b"".join(right["regs"]), np.uint16).reshape(len(right), s.size)
+    sizes = right["n_shingles"].to_numpy(float)
+    j = s.percent / 100
+    least = j - s.slack * (j * (1 - j) / s.size) ** 0.5
+    parent: dict[bytes, bytes] = {}
+    hashes: dict[bytes, np.ndarray] = {}
+
+    def root(x: bytes) -> bytes:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    def members(name: bytes, text: str) -> np.ndarray:
+        if name not in hashes:
+            hashes[name] = shingle_hashes([text.encode()], s.shingle)[0]
+        return hashes[name]
+
+    names, roots, apart, texts = right["set"].tolist(), right["root"].tolist(), right["apart"].tolist(), right["text"].tolist()
+    out = []
+    for band, name, own_root, n, own_regs, text in zip(left["band"], left["set"], left["root"], left["n_shingles"], left["regs"], left["text"]):
+        own = np.frombuffer(own_regs, np.uint16)
+        fits = np.flatnonzero(np.minimum(sizes, n) >= j * np.maximum(sizes, n))
+        if not len(fits):
+            continue
+        same = regs[fits] == own
+        # A pair that shares several bands is looked at in the first of them.
+        first = same.reshape(len(fits), s.bands, s.rows).all(axis=2).argmax(axis=1) == band
+        fits = fits[first & (same.mean(axis=1) >= least - 0.1)]
+        if not len(fits):
+            continue
+        found = estimate(np.broadcast_to(own, (len(fits), s.size)), regs[fits], np.full(len(fits), float(n)), sizes[fits], s)
+        for i in fits[np.argsort(-found)][: int((found >= least).sum())].tolist():
+            if (apart[i] and names[i] <= name) or root(own_root) == root(roots[i]):
+                continue
+            x, y = members(name, text), members(names[i], texts[i])
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= s.percent * (len(x) + len(y) - both):
+                parent[root(own_root)] = root(roots[i])
+                out.append((name, names[i]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _rest(placed: DataFrame, held: DataFrame, texts: DataFrame, s: SketchSettings) -> DataFrame:
+    """Links of classes apart from their centre's component, by blocks. placed: key, band, set,
+    root, apart, and not the centres."""
+    per = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("long")).alias("m")).where("m > 0 and n > 1")
+    grid = per.select("key", F.ceil(F.col("m") / s.block).cast("long").alias("rows"), F.ceil(F.col("n") / s.block).cast("long").alias("columns"))
+    full = placed.join(grid, "key").join(held.select("set", "n_shingles", "regs"), "set").join(texts, "set").withColumn("h", F.xxhash64("set"))
+    full = materialise(full, "near-rest")
+    fields = ["band", "set", "root", "apart", "n_shingles", "regs", "text"]
+    left = full.where("apart").select("key", F.pmod("h", "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"), *fields)
+    right = full.select("key", F.pmod("h", "columns").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), *fields)
+    compare = lambda a, b: _compare_blocks(a, b, s)
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(compare, "a binary, b binary")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
@@ -257,23 +324,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = materialise(sketch(source, id_col="id", settings=s), "near-sketch")
     classes = own.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     classes = materialise(classes, "near-classes")
-    members = classes.select("set", F.explode("bands").alias("key"))
-    centre = F.min(F.struct(F.xxhash64("key", "set").alias("draw"), F.col("set").alias("centre")))
-    buckets = members.groupBy("key").agg(centre.alias("c"), F.count("*").alias("n")).where("n > 1").select("key", "c.centre", "n")
-    shared = materialise(members.join(buckets, "key"), "near-buckets")
-
-    stars = shared.select(F.col("set").alias("a"), F.col("centre").alias("b"))
-    links = materialise(_confirmed(materialise(_likely(_ordered(stars), classes, s), "near-likely"), source, s), "near-links")
+    members = classes.select("set", F.posexplode("bands").alias("band", "key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(members.join(sizes, "key"), "near-buckets")
+    # All that follows is about classes that share a bucket.
+    degree = shared.groupBy("set").agg(F.sum("n").alias("degree"))
+    held = materialise(classes.select("set", "min_id", "n_shingles", "regs").join(degree, "set"), "near-held")
+    texts = materialise(_texts(held.select("set", F.col("min_id").alias("id")), source, s), "near-texts")
+    centres = shared.join(held.select("set", "degree"), "set").groupBy("key").agg(F.max(F.struct("degree", "set")).alias("c")).select("key", F.col("c.set").alias("centre"))
+    starred = materialise(shared.join(centres, "key"), "near-stars")
+    pairs = _ordered(starred.select(F.col("set").alias("a"), F.col("centre").alias("b")))
+    links = materialise(_confirmed(materialise(_likely(pairs, held, s), "near-likely"), texts, s), "near-links")
     roots = materialise(components(links), "near-roots")
 
-    # What a star left apart, against the bucket's other components.
-    rooted = shared.where("n > 2").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    rooted = starred.where("n > 2").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     of_centre = rooted.where("set = centre").select("key", F.col("root").alias("centre_root"))
-    placed = materialise(rooted.join(of_centre, "key").where("set != centre").select("key", "set", "root", (F.col("root") != F.col("centre_root")).alias("apart")), "near-placed")
-    apart = placed.where("apart").select("key", F.col("set").alias("a"), F.col("root").alias("root_a"))
-    others = placed.select("key", F.col("set").alias("b"), F.col("root").alias("root_b"), F.col("apart").alias("apart_b"))
-    rest = apart.join(others, "key").where("root_a != root_b and (not apart_b or a < b)").select("a", "b")
-    late = materialise(_confirmed(materialise(_likely(_ordered(rest), classes, s), "near-likely"), source, s), "near-links")
+    placed = materialise(rooted.where("set != centre").join(of_centre, "key").select("key", "band", "set", "root", (F.col("root") != F.col("centre_root")).alias("apart")), "near-placed")
+    late = materialise(_rest(placed, held, texts, s), "near-links")
     if not late.isEmpty():
         roots = components(links.unionByName(late))
     groups = classes.select("set", "min_id").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("set", "min_id", F.coalesce("root", "set").alias("root"))
