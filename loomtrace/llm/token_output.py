@@ -20,11 +20,11 @@ are all kept, next to each other. An empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -155,22 +155,57 @@ def decode_document(data: bytes, at: int) -> np.ndarray:
 # ---- encoding ----------------------------------------------------------------------------
 
 
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
+
+
 class Encoder:
     """Texts to ids as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str, word_local: bool, cached_words: int = 700_000, cached_bytes: int = 48, probes: int = 3):
+    def __init__(self, path: str, word_local: bool, cached_words: int = 400_000, cached_bytes: int = 48, probes: int = 3):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.word_local, self.cached_words, self.cached_bytes, self.probes = word_local, cached_words, cached_bytes, probes
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         own = [(i, x) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.normalized or x.lstrip or x.rstrip or x.single_word)]
         self.mark = min(own, key=lambda x: x[0], default=None) and (min(own, key=lambda x: x[0])[0], min(own, key=lambda x: x[0])[1].content)
 
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+        self.tails: dict[str, bytes] = {"": b""}
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: list[bytes]) -> list[bytes]:
+        """Words of lower-case Latin letters are one piece each to a tokenizer that marks word ends,
+        so many go into one call and are told apart by these marks; ASCII punctuation behind them
+        is a piece of its own. All other words are told apart by a special token."""
+        if not self.word_local or self.ends is None:
+            return self.marked(words)
+        texts = [x.decode() for x in words]
+        shapes = [_PLAIN.fullmatch(x) for x in texts]
+        cores = list({m[1] for m in shapes if m})
+        known: dict[str, bytes] = {}
+        for i in range(0, len(cores), 4000):
+            part = cores[i : i + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) == len(part) and stops[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+        odd = list({m[2] for m in shapes if m and m[2] not in self.tails})
+        self.tails.update(zip(odd, self.marked([x.encode() for x in odd])))
+        rest = [w for w, m in zip(words, shapes) if not m or m[1] not in known]
+        other = dict(zip(rest, self.marked(rest)))
+        return [known[m[1]] + self.tails[m[2]] if m and m[1] in known else other[w] for w, m in zip(words, shapes)]
+
+    def marked(self, words: list[bytes]) -> list[bytes]:
         """Many words in one call, told apart by a special token none of them holds."""
         if self.mark is None:
             return self.whole([x.decode() for x in words])
@@ -192,17 +227,15 @@ class Encoder:
         if not self.word_local:
             return self.whole([x.decode() for x in texts])
         split = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        if len(self.cache) > self.cached_words:
-            self.cache.clear()
-        cache = self.cache
-        new = list(set(chain.from_iterable(split)) - cache.keys())
-        kept = dict(zip(new, self.words(new)))
-        short = {k: v for k, v in kept.items() if len(k) <= self.cached_bytes}
-        cache.update(short)
-        if len(short) < len(kept):
-            out = [b"".join([cache[w] if w in cache else kept[w] for w in ws]) for ws in split]
-        else:
-            out = [b"".join([cache[w] for w in ws]) for ws in split]
+        if len(self.cache) > self.cached_words:  # words that come again are taken over below
+            self.older, self.cache = self.cache, {}
+        found = [list(map(self.cache.get, ws)) for ws in split]
+        missing = {w for ws, ids in zip(split, found) if None in ids for w, x in zip(ws, ids) if x is None}
+        known = {w: x for w in missing if (x := self.older.get(w)) is not None}
+        new = list(missing - known.keys())
+        known.update(zip(new, self.words(new)))
+        self.cache.update((w, x) for w, x in known.items() if len(w) <= self.cached_bytes)
+        out = [b"".join([known[w] if x is None else x for w, x in zip(ws, ids)] if None in ids else ids) for ws, ids in zip(split, found)]
         for i in range(min(self.probes, len(texts))):
             if len(texts[i]) < 10_000 and out[i] != self.whole([texts[i].decode()])[0]:
                 raise ValueError("this tokenizer does not encode words on their own; set word_local=False")
