@@ -7,6 +7,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 DIMENSIONS = 384
 
 
+@lru_cache(maxsize=100_000)
+def _hash(gram: str) -> int:
+    return int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 class HashEmbedder:
     """Texts to unit vectors; equal texts get equal vectors, no texts an empty list."""
 
@@ -27,7 +33,7 @@ class HashEmbedder:
         out = [0.0] * self.dimensions
         padded = f"  {text.lower()}  "
         for i in range(len(padded) - 2):
-            h = int.from_bytes(hashlib.blake2b(padded[i : i + 3].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            h = _hash(padded[i : i + 3])
             out[h % self.dimensions] += 1.0 if h >> 63 else -1.0
         norm = math.sqrt(sum(x * x for x in out)) or 1.0
         return [x / norm for x in out]

@@ -76,12 +76,17 @@ def fuse(rankings: DataFrame, k_const: int = S.RRF_K) -> DataFrame:
     return rankings.groupBy("id").agg(F.sum(1 / (k_const + F.col("rank"))).alias("fused_score"), F.min(F.struct("arm", "rank")).alias("first"))
 
 
+def _settled(hits: DataFrame) -> DataFrame:
+    """A top k as a local table: at most k rows, computed once although several steps read them."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
 def retrieve_candidates(records: DataFrame, record_embeddings: DataFrame, record_fts: DataFrame, summaries: DataFrame, summary_embeddings: DataFrame, query: str, vector: Sequence[float], k: int = 20) -> DataFrame:
     """Three arms, fused; the k best with tier, distances and payload. Embeddings whose row is
     gone drop out before the cut."""
-    near = vector_top_k(record_embeddings.join(records.select("uuid"), "uuid", "left_semi"), vector, k)
-    lexical = lexical_top_k(record_fts.join(records.select("uuid"), "uuid", "left_semi"), query, k)
-    summary = vector_top_k(summary_embeddings.join(summaries.select("summary_id"), "summary_id", "left_semi"), vector, k, id_col="summary_id")
+    near = _settled(vector_top_k(record_embeddings.join(records.select("uuid"), "uuid", "left_semi"), vector, k))
+    lexical = _settled(lexical_top_k(record_fts.join(records.select("uuid"), "uuid", "left_semi"), query, k))
+    summary = _settled(vector_top_k(summary_embeddings.join(summaries.select("summary_id"), "summary_id", "left_semi"), vector, k, id_col="summary_id"))
     arms = ranked(near, ["distance", "uuid"], 0).unionByName(ranked(lexical, [F.desc("score"), "uuid"], 1)).unionByName(ranked(summary, ["distance", "summary_id"], 2, "summary_id"))
     fused = fuse(arms).withColumn("tier", F.when(F.col("first.arm") == 2, "summary").otherwise("primary"))
     top = fused.orderBy(F.desc("fused_score"), "first").limit(k)
@@ -113,7 +118,7 @@ def rank_candidates(candidates: DataFrame, now_ms: int, k: int | None = None, ha
 
 def retrieve_relevant(candidates: DataFrame, supersessions: DataFrame, rerank, query: str, now_ms: int, k: int = 10) -> DataFrame:
     """Rerank the candidates, flag what is superseded, compose the score, keep the k best."""
-    logits = candidates.withColumn("rerank_score", rerank(F.lit(query), F.col("raw")))
+    logits = _settled(candidates.withColumn("rerank_score", rerank(F.lit(query), F.col("raw"))))
     return rank_candidates(flag_superseded(logits, supersessions), now_ms, k)
 
 
