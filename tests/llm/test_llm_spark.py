@@ -223,6 +223,19 @@ def test_language_model(docs, empty):
     assert lm_scoring.score_documents(empty, Q.tokenizer_path(), settings=settings).count() == 0
 
 
+def test_a_second_corpus_is_scored_by_its_own_counts(spark):
+    """Two corpora in one session, whose workers are the same."""
+    settings = lm_scoring.ModelSettings(hot=3, pairs=10, sample_docs=20, steps=5, classes=4, width=4)
+    for texts in (["aa bb aa cc aa"] * 12, ["aa dd", *["dd bb ee dd"] * 11]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        train = [w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in (*t.split(), None)]
+        n, v = len(train), len(set(train))
+        for r in lm_scoring.score_documents(docs, Q.tokenizer_path(), settings=settings).collect():
+            words = [*texts[r.doc_id].split(), None]
+            assert r.n_known == sum(w in train for w in words)
+            assert r.base_score == pytest.approx(sum(np.log10((train.count(w) + 1) / (n + v + 1)) for w in words))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_queries_against_sql(spark, name):
