@@ -12,7 +12,8 @@ no trace in the result.
 
 A tokenizer that drops white space encodes each white-space separated word on its own, so one
 encoding per distinct word and worker is enough (``word_local``; checked against whole texts for
-the first ones of each task). Cached words are bounded in number and length.
+the first ones of each worker). Words that are ASCII throughout are lower-cased before, all others go
+to the tokenizer as they are. Cached words are bounded in number and length.
 
 Cases: null texts count as empty (the end id alone); documents without id come first; equal ids
 are all kept, next to each other. An empty table gives no files and no rows.
@@ -226,7 +227,9 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.word_local:
             return self.whole([x.decode() for x in texts])
-        split = [(x if b"<|" in x else x.lower()).split() for x in texts]
+        # Lower-cased for the cache. A capital before a combining mark isn't the tokenizer's lower
+        # case of it, so only ASCII words are.
+        split = [x.split() if b"<|" in x else x.lower().split() if x.isascii() else [w.lower() if w.isascii() else w for w in x.split()] for x in texts]
         if len(self.cache) > self.cached_words:  # words that come again are taken over below
             self.older, self.cache = self.cache, {}
         found = [list(map(self.cache.get, ws)) for ws in split]

@@ -80,6 +80,13 @@ def test_word_local_encoding_is_the_tokenizers():
     assert encoder.encode([t.encode() for t in texts]) == whole.encode([t.encode() for t in texts])
 
 
+def test_capitals_with_combining_marks_keep_their_ids():
+    texts = ["T\u0308ag und Nacht", "plain J\u030cam", "H\u0331 W\u030a X", "\u00c9T\u0308 \u0130 T\u0308,"]
+    encoder, whole = T.Encoder(tokenizer_path(), True, probes=0), T.Encoder(tokenizer_path(), False)
+    for _ in range(2):  # new and cached
+        assert encoder.encode([t.encode() for t in texts]) == whole.encode([t.encode() for t in texts])
+
+
 @pytest.mark.parametrize("zipped", [True, False])
 @pytest.mark.parametrize("plain_gzip", [True, False])
 def test_warc_records(zipped, plain_gzip):
