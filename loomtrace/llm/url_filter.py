@@ -4,8 +4,10 @@ DataFrame expressions only.
 A rule is a host and the start of a path. It fits its host and all subdomains; of the rules that
 fit, the longest decides. Urls that no rule fits are judged by their host: personalised PageRank
 spreads trust from hosts that rules allow along their links, and distrust from hosts that rules
-block against the direction of links (who links to a bad host is suspect). A host is blocked if
-its distrust exceeds ``ratio`` times its trust and the share a host would get by chance.
+block against the direction of links (who links to a bad host is suspect). Each host that rules
+judge is one seed, split by its own blocked and allowed pages, however many they are. A host is
+blocked if its distrust exceeds ``ratio`` times its trust and, unless rules block pages of its own,
+the share a host would get by chance.
 
 Links are the absolute links of the pages' html, summed per pair of hosts before anything is
 joined. Mass that dangling hosts lose is scaled back at the end, which is the same as returning
@@ -78,14 +80,15 @@ def host_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
 
 
 def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """links: src, dst, n. seeds: host, allowed, blocked (pages). Returns host, trust, distrust;
-    each sums to 1 over all hosts (or is 0 without seeds)."""
+    """links: src, dst, n. seeds: host, allowed, blocked (pages; their shares of the host count).
+    Returns host, trust, distrust; each sums to 1 over all hosts (or is 0 without seeds)."""
     forward = links.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n")
     backward = links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n")
     edges = forward.unionByName(backward)
     total = edges.groupBy("kind", "a").agg(F.sum("n").alias("total"))
     edges = materialise(edges.join(total, ["kind", "a"]).select("kind", F.col("a").alias("host"), "b", (F.col("n") / F.col("total")).alias("w")), "host-edges")
-    long = seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("n")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("n")))).alias("s")).select("host", "s.*").where("n > 0")
+    ruled = F.col("allowed") + F.col("blocked")
+    long = seeds.where(ruled > 0).select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), (F.col("allowed") / ruled).alias("n")), F.struct(F.lit("distrust").alias("kind"), (F.col("blocked") / ruled).alias("n")))).alias("s")).select("host", "s.*").where("n > 0")
     sums = long.groupBy("kind").agg(F.sum("n").alias("total"))
     start = materialise(long.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed")), "host-seeds")
     base = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("r"))
@@ -106,9 +109,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, i
     hosts = materialise(hosts, "hosts")
     links = materialise(host_links(pages, url_col=url_col, html_col=html_col), "host-links")
     every = hosts.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct().count()
-    scores = propagate(links, hosts, damping=damping, rounds=rounds).select(F.col("host").alias("scored"), "trust", "distrust")
+    own = hosts.select("host", (F.col("blocked") > 0).alias("seed"))
+    scores = propagate(links, hosts, damping=damping, rounds=rounds).join(own, "host", "left").select(F.col("host").alias("scored"), "trust", "distrust", "seed")
     joined = judged.join(scores, F.col("host") == F.col("scored"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    bad = (distrust > ratio * trust) & (distrust > 1.0 / max(1, every))
+    bad = (distrust > ratio * trust) & (F.coalesce("seed", F.lit(False)) | (distrust > 1.0 / max(1, every)))
     verdict = F.coalesce("rule_verdict", F.when(bad, "block").otherwise("allow"))
     return joined.select(id_col, "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

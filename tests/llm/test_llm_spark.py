@@ -206,6 +206,14 @@ def test_distrust_spreads_to_those_who_link(spark):
     assert got[2].verdict == "block" and got[4].verdict == "allow" and got[4].trust > 0 and got[2].distrust > 0
 
 
+@pytest.mark.parametrize("hot", [1, 40])
+def test_a_hot_blocked_host_hides_no_other(spark, hot):
+    """Verdicts of other hosts don't follow the number of pages of one."""
+    urls = [f"http://hot.net/es/{i}" for i in range(hot)] + ["http://small.net/es/1", "http://small.net/de/1", "http://mixed.com/1", "http://plain.org/"]
+    got = {r.path + r.host: r.verdict for r in url_filter.filter_urls(spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")).collect()}
+    assert (got["/de/1small.net"], got["/1mixed.com"], got["/plain.org"]) == ("block", "allow", "allow")
+
+
 def test_language_model(docs, empty):
     settings = lm_scoring.ModelSettings(hot=3, pairs=10, sample_docs=20, steps=5, classes=4, width=4)
     got = {(r.doc_id, r.n_tokens): r for r in lm_scoring.score_documents(docs, Q.tokenizer_path(), settings=settings).collect()}
