@@ -1,12 +1,15 @@
 """License scan with MinHash over text windows (operator 7). DataFrame expressions only.
 
 Texts are cut into words, words into 5-word shingles, shingles into overlapping windows of four,
-two apart. A window's signature has ``bands`` values of one row each: the least of its shingle
-hashes under different XOR masks. Templates are cut into windows at every offset. A shared shingle
-lies in two windows and makes a quarter of each, so it is missed with probability
-(3/4)^(2 * bands), about 1e-6 with 24 bands, and a template with several shared shingles less
-often still. Windows that agree with a template in some band nominate (document, template), and
-the templates' distinct shingles in the full text decide: a match has at least ``percent`` of them.
+two apart, reaching over both ends of the text, so that every shingle lies in two. A window's
+signature has ``bands`` values of one row each: the least of its shingle hashes, mixed anew for each
+band. Templates are cut into windows at every offset. Windows that hold no shingle of a template
+cannot agree with one and are dropped first, by a bitmap of the templates' shingle hashes. Windows
+that agree with a template in some band nominate (document, template). A shared shingle makes a
+quarter of each of its windows, so it is missed with probability (3/4)^(2 * bands), about 1e-6 with
+24 bands, where all of the window is shared. Templates of up to ``FEW`` shingles have little more
+than one to be found by, so any of their shingles nominates them; they are never missed. The
+templates' distinct shingles in the full text decide: a match has at least ``percent`` of them.
 
 The windows are rows while they are compared, but hold four hashes and the document's key only.
 Templates are a list given by the caller, of at most ``MAX_TEMPLATE_WINDOWS`` windows, so their
@@ -23,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ SHINGLE = 5
 WINDOW = 4
 STEP = 2
 BANDS = 24
+#: Templates of so many shingles are nominated by each of them.
+FEW = 8
 PERCENT = 75
 MAX_TEMPLATE_WINDOWS = 20_000
 #: Nominations (about 40 bytes each) that may be broadcast.
@@ -69,15 +73,15 @@ def _shingles(words: Column) -> Column:
 
 
 def _windows(hashes: Column, step: int) -> Column:
-    """Windows as structs h0 to h3; short texts and last windows repeat their last shingle."""
+    """Windows as structs h0 to h3, from the first to the last that holds a shingle; those that
+    reach over an end repeat the shingle there."""
     last = F.size(hashes) - 1
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last - (WINDOW - step), F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(*[F.get(hashes, F.least(s + k, last)).alias(f"h{k}") for k in range(WINDOW)]))
+    starts = F.when(last >= 0, F.sequence(F.lit(step - WINDOW), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: F.struct(*[F.get(hashes, F.greatest(F.least(s + k, last), F.lit(0))).alias(f"h{k}") for k in range(WINDOW)]))
 
 
 def _signature(bands: int) -> list[Column]:
-    masks = np.random.default_rng(11).integers(-(1 << 63), 1 << 63, bands, np.int64).tolist()
-    return [F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(m).cast("bigint")) for k in range(WINDOW)]) for m in masks]
+    return [F.least(*[F.xxhash64(F.col(f"h{k}"), F.lit(b)) for k in range(WINDOW)]) for b in range(bands)]
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, percent: int = PERCENT) -> DataFrame:
@@ -92,12 +96,15 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *,
         raise ValueError("too many templates to hold in each task; scan with parts of the list")
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("fp", F.xxhash64("text"))
     tiles = source.select("id", "fp", once(lower_words(F.col("text"), SEPARATOR)).alias("w")).select("id", "fp", once(_shingle_hashes(F.col("w"))).alias("h")).select("id", "fp", once(_windows(F.col("h"), STEP)).alias("t")).select("id", "fp", F.explode("t").alias("x")).select("id", "fp", "x.*")
-    signature = tiles.select("id", "fp", once(F.array(*_signature(bands))).alias("sig"))
-    by_band = [[r.value for r in known if r.band == b] for b in range(bands)]
-    agrees = reduce(Column.__or__, [Bitmap(values, 2048).holds(F.get("sig", F.lit(b))) for b, values in enumerate(by_band)])
-    agreeing = signature.select("id", "fp", "sig", once(agrees).alias("agrees")).where("agrees")
-    near = agreeing.select("id", "fp", F.posexplode("sig").alias("band", "value"))
-    nominated = near.join(F.broadcast(signed), ["band", "value"]).select("id", "fp", "license").distinct().groupBy("id", "fp").agg(F.collect_set("license").alias("licenses"))
+    hashes = names.select("license", F.explode(F.array_distinct(_shingle_hashes(F.col("w")))).alias("h"))
+    shingles = Bitmap([r.h for r in hashes.select("h").distinct().collect()], 2048)
+    parts = [F.col(f"h{k}") for k in range(WINDOW)]
+    near = materialise(tiles.where(reduce(Column.__or__, [shingles.holds(h) for h in parts])), "license-windows")
+    signature = near.select("id", "fp", F.posexplode(F.array(*_signature(bands))).alias("band", "value"))
+    by_band = signature.join(F.broadcast(signed), ["band", "value"]).select("id", "fp", "license")
+    short = hashes.groupBy("license").agg(F.collect_set("h").alias("hs")).where(F.size("hs") <= FEW).select("license", F.explode("hs").alias("h"))
+    by_shingle = near.select("id", "fp", F.explode(F.array(*parts)).alias("h")).join(F.broadcast(short), "h").select("id", "fp", "license")
+    nominated = by_band.unionByName(by_shingle).distinct().groupBy("id", "fp").agg(F.collect_set("license").alias("licenses"))
     nominated = materialise(nominated, "license-nominated").select(F.col("id").alias("nid"), F.col("fp").alias("nfp"), "licenses")
     few = nominated.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     joined = source.join(F.broadcast(nominated) if few else nominated, F.col("id").eqNullSafe(F.col("nid")) & (F.col("fp") == F.col("nfp")))

@@ -187,6 +187,15 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0 and license_scan.scan_licenses(docs, {}).count() == 0
 
 
+def test_no_short_notice_is_lost_at_the_ends_of_texts(spark):
+    n, notices = 6000, {f"n{i}": f"a{i} b{i} c{i} d{i} e{i}" for i in range(100)}
+    notice = F.concat_ws(" ", *[F.concat(F.lit(c), (F.col("doc_id") % 100).cast("string")) for c in "abcde"])
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.hex(F.xxhash64("doc_id", i))), " ")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), words.alias("w")).select("doc_id", F.when(F.col("doc_id") % 200 < 100, F.concat_ws(" ", notice, "w")).otherwise(F.concat_ws(" ", "w", notice)).alias("text"))
+    got = license_scan.scan_licenses(docs, notices).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(i, f"n{i % 100}") for i in range(n)]
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.com/en/x", "https://www.example.com/en/?q", "x://example.com", "http://b.net/es/", "http://b.net/de/", "http://c.org/a#b", None, "nope", "http://example.com/en", "://com/p?x"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").withColumn("rule", F.lit(0))
