@@ -240,6 +240,26 @@ def test_language_model(docs, empty):
     assert lm_scoring.score_documents(empty, Q.tokenizer_path(), settings=settings).count() == 0
 
 
+def test_scores_do_not_depend_on_the_broadcast_tables(spark):
+    rng = np.random.default_rng(2)
+    parts = ["ba", "ke", "lor", "min", "zu", "tra"]
+    texts = [" ".join("".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(30)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    small, large = (lm_scoring.score_documents(docs, Q.tokenizer_path(), settings=lm_scoring.ModelSettings(hot=h, pairs=p, sample_docs=20, steps=5, classes=4, width=4)).select("doc_id", "score").orderBy("doc_id").collect() for h, p in ((3, 5), (10**6, 10**6)))
+    assert [r.score for r in small] == pytest.approx([r.score for r in large], abs=1e-6)
+
+
+def test_attention_is_fitted_to_all_documents(spark):
+    settings = lm_scoring.ModelSettings(sample_docs=5, steps=5, classes=4, width=4)
+    ids = spark.range(40).select(F.col("id").alias("doc_id"))
+    order = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id", F.lit(settings.seed))).collect()]
+    weights = []
+    for other in ("aa bb cc dd " * 9, "dd aa cc bb " * 9):
+        rows = [(i, f"aa bb dd cc {'aa cc ' * (k + 3)}" if k < 5 else other) for k, i in enumerate(order)]
+        weights.append(lm_scoring.train(spark.createDataFrame(rows, "doc_id long, text string"), Q.tokenizer_path(), settings)[0].attention.w)
+    assert any(not np.allclose(weights[0][n], weights[1][n], atol=1e-4) for n in weights[0])
+
+
 def test_a_second_corpus_is_scored_by_its_own_counts(spark):
     """Two corpora in one session, whose workers are the same."""
     settings = lm_scoring.ModelSettings(hot=3, pairs=10, sample_docs=20, steps=5, classes=4, width=4)
