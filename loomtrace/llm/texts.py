@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,60 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+_BLANKS = bytes(0x20 if 9 <= x <= 13 else x for x in range(256))
+
+
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts end to end as numbers: the distinct words, each word's number among
+    them, and how many words each text has."""
+    lists = pc.split_pattern(pa.array([x.translate(_BLANKS) for x in texts], pa.binary()), b" ")
+    coded = lists.flatten().dictionary_encode()
+    words, index = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy().astype(np.int64)
+    ends = lists.offsets.to_numpy()
+    blank = pc.index(coded.dictionary, pa.scalar(b"", coded.dictionary.type)).as_py()
+    if blank >= 0:  # between two separators
+        real = index != blank
+        ends = np.append(0, np.cumsum(real))[ends]
+        index = index[real]
+        index[index > blank] -= 1
+        words = np.delete(words, blank)
+    return words, index, np.diff(ends).astype(np.int64)
+
+
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def caches(owner: str, clear: Callable[[], None]) -> None:
+    """Name what drops the words that an operator's tasks keep in a worker for its next task."""
+    _CACHES[owner] = clear
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def working(owner: str, run: Callable) -> Callable:
+    """``run`` over a task's batches. Workers go from one operator to the next, so what others
+    keep is dropped before, and memory that is free goes back to the system after."""
+
+    def task(batches: Iterator) -> Iterator:
+        for name, clear in _CACHES.items():
+            if name != owner:
+                clear()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, in place (uint64)."""
     x ^= x >> np.uint64(33)

@@ -11,9 +11,9 @@ Files get names of their own and count only once the manifest lists them: a retr
 no trace in the result.
 
 A tokenizer that drops white space encodes each white-space separated word on its own, so one
-encoding per distinct word and worker is enough (``word_local``; checked against whole texts for
-the first ones of each worker). Words that are ASCII throughout are lower-cased before, all others go
-to the tokenizer as they are. Cached words are bounded in number and length.
+encoding per distinct word and worker is enough (``word_local``; each task checks the first texts
+of its first piece against encoding them whole). Words are lower-cased before where that changes
+nothing. The words that a worker holds are bounded in number and bytes.
 
 Cases: null texts count as empty (the end id alone); documents without id come first; equal ids
 are all kept, next to each other. An empty table gives no files and no rows.
@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import filesystem, materialise, new_folder, write_bytes
-from .texts import as_bytes, pieces
+from .texts import as_bytes, caches, numbered, pieces, working
 
 BLOCK = 1024
 MAGIC = b"PFORIDS1"
 #: Share of a block's differences that must fit into the packed width.
 PERCENTILE = 0.9
-#: Ids of a file, unless one document alone has more.
+#: Ids of a file, about; a piece of texts (2 MB, or one text) stays together.
 FILE_IDS = 4 << 20
 
 
@@ -156,19 +156,30 @@ def decode_document(data: bytes, at: int) -> np.ndarray:
 # ---- encoding ----------------------------------------------------------------------------
 
 
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
+#: Lower-case Latin letters, then ASCII punctuation: one piece of each to the tokenizer.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte. Printable
+    Latin-1 characters stand for themselves, all others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(256) if x not in own]
+    return {x: chr(x) for x in own} | {x: chr(256 + i) for i, x in enumerate(rest) if x != 0x20}
 
 
 class Encoder:
-    """Texts to ids as little-endian 32-bit bytes."""
+    """Texts to ids. With ``word_local`` each distinct word is encoded once and numbered; a text is
+    then the numbers of its words, and its ids are gathered from one array by these numbers.
+
+    At most ``most_words`` words of ``most_bytes`` in all stay from one call to the next; beyond
+    that, those that came but once go first."""
 
-    def __init__(self, path: str, word_local: bool, cached_words: int = 400_000, cached_bytes: int = 48, probes: int = 3):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, word_local: bool, most_words: int = 400_000, most_bytes: int = 16 << 20):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.word_local, self.cached_words, self.cached_bytes, self.probes = word_local, cached_words, cached_bytes, probes
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.word_local, self.most_words, self.most_bytes = word_local, most_words, most_bytes
         own = [(i, x) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.normalized or x.lstrip or x.rstrip or x.single_word)]
         self.mark = min(own, key=lambda x: x[0], default=None) and (min(own, key=lambda x: x[0])[0], min(own, key=lambda x: x[0])[1].content)
 
@@ -178,7 +189,17 @@ class Encoder:
         if suffix:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+            # The vocabulary and its merges alone, for words that need no normalising.
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+            self.letters = _byte_letters()
         self.tails: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids, self.ends_at, self.seen, self.held_bytes = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
+        self.tails = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -195,7 +216,8 @@ class Encoder:
         known: dict[str, bytes] = {}
         for i in range(0, len(cores), 4000):
             part = cores[i : i + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            spelled = " ".join(part).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.bare.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
             stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) == len(part) and stops[-1] == 4 * len(ids):
                 raw = ids.tobytes()
@@ -224,38 +246,81 @@ class Encoder:
             out += self.whole(part)
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def folded(self, text: bytes) -> bytes:
+        """Lower-cased where that is what the tokenizer does first, so that fewer words are
+        distinct. Beyond Latin-1 a capital before a combining mark isn't the tokenizer's lower case
+        of it, so there only ASCII words are."""
+        if b"<|" in text:
+            return text
+        if text.isascii():
+            return text.lower()
+        if not self.beyond(text):
+            return text.decode().lower().encode()
+        return b" ".join([w.lower() if w.isascii() else w for w in text.split()])
+
+    #: First bytes of characters beyond U+00FF.
+    beyond = staticmethod(re.compile(rb"[\xC4-\xFF]").search)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has."""
         if not self.word_local:
-            return self.whole([x.decode() for x in texts])
-        # Lower-cased for the cache. A capital before a combining mark isn't the tokenizer's lower
-        # case of it, so only ASCII words are.
-        split = [x.split() if b"<|" in x else x.lower().split() if x.isascii() else [w.lower() if w.isascii() else w for w in x.split()] for x in texts]
-        if len(self.cache) > self.cached_words:  # words that come again are taken over below
-            self.older, self.cache = self.cache, {}
-        found = [list(map(self.cache.get, ws)) for ws in split]
-        missing = {w for ws, ids in zip(split, found) if None in ids for w, x in zip(ws, ids) if x is None}
-        known = {w: x for w in missing if (x := self.older.get(w)) is not None}
-        new = list(missing - known.keys())
-        known.update(zip(new, self.words(new)))
-        self.cache.update((w, x) for w, x in known.items() if len(w) <= self.cached_bytes)
-        out = [b"".join([known[w] if x is None else x for w, x in zip(ws, ids)] if None in ids else ids) for ws, ids in zip(split, found)]
-        for i in range(min(self.probes, len(texts))):
-            if len(texts[i]) < 10_000 and out[i] != self.whole([texts[i].decode()])[0]:
+            own = self.whole([x.decode() for x in texts])
+            return np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own], np.int64)
+        if len(self.number) > self.most_words or self.held_bytes > self.most_bytes:
+            self._shrink()
+        number = self.number
+        names, index, counts = numbered([self.folded(x) for x in texts])
+        new = [w for w in names.tolist() if w not in number]
+        number.update(zip(new, range(len(number), len(number) + len(new))))
+        self.held_bytes += sum(map(len, new))
+        spelled = self.words(new)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(spelled), "<u4")])
+        self.ends_at = np.concatenate([self.ends_at, self.ends_at[-1] + np.cumsum([len(x) // 4 for x in spelled], dtype=np.int64)])
+        place = np.array([number[w] for w in names.tolist()], np.int64)
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.seen[place] += np.bincount(index, minlength=len(place))
+        words = place[index]
+        starts, sizes = self.ends_at[words], np.diff(self.ends_at)[words]
+        before = np.cumsum(sizes) - sizes
+        out = self.ids[np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)]
+        total = np.append(0, np.cumsum(sizes))
+        ends = np.cumsum(counts)
+        return out, total[ends] - total[ends - counts]
+
+    def _shrink(self) -> None:
+        """Keep words that came more than once, the most frequent up to half of what may stay."""
+        names = np.array(list(self.number), object)
+        order = np.argsort(-self.seen, kind="stable")[: self.most_words // 2]
+        kept = order[self.seen[order] > 1]
+        size = np.cumsum([len(x) for x in names[kept]])
+        kept = np.sort(kept[size <= self.most_bytes // 2]) if len(kept) else kept
+        sizes = np.diff(self.ends_at)[kept]
+        before = np.cumsum(sizes) - sizes
+        self.ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.ends_at[kept] - before, sizes)]
+        self.ends_at, self.seen = np.append(0, np.cumsum(sizes)), self.seen[kept] // 2
+        self.number = dict(zip(names[kept].tolist(), range(len(kept))))
+        self.held_bytes = sum(map(len, self.number))
+
+    def probe(self, texts: list[bytes]) -> None:
+        """Are these texts encoded word by word as they are as a whole?"""
+        ids, lengths = self.encode(texts)
+        for x, part in zip(texts, np.split(ids, np.cumsum(lengths)[:-1])):
+            if part.tobytes() != self.whole([x.decode()])[0]:
                 raise ValueError("this tokenizer does not encode words on their own; set word_local=False")
-            self.probes -= 1
-        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, word_local: bool) -> Encoder:
-    """One per Python worker, with its cache."""
+    """One per Python worker, with its words; other operators' tasks drop it."""
     if (path, word_local) not in _ENCODERS:
         _ENCODERS[path, word_local] = Encoder(path, word_local)
     return _ENCODERS[path, word_local]
 
 
+caches("tokens", _ENCODERS.clear)
+
 # ---- writing and reading -----------------------------------------------------------------
 
 MANIFEST = "part long, seq long, path string, before long, n_docs long, n_tokens long"
@@ -267,40 +332,46 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id"
 
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-ids")
-    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         names: list[int | None] = []
-        size = 0
+        size, probed = 0, not word_local
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, before, size
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
             path = f"{folder}/part-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.ids"
-            write_bytes(path, encode_file(np.frombuffer(b"".join(ids), "<u4"), names, lengths))
+            write_bytes(path, encode_file(np.concatenate(ids), names, np.concatenate(lengths)))
             row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "before": [before], "n_docs": [len(names)], "n_tokens": [size]})
             seq, before, size = seq + 1, before + size, 0
-            ids.clear()
-            names.clear()
+            for held in (ids, lengths, names):
+                held.clear()
             return row
 
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                for name, text in zip(piece.column("id").to_pylist(), encoder(tokenizer, word_local).encode(as_bytes(piece.column("text")))):
-                    ids.append(text + end)
-                    names.append(name)
-                    size += len(ids[-1]) // 4
-                    if size >= file_ids:
-                        yield flush()
+            for piece in pieces(batch, "text", 2 << 20):
+                own, texts = encoder(tokenizer, word_local), as_bytes(piece.column("text"))
+                if not probed:
+                    own.probe([x for x in texts if x][:3])
+                    probed = True
+                found, n = own.encode(texts)
+                every = np.full(len(found) + len(n), end_id, "<u4")
+                every[np.arange(len(found)) + np.repeat(np.arange(len(n)), n)] = found
+                ids.append(every)
+                lengths.append(n + 1)
+                names += piece.column("id").to_pylist()
+                size += len(every)
+                if size >= file_ids:
+                    yield flush()
         if names:
             yield flush()
 
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     # The hash deals equal ids to several ranges, in an order that no rerun changes.
     dealt = source.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return materialise(dealt.mapInArrow(run, MANIFEST), "token-manifest")
+    return materialise(dealt.mapInArrow(working("tokens", run), MANIFEST), "token-manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
@@ -331,4 +402,4 @@ def read_token_files(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFram
 
     files = with_starts(manifest)
     spread = files.repartition(max(1, min(manifest.count(), 10_000)))
-    return spread.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(working("tokens", run), f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
