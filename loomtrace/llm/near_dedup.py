@@ -36,6 +36,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,14 +45,14 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
 from .storage import materialise
-from .texts import as_bytes, mix64, pieces
+from .texts import as_bytes, mix64, numbered, pieces, working
 
 
 @dataclass(frozen=True)
 class SketchSettings:
     """``percent``: similarity that links. ``base``, ``rate`` and ``limit`` are b, a and q + 1 of
     the sketch. ``slack``: standard deviations by which an estimate may fall short. ``block``:
-    classes of either side of a block, about."""
+    classes of either side of a block, about, and ``block_bytes`` of their texts."""
 
     shingle: int = 5
     percent: int = 75
@@ -61,6 +63,7 @@ class SketchSettings:
     limit: int = 65535
     slack: float = 4.0
     block: int = 2048
+    block_bytes: int = 16 << 20
     seed: int = 7
 
     @property
@@ -68,35 +71,21 @@ class SketchSettings:
         return self.bands * self.rows
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = h
-        return h
-
-
-_HASHES = _WordHash()
-_MOST_HASHES = 1_000_000
-
-
 def shingle_hashes(texts: list[bytes], k: int) -> list[np.ndarray]:
     """The distinct 64-bit hashes of each text's shingles, sorted."""
-    if len(_HASHES) > _MOST_HASHES:
-        _HASHES.clear()
-    words = [t.lower().split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    flat = np.array([_HASHES[w] for ws in words for w in ws], np.uint64)
+    names, index, counts = numbered([t.lower() for t in texts])
+    flat = np.array([xxhash.xxh3_64_intdigest(w) for w in names.tolist()], np.uint64)[index]
     total = len(flat)
     mixed = np.full(max(total, 1), 0x9E3779B97F4A7C15, np.uint64)[:total]
     for j in range(min(k, total)):  # position matters; short texts are hashed as a whole below
         mixed[: total - j] += flat[j:] * np.uint64((0xD6E8FEB86659FD93 * (4 * j + 1)) % (1 << 64))
     mixed = mix64(mixed)
     out, at = [], 0
-    for ws, n in zip(words, counts.tolist()):
+    for text, n in zip(texts, counts.tolist()):
         if n >= k:
             out.append(np.unique(mixed[at : at + n - k + 1]))
         elif n:
-            out.append(np.array([int.from_bytes(hashlib.blake2b(b" ".join(ws), digest_size=8, key=b"short").digest(), "little")], np.uint64))
+            out.append(np.array([int.from_bytes(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=8, key=b"short").digest(), "little")], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
         at += n
@@ -167,13 +156,13 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, s:
 
 
 def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: SketchSettings = SketchSettings()) -> DataFrame:
-    """doc_id, n_shingles, set (128-bit digest of the shingle set; null without shingles), regs
-    (16-bit registers as bytes), bands (array of keys)."""
+    """doc_id, fp (hash of the text), bytes (of the text), n_shingles, set (128-bit digest of the
+    shingle set; null without shingles), regs (16-bit registers as bytes), bands (array of keys)."""
     s = settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 2 << 20):
                 sets = shingle_hashes(as_bytes(part.column("text")), s.shingle)
                 sizes = np.array([len(x) for x in sets], np.int64)
                 some = np.flatnonzero(sizes)
@@ -183,10 +172,11 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
                 place[some] = np.arange(len(some))
                 digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
                 offsets = np.append(0, np.cumsum(np.where(sizes > 0, s.bands, 0))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(digest, pa.binary()), pa.array([regs[i].tobytes() if i >= 0 else None for i in place.tolist()], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))], names=["doc_id", "n_shingles", "set", "regs", "bands"])
+                long = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("fp"), long, pa.array(sizes), pa.array(digest, pa.binary()), pa.array([regs[i].tobytes() if i >= 0 else None for i in place.tolist()], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))], names=["doc_id", "fp", "bytes", "n_shingles", "set", "regs", "bands"])
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['id'].dataType.simpleString()}, n_shingles long, set binary, regs binary, bands array<long>")
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("fp"))
+    return source.mapInArrow(working("near", run), f"doc_id {source.schema['id'].dataType.simpleString()}, fp long, bytes long, n_shingles long, set binary, regs binary, bands array<long>")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, s: SketchSettings) -> DataFrame:
@@ -208,7 +198,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, s: SketchSettings) -> DataFram
                 found = estimate(*regs, *n, s)
                 yield part.filter(pa.array(found >= least)).select(["a", "b"])
 
-    return sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a binary, b binary")
+    return sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(working("near", run), "a binary, b binary")
 
 
 def _shingles(text: bytes, k: int) -> set:
@@ -217,18 +207,19 @@ def _shingles(text: bytes, k: int) -> set:
 
 
 def _texts(wanted: DataFrame, docs: DataFrame, s: SketchSettings) -> DataFrame:
-    """wanted: set, id (of a document with that set). Returns set and text."""
-    found = wanted.join(docs.select(docs.id.alias("own"), "text"), F.col("id").eqNullSafe(F.col("own"))).select("set", "text")
+    """wanted: set, id and fp (of a document with that set). Returns set and text. Rows that repeat
+    an id, or have none, are told apart by their text's hash."""
+    found = wanted.join(docs.select(docs.id.alias("own"), F.xxhash64("text").alias("own_fp"), "text"), F.col("id").eqNullSafe(F.col("own")) & (F.col("fp") == F.col("own_fp"))).select("set", "text")
 
     def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Another row of the same id may have another text.
+        # Hashes of different texts may be equal.
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = shingle_hashes(as_bytes(part.column("text")), s.shingle)
                 own = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == y for x, y in zip(sets, part.column("set").to_pylist())]
                 yield part.filter(pa.array(own, pa.bool_()))
 
-    return found.mapInArrow(of_class, "set binary, text string").dropDuplicates(["set"])
+    return found.mapInArrow(working("near", of_class), "set binary, text string").dropDuplicates(["set"])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, s: SketchSettings) -> DataFrame:
@@ -248,7 +239,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, s: SketchSettings) -> DataFra
                     linked.append(100 * both >= s.percent * (len(held) + len(other) - both))
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(working("near", run), "a binary, b binary")
 
 
 def _compare_blocks(left: pd.DataFrame, right: pd.DataFrame, s: SketchSettings) -> pd.DataFrame:
@@ -282,8 +273,7 @@ def _compare_blocks(left: pd.DataFrame, right: pd.DataFrame, s: SketchSettings)
             continue
         same = regs[fits] == own
         # A pair that shares several bands is looked at in the first of them.
-        first = same.reshape(len(fits), s.bands, s.rows).all(axis=2).argmax(axis=1) == band
-        fits = fits[first & (same.mean(axis=1) >= least - 0.1)]
+        fits = fits[same.reshape(len(fits), s.bands, s.rows).all(axis=2).argmax(axis=1) == band]
         if not len(fits):
             continue
         found = estimate(np.broadcast_to(own, (len(fits), s.size)), regs[fits], np.full(len(fits), float(n)), sizes[fits], s)
@@ -301,8 +291,12 @@ def _compare_blocks(left: pd.DataFrame, right: pd.DataFrame, s: SketchSettings)
 def _rest(placed: DataFrame, held: DataFrame, texts: DataFrame, s: SketchSettings) -> DataFrame:
     """Links of classes apart from their centre's component, by blocks. placed: key, band, set,
     root, apart, and not the centres."""
-    per = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("long")).alias("m")).where("m > 0 and n > 1")
-    grid = per.select("key", F.ceil(F.col("m") / s.block).cast("long").alias("rows"), F.ceil(F.col("n") / s.block).cast("long").alias("columns"))
+    sized = placed.join(held.select("set", "bytes"), "set")
+    apart = F.col("apart").cast("long")
+    per = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("n_bytes"), F.sum(apart).alias("m"), F.sum(apart * F.col("bytes")).alias("m_bytes")).where("m > 0 and n > 1")
+    # Blocks of bounded rows and bytes: texts are dealt to them by a hash.
+    parts = lambda rows, size: F.greatest(F.ceil(F.col(rows) / s.block), F.ceil(F.col(size) / s.block_bytes), F.lit(1)).cast("long")
+    grid = per.select("key", parts("m", "m_bytes").alias("rows"), parts("n", "n_bytes").alias("columns"))
     full = placed.join(grid, "key").join(held.select("set", "n_shingles", "regs"), "set").join(texts, "set").withColumn("h", F.xxhash64("set"))
     full = materialise(full, "near-rest")
     fields = ["band", "set", "root", "apart", "n_shingles", "regs", "text"]
@@ -322,15 +316,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     s = settings
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     own = materialise(sketch(source, id_col="id", settings=s), "near-sketch")
-    classes = own.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
-    classes = materialise(classes, "near-classes")
+    classes = own.where("set is not null").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least"), F.max("bytes").alias("bytes"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+    classes = materialise(classes.select("set", F.col("least.doc_id").alias("min_id"), F.col("least.fp").alias("fp"), "bytes", "n_shingles", "regs", "bands"), "near-classes")
     members = classes.select("set", F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialise(members.join(sizes, "key"), "near-buckets")
     # All that follows is about classes that share a bucket.
     degree = shared.groupBy("set").agg(F.sum("n").alias("degree"))
-    held = materialise(classes.select("set", "min_id", "n_shingles", "regs").join(degree, "set"), "near-held")
-    texts = materialise(_texts(held.select("set", F.col("min_id").alias("id")), source, s), "near-texts")
+    held = materialise(classes.select("set", "min_id", "fp", "bytes", "n_shingles", "regs").join(degree, "set"), "near-held")
+    texts = materialise(_texts(held.select("set", F.col("min_id").alias("id"), "fp"), source, s), "near-texts")
     centres = shared.join(held.select("set", "degree"), "set").groupBy("key").agg(F.max(F.struct("degree", "set")).alias("c")).select("key", F.col("c.set").alias("centre"))
     starred = materialise(shared.join(centres, "key"), "near-stars")
     pairs = _ordered(starred.select(F.col("set").alias("a"), F.col("centre").alias("b")))
@@ -381,4 +375,4 @@ def _with_set(rows: DataFrame, s: SketchSettings) -> DataFrame:
                 digest = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, digest], names=[*part.schema.names, "set"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(working("near", run), schema)
