@@ -5,7 +5,8 @@ of copies, target / size of the source. The whole part is taken as it is. What i
 fraction per document, and fractions are rounded in pairs: words move from one document's
 expectation to the other's, by chance in either direction, until one of the two fractions is 0 or
 1. The other goes on to the next pair. Expectations are kept, and what a source takes differs from
-its target by less than one document.
+its target by less than one document. In each bucket long documents are paired first, so that the
+one that stays open is a short one.
 
 The chain of pairs is a reduction tree: documents are dealt to buckets of bounded size by a hash
 of their id, each bucket leaves one fraction per source, and buckets combine by ``FAN`` until one
@@ -24,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -94,7 +95,8 @@ def _round_chain(docs: pd.DataFrame, random: np.random.Generator) -> tuple[np.nd
 
 def _round_bucket(pdf: pd.DataFrame, last: bool, seed: int) -> pd.DataFrame:
     """All sources of a bucket; rows still open keep a fraction."""
-    pdf = pdf.sort_values(["rank", "draw", "size"], kind="stable", ignore_index=True)
+    # Long documents first, so that the one that stays open is short.
+    pdf = pdf.sort_values(["rank", "size", "draw"], ascending=[True, False, True], kind="stable", ignore_index=True)
     out = []
     for rank, docs in pdf.groupby("rank", sort=True):
         random = np.random.default_rng([seed, int(rank), int(docs["bucket"].iloc[0]) & 0x7FFFFFFF, int(docs["draw"].iloc[0]) & 0x7FFFFFFFFFFFFFFF])
@@ -137,8 +139,8 @@ def round_copies(sized: DataFrame, *, seed: int = SEED, bucket: int = BUCKET) ->
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = SEED) -> DataFrame:
     """Per document: id, source, size, source_size, target, copies, taken, and ``draw``, a hash
-    of id and text that tells apart rows of one id."""
-    sized = materialise(docs.select(docs[id_col].cast("string").alias("key"), docs[source_col].alias("source"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(docs[id_col], docs[text_col], F.lit(seed)).alias("draw")), "mix-sizes")
+    of id, text and source that tells apart rows of one id."""
+    sized = materialise(docs.select(docs[id_col].cast("string").alias("key"), docs[source_col].alias("source"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _draw(docs, id_col, text_col, source_col, seed).alias("draw")), "mix-sizes")
     targets = source_targets(sized, weights=weights, share=share, cap=cap)
     targets = materialise(targets.select(targets.source.alias("own"), "source_size", "target", F.row_number().over(W.orderBy(targets.source.asc_nulls_last())).alias("rank")), "mix-targets")
     joined = sized.join(targets, sized.source.eqNullSafe(targets.own)).select("key", "draw", "rank", "size", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("expected"))
@@ -146,16 +148,27 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return plan.join(targets, "rank").select(F.col("key").cast(docs.schema[id_col].dataType).alias(id_col), F.col("own").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "draw")
 
 
+def _draw(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> Column:
+    """A hash of what a row is; of nulls too, which ``xxhash64`` alone would pass over."""
+    parts = [docs[id_col].cast("string"), docs[source_col].cast("string"), docs[text_col]]
+    return F.xxhash64(*[F.coalesce(F.octet_length(x), F.lit(-1)) for x in parts], *parts, F.lit(seed))
+
+
 def take_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **limits) -> DataFrame:
-    """The documents as often as the mix takes them, with all their columns."""
+    """The documents as often as the mix takes them, with all their columns. Rows of one id, text
+    and source share their copies evenly; what is left over goes to the first of them in order of
+    all columns."""
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **limits)
-    # Rows of one id and text are interchangeable: together they take the sum of their copies.
-    shares = plan.groupBy("draw").agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows"))
-    alone = shares.where("mix_rows = 1").select("draw", F.col("mix_copies").alias("each"), F.lit(0).alias("extra"))
-    many = shares.where("mix_rows > 1").select("draw", F.floor(F.col("mix_copies") / F.col("mix_rows")).cast("long").alias("each"), F.pmod("mix_copies", "mix_rows").cast("int").alias("extra"))
+    shares = plan.groupBy("draw", F.col(source_col).alias("mix_source")).agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).where("mix_copies > 0")
+    each = F.floor(F.col("mix_copies") / F.col("mix_rows")).cast("int")
+    shares = shares.select("draw", "mix_source", "mix_rows", each.alias("each"), F.pmod("mix_copies", "mix_rows").cast("int").alias("extra"))
     names = docs.columns
-    held = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.xxhash64(docs[id_col], docs[text_col], F.lit(seed)).alias("draw"))
-    joined = held.join(alone.unionByName(many).where("each > 0 or extra > 0"), "draw")
-    copies = joined.select("row", F.explode(F.array_repeat(F.lit(0), F.col("each").cast("int"))).alias("copy")).select("row")
-    spare = joined.where("extra > 0").withColumn("nth", F.row_number().over(W.partitionBy("draw").orderBy("draw"))).where("nth <= extra").select("row")
-    return copies.unionByName(spare).select("row.*")
+    held = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[source_col].alias("own_source"), F.xxhash64(*[docs[c] for c in names]).alias("place"), _draw(docs, id_col, text_col, source_col, seed).alias("draw2"))
+    joined = held.join(shares, (F.col("draw2") == F.col("draw")) & F.col("own_source").eqNullSafe(F.col("mix_source")))
+    some = lambda n: F.explode(F.array_repeat(F.lit(0), n))
+    # A single row takes all; rows that repeat are few, and only they are put in order.
+    single = joined.where("mix_rows = 1").select("row", some(F.col("each") + F.col("extra")).alias("copy")).select("row")
+    whole = joined.where("mix_rows > 1 and each > 0").select("row", some(F.col("each")).alias("copy")).select("row")
+    order = W.partitionBy("draw", "mix_source").orderBy("place")
+    spare = joined.where("mix_rows > 1 and extra > 0").withColumn("nth", F.row_number().over(order)).where("nth <= extra").select("row")
+    return single.unionByName(whole).unionByName(spare).select("row.*")
