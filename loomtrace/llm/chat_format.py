@@ -87,13 +87,16 @@ def format_chats(turns: DataFrame, template: ChatTemplate = ChatTemplate(), *, c
 
 
 def read_chats(formatted: DataFrame, template: ChatTemplate = ChatTemplate(), *, conv_col: str = "conv_id") -> DataFrame:
-    """The turns read back from the string, and the text under the loss mask: ``turns`` (array of
-    role, text), ``loss_text``."""
+    """The turns read back from the string, and what lies under the loss mask: ``turns`` (array of
+    role, text), ``loss_text`` (the runs of ``loss_runs`` that are masked, cut out of ``formatted``
+    by their code points and unescaped)."""
     t = template
     blocks = F.filter(F.split("formatted", re.escape(t.open)), lambda b: b != "")
     cut = F.transform(blocks, lambda b: F.split(b, "|".join(map(re.escape, (t.text, t.more, t.close)))))
     # Each block is now: role, texts, and what follows the closing marker (nothing).
     turns = F.flatten(F.transform(cut, lambda c: F.transform(F.slice(c, F.lit(2), F.size(c) - 2), lambda x: F.struct(t.unescape(F.get(c, F.lit(0))).alias("role"), t.unescape(x).alias("text")))))
-    read = formatted.select(F.col(conv_col), "formatted", "loss_turns", turns.alias("turns"))
-    masked = F.filter(F.arrays_zip("turns", "loss_turns"), lambda x: x["loss_turns"])
-    return read.select(F.col(conv_col), "formatted", "turns", F.array_join(F.transform(masked, lambda x: x["turns"]["text"]), "").alias("loss_text"))
+    # Where each masked run starts: the sum of all runs before it.
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,chars:int>>").alias("runs"))
+    spans = F.aggregate("loss_runs", nothing, lambda a, r: F.struct((a["at"] + r["chars"]).alias("at"), F.when(r["loss"], F.concat(a["runs"], F.array(F.struct((a["at"] + 1).alias("start"), r["chars"].alias("chars"))))).otherwise(a["runs"]).alias("runs")), lambda a: a["runs"])
+    masked = F.transform(spans, lambda r: t.unescape(F.substring("formatted", r["start"], r["chars"])))
+    return formatted.select(F.col(conv_col), "formatted", turns.alias("turns"), F.array_join(masked, "").alias("loss_text"))
