@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .storage import filesystem, new_folder
+from .storage import filesystem, materialise, new_folder
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
@@ -43,6 +43,8 @@ ARROW = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 64 << 20
+#: Digests that may count as frequent.
+HOT = 1000
 SPLIT_BYTES = 64 << 20
 
 
@@ -324,8 +326,15 @@ def archive_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     the largest id is the response and the others revisit it."""
     payload = F.coalesce(pages[html_col].cast("binary"), F.lit(b""))
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    same = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("sha1").alias("of"), "last")
-    joined = rows.join(same, F.col("sha1") == F.col("of"), "left")
+    # Digests and ids alone are counted. A digest of more than a thousandth of all repeats is one
+    # of a thousand at most; these are broadcast, and their pages are spread over the join of the rest.
+    keys = rows.where(F.octet_length("payload") >= min_bytes).select("id", "sha1")
+    same = materialise(keys.groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("sha1").alias("of"), "last", "n"), "warc-same")
+    bound = (same.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // HOT
+    often = same.where(F.col("n") > bound).select(F.col("of").alias("hot_of"), F.col("last").alias("hot_last"))
+    marked = rows.join(F.broadcast(often), F.col("sha1") == F.col("hot_of"), "left")
+    key = F.when(F.col("hot_of").isNull(), F.col("sha1")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    joined = marked.join(same.where(F.col("n") <= bound).select("of", F.col("last").alias("own_last")), key == F.col("of"), "left").withColumn("last", F.coalesce("hot_last", "own_last"))
     again = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return joined.select(urn("id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"), F.when(again, urn("last")).alias("refers_to"), F.col("sha1").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
