@@ -39,8 +39,8 @@ BLOCK = 1024
 MAGIC = b"PFORIDS1"
 #: Share of a block's differences that must fit into the packed width.
 PERCENTILE = 0.9
-#: Ids of a file, about; a piece of texts (2 MB, or one text) stays together.
-FILE_IDS = 4 << 20
+#: Ids of a file, about; a piece of texts (1 MB, or one text) stays together.
+FILE_IDS = 1 << 20
 
 
 # ---- file format -------------------------------------------------------------------------
@@ -168,18 +168,74 @@ def _byte_letters() -> dict[int, str]:
     return {x: chr(x) for x in own} | {x: chr(256 + i) for i, x in enumerate(rest) if x != 0x20}
 
 
-class Encoder:
-    """Texts to ids. With ``word_local`` each distinct word is encoded once and numbered; a text is
-    then the numbers of its words, and its ids are gathered from one array by these numbers.
+class WordIds:
+    """Texts to ids, word by word: each distinct word is spelled once and numbered; a text is then the
+    numbers of its words, and its ids are gathered from one array by these numbers.
 
     At most ``most_words`` words of ``most_bytes`` in all stay from one call to the next; beyond
     that, those that came but once go first."""
 
-    def __init__(self, path: str, word_local: bool, most_words: int = 400_000, most_bytes: int = 16 << 20):
+    def __init__(self, most_words: int = 300_000, most_bytes: int = 8 << 20):
+        self.most_words, self.most_bytes = most_words, most_bytes
+        self.forget()
+
+    def folded(self, text: bytes) -> bytes:
+        return text
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit bytes."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids, self.ends_at, self.seen, self.held_bytes = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has."""
+        if len(self.number) > self.most_words or self.held_bytes > self.most_bytes:
+            self._shrink()
+        number = self.number
+        names, index, counts = numbered([self.folded(x) for x in texts])
+        new = [w for w in names.tolist() if w not in number]
+        number.update(zip(new, range(len(number), len(number) + len(new))))
+        self.held_bytes += sum(map(len, new))
+        spelled = self.words(new)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(spelled), "<u4")])
+        self.ends_at = np.concatenate([self.ends_at, self.ends_at[-1] + np.cumsum([len(x) // 4 for x in spelled], dtype=np.int64)])
+        place = np.array([number[w] for w in names.tolist()], np.int64)
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.seen[place] += np.bincount(index, minlength=len(place))
+        words = place[index]
+        starts, sizes = self.ends_at[words], np.diff(self.ends_at)[words]
+        before = np.cumsum(sizes) - sizes
+        out = self.ids[np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)]
+        total = np.append(0, np.cumsum(sizes))
+        ends = np.cumsum(counts)
+        return out, total[ends] - total[ends - counts]
+
+    def _shrink(self) -> None:
+        """Keep words that came more than once, the most frequent up to half of what may stay."""
+        names = np.array(list(self.number), object)
+        order = np.argsort(-self.seen, kind="stable")[: self.most_words // 2]
+        kept = order[self.seen[order] > 1]
+        size = np.cumsum([len(x) for x in names[kept]])
+        kept = np.sort(kept[size <= self.most_bytes // 2]) if len(kept) else kept
+        sizes = np.diff(self.ends_at)[kept]
+        before = np.cumsum(sizes) - sizes
+        self.ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.ends_at[kept] - before, sizes)]
+        self.ends_at, self.seen = np.append(0, np.cumsum(sizes)), self.seen[kept] // 2
+        self.number = dict(zip(names[kept].tolist(), range(len(kept))))
+        self.held_bytes = sum(map(len, self.number))
+
+
+class Encoder(WordIds):
+    """Texts to ids by a file of the tokenizers library, whole or (``word_local``) word by word."""
+
+    def __init__(self, path: str, word_local: bool, most_words: int = 300_000, most_bytes: int = 8 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.word_local, self.most_words, self.most_bytes = word_local, most_words, most_bytes
+        self.word_local = word_local
         own = [(i, x) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.normalized or x.lstrip or x.rstrip or x.single_word)]
         self.mark = min(own, key=lambda x: x[0], default=None) and (min(own, key=lambda x: x[0])[0], min(own, key=lambda x: x[0])[1].content)
 
@@ -193,13 +249,11 @@ class Encoder:
             self.bare = Tokenizer(self.tokenizer.model)
             self.bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
             self.letters = _byte_letters()
-        self.tails: dict[str, bytes] = {"": b""}
-        self.forget()
+        super().__init__(most_words, most_bytes)
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids, self.ends_at, self.seen, self.held_bytes = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
-        self.tails = {"": b""}
+        super().forget()
+        self.tails: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -216,7 +270,8 @@ class Encoder:
         known: dict[str, bytes] = {}
         for i in range(0, len(cores), 4000):
             part = cores[i : i + 4000]
-            spelled = " ".join(part).encode().decode("latin-1").translate(self.letters)
+            spelled = " ".join(part)
+            spelled = spelled if spelled.isascii() else spelled.encode().decode("latin-1").translate(self.letters)
             ids = np.array(self.bare.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
             stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) == len(part) and stops[-1] == 4 * len(ids):
@@ -262,44 +317,10 @@ class Encoder:
     beyond = staticmethod(re.compile(rb"[\xC4-\xFF]").search)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and how many each has."""
-        if not self.word_local:
-            own = self.whole([x.decode() for x in texts])
-            return np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own], np.int64)
-        if len(self.number) > self.most_words or self.held_bytes > self.most_bytes:
-            self._shrink()
-        number = self.number
-        names, index, counts = numbered([self.folded(x) for x in texts])
-        new = [w for w in names.tolist() if w not in number]
-        number.update(zip(new, range(len(number), len(number) + len(new))))
-        self.held_bytes += sum(map(len, new))
-        spelled = self.words(new)
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(spelled), "<u4")])
-        self.ends_at = np.concatenate([self.ends_at, self.ends_at[-1] + np.cumsum([len(x) // 4 for x in spelled], dtype=np.int64)])
-        place = np.array([number[w] for w in names.tolist()], np.int64)
-        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
-        self.seen[place] += np.bincount(index, minlength=len(place))
-        words = place[index]
-        starts, sizes = self.ends_at[words], np.diff(self.ends_at)[words]
-        before = np.cumsum(sizes) - sizes
-        out = self.ids[np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)]
-        total = np.append(0, np.cumsum(sizes))
-        ends = np.cumsum(counts)
-        return out, total[ends] - total[ends - counts]
-
-    def _shrink(self) -> None:
-        """Keep words that came more than once, the most frequent up to half of what may stay."""
-        names = np.array(list(self.number), object)
-        order = np.argsort(-self.seen, kind="stable")[: self.most_words // 2]
-        kept = order[self.seen[order] > 1]
-        size = np.cumsum([len(x) for x in names[kept]])
-        kept = np.sort(kept[size <= self.most_bytes // 2]) if len(kept) else kept
-        sizes = np.diff(self.ends_at)[kept]
-        before = np.cumsum(sizes) - sizes
-        self.ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.ends_at[kept] - before, sizes)]
-        self.ends_at, self.seen = np.append(0, np.cumsum(sizes)), self.seen[kept] // 2
-        self.number = dict(zip(names[kept].tolist(), range(len(kept))))
-        self.held_bytes = sum(map(len, self.number))
+        if self.word_local:
+            return super().encode(texts)
+        own = self.whole([x.decode() for x in texts])
+        return np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own], np.int64)
 
     def probe(self, texts: list[bytes]) -> None:
         """Are these texts encoded word by word as they are as a whole?"""
@@ -351,7 +372,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id"
             return row
 
         for batch in batches:
-            for piece in pieces(batch, "text", 2 << 20):
+            for piece in pieces(batch, "text", 1 << 20):
                 own, texts = encoder(tokenizer, word_local), as_bytes(piece.column("text"))
                 if not probed:
                     own.probe([x for x in texts if x][:3])
