@@ -20,6 +20,8 @@ from .warc import page_report, write_archive
 
 #: The vocabulary of the token output; its place is looked up, nothing is copied.
 TOKENIZER = "word_bpe_49k.json"
+#: The vocabulary of the language model, whose ids give back the bytes of a text.
+LOSSLESS = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +39,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    import public_tokenizers
+
+    return score_documents(table(spark, sf_dir, "documents"), tokenizer_path(LOSSLESS), public_tokenizers.PATTERN)
 
 
 #: A conversation whose texts hold control strings of a common template.

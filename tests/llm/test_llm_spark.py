@@ -1,5 +1,6 @@
 """Operators through Spark, on tables with nulls, empty and odd texts, ties and clashing columns."""
 
+import dataclasses
 import os
 import re
 import zlib
@@ -223,54 +224,62 @@ def test_a_hot_blocked_host_hides_no_other(spark, hot):
     assert (got["/de/1small.net"], got["/1mixed.com"], got["/plain.org"]) == ("block", "allow", "allow")
 
 
-def test_language_model(docs, empty):
-    settings = lm_scoring.ModelSettings(hot=3, pairs=10, sample_docs=20, steps=5, classes=4, width=4)
-    got = {(r.doc_id, r.n_tokens): r for r in lm_scoring.score_documents(docs, Q.tokenizer_path(), settings=settings).collect()}
-    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
-    train = [w for i, w in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+SMALL = lm_scoring.ModelSettings(hot=3, warm_ids=300, warm_steps=5, classes=4, width=4, share=0.5)
+
+
+def scored(docs, settings=SMALL):
+    import public_tokenizers
+
+    return lm_scoring.score_documents(docs, Q.tokenizer_path(Q.LOSSLESS), public_tokenizers.PATTERN, settings=settings)
+
+
+def check_base(rows, got):
+    """rows: id, words. got: what was found, by id and number of tokens."""
+    train = [w for i, ws in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in (*ws, None)]
     counts = {}
-    for ws in train:
-        for w in (*ws, None):
-            counts[w] = counts.get(w, 0) + 1
-    n, v = sum(counts.values()), len(counts)
+    for w in train:
+        counts[w] = counts.get(w, 0) + 1
     for i, ws in rows:
         r = got[i, len(ws) + 1]
-        assert r.train_tokens == n and r.n_known == sum(w in counts for w in (*ws, None)) and r.score < 0
-        assert r.base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in (*ws, None)))
-    assert lm_scoring.score_documents(empty, Q.tokenizer_path(), settings=settings).count() == 0
+        assert r.train_tokens == len(train) and r.n_known == sum(w in counts for w in (*ws, None)) and r.score < 0
+        assert r.base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 1) / (len(train) + len(counts) + 1)) for w in (*ws, None)))
 
 
-def test_scores_do_not_depend_on_the_broadcast_tables(spark):
+def test_language_model(docs, empty):
+    check_base([(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()], {(r.doc_id, r.n_tokens): r for r in scored(docs).collect()})
+    assert scored(empty).count() == 0
+
+
+def test_scores_do_not_depend_on_the_frequent_words(spark):
     rng = np.random.default_rng(2)
     parts = ["ba", "ke", "lor", "min", "zu", "tra"]
     texts = [" ".join("".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(30)) for _ in range(60)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    small, large = (lm_scoring.score_documents(docs, Q.tokenizer_path(), settings=lm_scoring.ModelSettings(hot=h, pairs=p, sample_docs=20, steps=5, classes=4, width=4)).select("doc_id", "score").orderBy("doc_id").collect() for h, p in ((3, 5), (10**6, 10**6)))
-    assert [r.score for r in small] == pytest.approx([r.score for r in large], abs=1e-6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    few, many = (scored(docs, dataclasses.replace(SMALL, hot=h)).orderBy("doc_id").collect() for h in (3, 10**6))
+    for x, y in zip(few, many):
+        assert (x.n_known, x.score, x.base_score) == (y.n_known, pytest.approx(y.score), pytest.approx(y.base_score))
 
 
-def test_attention_is_fitted_to_all_documents(spark):
-    settings = lm_scoring.ModelSettings(sample_docs=5, steps=5, classes=4, width=4)
-    ids = spark.range(40).select(F.col("id").alias("doc_id"))
-    order = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id", F.lit(settings.seed))).collect()]
-    weights = []
-    for other in ("aa bb cc dd " * 9, "dd aa cc bb " * 9):
-        rows = [(i, f"aa bb dd cc {'aa cc ' * (k + 3)}" if k < 5 else other) for k, i in enumerate(order)]
-        weights.append(lm_scoring.train(spark.createDataFrame(rows, "doc_id long, text string"), Q.tokenizer_path(), settings)[0].attention.w)
-    assert any(not np.allclose(weights[0][n], weights[1][n], atol=1e-4) for n in weights[0])
+def test_the_model_learns_from_all_documents(spark):
+    """What only documents outside the first fit say changes the scores of all."""
+    texts = [f"aa bb dd cc {'aa cc ' * 9}" if k < 5 else "aa bb cc dd " * 9 for k in range(40)]
+    other = [t if k < 39 else "dd aa cc bb " * 9 for k, t in enumerate(texts)]
+    first, second = ({r.doc_id: r.score for r in scored(spark.createDataFrame(list(enumerate(x)), "doc_id long, text string").coalesce(1)).collect()} for x in (texts, other))
+    assert zlib.crc32(b"39") % 7 != 2 and all(first[k] != second[k] for k in range(39))
 
 
 def test_a_second_corpus_is_scored_by_its_own_counts(spark):
     """Two corpora in one session, whose workers are the same."""
-    settings = lm_scoring.ModelSettings(hot=3, pairs=10, sample_docs=20, steps=5, classes=4, width=4)
     for texts in (["aa bb aa cc aa"] * 12, ["aa dd", *["dd bb ee dd"] * 11]):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-        train = [w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in (*t.split(), None)]
-        n, v = len(train), len(set(train))
-        for r in lm_scoring.score_documents(docs, Q.tokenizer_path(), settings=settings).collect():
-            words = [*texts[r.doc_id].split(), None]
-            assert r.n_known == sum(w in train for w in words)
-            assert r.base_score == pytest.approx(sum(np.log10((train.count(w) + 1) / (n + v + 1)) for w in words))
+        check_base([(i, t.split()) for i, t in enumerate(texts)], {(r.doc_id, r.n_tokens): r for r in scored(docs).collect()})
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_held_out_texts_are_better_predicted_than_by_word_counts(spark):
+    """At the size where the corpus is large enough for neighbours to be known; sf0.001 is not."""
+    sums = Q.op2_lm_scoring(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert sums.s > sums.b
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")

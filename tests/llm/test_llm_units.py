@@ -165,37 +165,96 @@ def test_windows_score_each_position_once():
                 assert row[s.context - s.stride + k] == (aim - 1 if aim not in bounds[:-1] else -1)
 
 
-def test_attention_is_causal_and_its_gradients_are_right():
-    s = L.ModelSettings(classes=5, width=4, context=6, stride=3, steps=60, batch=8)
+def small_model(s, size=11):
+    """Tables from made-up counts, weights that matter."""
     rng = np.random.default_rng(0)
-    vectors = rng.standard_normal((11, 4))
-    model = L.Attention(vectors, s)
-    ids = rng.integers(0, 10, 30)
-    inputs, targets = L.windows(np.array([30]), s)
-    classes = np.arange(10) % 5
-    before = model.class_scores(ids, np.array([30]), classes)
-    changed = ids.copy()
-    changed[20] = (changed[20] + 5) % 10
-    assert np.allclose(before[:20], model.class_scores(changed, np.array([30]), classes)[:20])
-    want, real = classes[ids[np.maximum(targets, 0)]], targets >= 0
+    classes = np.arange(size) % s.classes
+    a, b = rng.integers(0, size, (2, 200))
+    n = rng.integers(1, 9, 200)
+
+    def rows(bin_of):
+        seen = {}
+        for x, y, k in zip(a.tolist(), b.tolist(), n.tolist()):
+            for key in ((0, x, int(bin_of[y])), (1, y, int(bin_of[x]))):
+                seen[key] = seen.get(key, 0) + k
+        side, own, other = (np.array(c) for c in zip(*seen))
+        return pa.table({"side": side, "id": own, "bin": other, "n": np.array(list(seen.values()))})
+
+    prior, member = L.tables(rows(classes), classes, np.bincount(b, weights=n, minlength=size), s)
+    model = L.Attention(prior.astype(np.float32), classes, member, rng.standard_normal((size, s.width)), s)
+    for name in ("o", "e", "p"):
+        model.w[name] = rng.standard_normal(model.w[name].shape).astype(np.float32) / 2
+    return model
+
+
+def by_position(model, ids, s):
+    """log10 probabilities of one text's ids, one place at a time."""
+    w = {k: m.astype(np.float64) for k, m in model.w.items()}
+    out = []
+    for i, target in enumerate(ids):
+        nth, query = divmod(i, s.stride)
+        first = nth * s.stride + s.stride - s.context  # the target that the window's first input stands before
+        before = [(j - first, ids[j - 1] if j > 0 else model.end) for j in range(first, i + 1)]
+        last = before[-1][1]
+        q = w["x"][last] @ w["q"]
+        logits = np.array([q @ (w["x"][x] @ w["k"]) / np.sqrt(s.width) + w["p"][query, k] for k, x in before])
+        a = np.exp(logits - logits.max())
+        a /= a.sum()
+        h = sum(p * (w["x"][x] @ w["v"]) for p, (_, x) in zip(a, before))
+        z = np.exp(h @ w["o"] + w["x"][last] @ w["e"] + w["b"] + model.prior[last].astype(np.float64))
+        out.append(np.log10(z[model.classes[target]] / z.sum()) + model.member[model.classes[last], target])
+    return out
+
 
-    def loss():
-        z, _ = model.forward(ids, inputs)
-        return -(np.take_along_axis(z, want[:, :, None], 2)[:, :, 0] * real).sum() / real.sum()
+def test_windows_score_as_one_position_at_a_time_does():
+    s = L.ModelSettings(classes=5, width=4, context=6, stride=3)
+    model, rng = small_model(s), np.random.default_rng(3)
+    texts = [rng.integers(0, 11, n) for n in (1, 2, 7, 30, 3)]
+    want = [x for t in texts for x in by_position(model, t.tolist(), s)]
+    for c in range(s.classes):  # shares of a class's members sum to one
+        assert np.allclose(np.bincount(model.classes, weights=10.0 ** model.member[c]), 1, atol=1e-5)
+    model.ready()
+    got = model.scores(np.concatenate(texts), np.array([len(t) for t in texts]))
+    assert np.allclose(got, want, atol=1e-4)
 
-    z, kept = model.forward(ids, inputs)
-    grads = model.gradients(z, kept, want, real)
+
+def test_attention_is_causal_and_its_gradients_are_right():
+    s = L.ModelSettings(classes=5, width=4, context=6, stride=3, batch=8)
+    model = small_model(s)
+    ids, lengths = np.random.default_rng(1).integers(0, 10, 30), np.array([30])
+    inputs, targets = L.windows(lengths, s)
+    before, after, real = model.before(ids, inputs), ids[np.maximum(targets, 0)], targets >= 0
+    _, grads, dx = model.gradients(before, after, real)
+    grads["x"] = np.zeros_like(model.w["x"])
+    np.add.at(grads["x"], before.reshape(-1), dx)
     for name, g in grads.items():
         i = np.unravel_index(np.abs(g).argmax(), g.shape)
         old = model.w[name][i]
         model.w[name][i] = old + 1e-2
-        up = loss()
+        up = model.gradients(before, after, real)[0]
         model.w[name][i] = old - 1e-2
-        down = loss()
+        down = model.gradients(before, after, real)[0]
         model.w[name][i] = old
         assert (up - down) / 2e-2 == pytest.approx(g[i], rel=0.08, abs=2e-3)
-    losses = model.fit(np.tile(np.arange(10), 30), np.array([300]), classes)
-    assert losses[-1] < 0.75 * losses[0]
+    losses = model.fit(np.tile(np.arange(10), 30), np.array([300]), np.random.default_rng(2), steps=200)
+    assert np.mean(losses[-20:]) < 0.75 * losses[0]
+    model.ready()
+    own = model.scores(ids, lengths)
+    changed = ids.copy()
+    changed[20] = (changed[20] + 5) % 10
+    assert np.allclose(own[:20], model.scores(changed, lengths)[:20]) and not np.allclose(own[21:], model.scores(changed, lengths)[21:])
+
+
+def test_ids_of_words_are_their_bytes():
+    import public_tokenizers
+
+    from loomtrace.llm.queries import LOSSLESS
+
+    own = L.Speller(tokenizer_path(LOSSLESS), public_tokenizers.PATTERN, most_words=4)
+    texts = ["É é E\u0301 don't  a\u00a0b 日本\x1cx", "", " \t", "x" * 300 + " 12345 <|endoftext|>"]
+    ids, lengths = own.encode([x.encode() for x in texts])
+    for text, part in zip(texts, np.split(ids, np.cumsum(lengths)[:-1])):
+        assert own.encoding.decode_bytes(part.tolist()) == b"".join(b" " + w for w in text.encode().lower().split())
 
 
 def test_held_out_rule():
