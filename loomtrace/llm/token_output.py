@@ -192,10 +192,13 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
+        return self.gather(*numbered([self.folded(x) for x in texts]))
+
+    def gather(self, names: np.ndarray, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are numbered already."""
         if len(self.number) > self.most_words or self.held_bytes > self.most_bytes:
             self._shrink()
         number = self.number
-        names, index, counts = numbered([self.folded(x) for x in texts])
         new = [w for w in names.tolist() if w not in number]
         number.update(zip(new, range(len(number), len(number) + len(new))))
         self.held_bytes += sum(map(len, new))
