@@ -106,6 +106,18 @@ def record_text(raw: str) -> str:
     return ": ".join(x for x in (role if isinstance(role, str) else "", text) if x)
 
 
+def hit_text(raw: str) -> str:
+    """What a snippet of a record is cut from: its message's text, in one line."""
+    try:
+        content = _message(json.loads(raw)).get("content")
+    except (ValueError, TypeError):
+        return ""
+    if isinstance(content, list):
+        texts = [next((b[k] for k in ("text", "content") if isinstance(b.get(k), str)), None) for b in content if isinstance(b, dict)]
+        content = " ".join(x for x in texts if x is not None)
+    return " ".join(content.split()) if isinstance(content, str) else ""
+
+
 def first_prompt(raw: str) -> str | None:
     """A2: a prompt that is one string, cut to 500 characters."""
     try:
@@ -170,7 +182,7 @@ def fallback_summary(text: str, input_tokens: int) -> str:
 def rehydrated(raw: str, blobs: dict[str, str]) -> tuple[str, list[str]]:
     """Markers in any string of a payload replaced by their blobs; ids that are missing."""
     missing: list[str] = []
-    pattern = re.compile(r"\[Large Content: (file_[0-9a-f]{16})\](?: \[Tokens: ~\d+\])?")
+    pattern = re.compile(r"\[Large Content: (file_[0-9a-f]{16})\] \[Tokens: ~\d+\]")
 
     def put(match: re.Match) -> str:
         if match[1] not in blobs:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the blob contract.
 LARGE_CHARS = 100_000
-MARKER = r"\[Large Content: (file_[0-9a-f]{16})\]"
+MARKER = r"\[Large Content: (file_[0-9a-f]{16})\] \[Tokens: ~\d+\]"
 FILE_ID = r"file_[0-9a-f]{16}"
 
 
@@ -57,9 +57,11 @@ def snippet(text: Column, chars: int = 240) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, chars)
 
 
-def injection_line(tier: Column, session_id: Column, score: Column, superseded: Column, text: Column) -> Column:
-    """One line of an injected hit list."""
-    return F.concat(F.lit("- ("), tier, F.lit(" "), F.substring(session_id, 1, 8), F.lit(" "), F.format_string("%.3f", score), F.when(superseded, " superseded").otherwise(""), F.lit(") "), snippet(text))
+def injection_line(tier: Column, session_id: Column, score: Column, superseded: Column, snip: Column) -> Column:
+    """One line of an injected hit list; hits of records are named after their session."""
+    shown = F.coalesce(F.concat(F.lit(" "), F.format_string("%.2f", score)), F.lit(""))
+    kind = F.when(tier == "summary", "summary").otherwise("session")
+    return F.concat(F.lit("- ("), kind, F.lit(" "), F.substring(F.coalesce(session_id, F.lit("")), 1, 8), shown, F.when(superseded, " [superseded]").otherwise(""), F.lit(") "), snip)
 
 
 def injection_is_known_good(event: Column, source: Column) -> Column:

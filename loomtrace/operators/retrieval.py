@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.text import injection_line, tokens
+from ..functions.payload import hit_text, record_text, text_udf
+from ..functions.text import injection_line, snippet, tokens
 
 # Parameters of BM25 as published.
 K1, B = 1.2, 0.75
@@ -57,6 +58,24 @@ def bm25(docs: DataFrame, query: str, *, id_col: str = "uuid", text_col: str = "
     return matching.select(id_col, score.alias("score"))
 
 
+def document_stats(docs: DataFrame, *, id_col: str = "uuid", text_col: str = "text", unicode: bool = False) -> DataFrame:
+    """One row: the number of documents and their mean length in tokens."""
+    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col), unicode))).alias("avgdl"))
+
+
+def bm25_stored(index: DataFrame, stats: DataFrame, query: str, *, id_col: str = "uuid", unicode: bool = False) -> DataFrame:
+    """A8 over stored postings, which are kept in order of their term: only the query's terms are
+    read, and only documents that hold one are summed."""
+    terms = sorted(set(index.sparkSession.range(1).select(tokens(F.lit(query), unicode).alias("t")).first().t))
+    total = stats.first()
+    own = index.where(F.col("term").isin(terms))
+    found = own.groupBy("term").agg(F.count("*").alias("df"))  # a row per term of the query
+    n, avgdl, tf = F.lit(total["n"]), F.lit(total["avgdl"] or 1.0), F.col("tf").cast("double")
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / avgdl))
+    return own.join(F.broadcast(found), "term").groupBy(id_col).agg(F.sum(part).alias("score"))
+
+
 def _equals(term: str):
     return lambda w: w == term
 
@@ -81,11 +100,15 @@ def _settled(hits: DataFrame) -> DataFrame:
     return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
 
 
-def retrieve_candidates(records: DataFrame, record_embeddings: DataFrame, record_fts: DataFrame, summaries: DataFrame, summary_embeddings: DataFrame, query: str, vector: Sequence[float], k: int = 20) -> DataFrame:
+def retrieve_candidates(records: DataFrame, record_embeddings: DataFrame, record_fts: DataFrame, summaries: DataFrame, summary_embeddings: DataFrame, query: str, vector: Sequence[float], k: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Three arms, fused; the k best with tier, distances and payload. Embeddings whose row is
-    gone drop out before the cut."""
+    gone drop out before the cut. index: stored postings and statistics, instead of ``record_fts``."""
     near = _settled(vector_top_k(record_embeddings.join(records.select("uuid"), "uuid", "left_semi"), vector, k))
-    lexical = _settled(lexical_top_k(record_fts.join(records.select("uuid"), "uuid", "left_semi"), query, k))
+    if index is None:
+        scored = bm25(record_fts.join(records.select("uuid"), "uuid", "left_semi"), query)
+    else:
+        scored = bm25_stored(*index, query).join(records.select("uuid"), "uuid", "left_semi")
+    lexical = _settled(scored.orderBy(F.desc("score"), "uuid").limit(k))
     summary = _settled(vector_top_k(summary_embeddings.join(summaries.select("summary_id"), "summary_id", "left_semi"), vector, k, id_col="summary_id"))
     arms = ranked(near, ["distance", "uuid"], 0).unionByName(ranked(lexical, [F.desc("score"), "uuid"], 1)).unionByName(ranked(summary, ["distance", "summary_id"], 2, "summary_id"))
     fused = fuse(arms).withColumn("tier", F.when(F.col("first.arm") == 2, "summary").otherwise("primary"))
@@ -117,13 +140,18 @@ def rank_candidates(candidates: DataFrame, now_ms: int, k: int | None = None, ha
 
 
 def retrieve_relevant(candidates: DataFrame, supersessions: DataFrame, rerank, query: str, now_ms: int, k: int = 10) -> DataFrame:
-    """Rerank the candidates, flag what is superseded, compose the score, keep the k best."""
-    logits = _settled(candidates.withColumn("rerank_score", rerank(F.lit(query), F.col("raw"))))
+    """Rerank the candidates, flag what is superseded, compose the score, keep the k best. A
+    record is reranked by its text (X11), a summary by its content."""
+    document = F.when(F.col("tier") == "summary", F.coalesce("raw", F.lit(""))).otherwise(F.coalesce(text_udf(record_text)(F.col("raw")), F.lit("")))
+    logits = _settled(candidates.withColumn("rerank_score", rerank(F.lit(query), document)))
     return rank_candidates(flag_superseded(logits, supersessions), now_ms, k)
 
 
 def format_injection(hits: DataFrame, header: str = "Related earlier work:") -> str | None:
-    """The k hits as a short list, best first; nothing without hits."""
-    line = injection_line(F.col("tier"), F.col("session_id"), F.col("final_score"), F.col("superseded"), F.col("raw"))
-    lines = [r.line for r in hits.orderBy(F.desc("final_score"), "id").select(line.alias("line"), "final_score", "id").collect()]
+    """The k hits as a short list, best first. Hits without text are left out; nothing is
+    returned without any line."""
+    snip = snippet(F.when(F.col("tier") == "summary", F.coalesce("raw", F.lit(""))).otherwise(F.coalesce(text_udf(hit_text)(F.col("raw")), F.lit(""))))
+    shown = hits.withColumn("snip", snip).where("snip != ''")
+    line = injection_line(F.col("tier"), F.col("session_id"), F.col("final_score"), F.col("superseded"), F.col("snip"))
+    lines = [r.line for r in shown.orderBy(F.desc("final_score"), "id").select(line.alias("line"), "final_score", "id").collect()]
     return "\n".join([header, *lines]) if lines else None

@@ -11,11 +11,15 @@ from ..functions.text import blob_markers
 
 
 def derive_sessions(records: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """A1, A2, K3: a row per session from its records; wanted sessions without any get count 0."""
+    """A1, A2, K3: a row per session from its records; wanted sessions without any get count 0.
+    Only the records of wanted sessions are grouped."""
+    if wanted is not None:
+        wanted = wanted.select("session_id").distinct()
+        records = records.join(wanted, "session_id", "left_semi")
     prompt = F.min_by(F.when(F.col("type") == "user", F.col("raw")), F.when(F.col("type") == "user", F.struct(F.col("timestamp").isNull(), "timestamp", "uuid")))
     found = records.groupBy("session_id").agg(prompt.alias("prompt"), F.count("*").cast("int").alias("message_count"), F.min("timestamp").alias("created"), F.max("timestamp").alias("modified"))
     if wanted is not None:
-        found = wanted.select("session_id").distinct().join(found, "session_id", "left")
+        found = wanted.join(found, "session_id", "left")
     none = F.lit(None).cast("string")
     return found.select("session_id", none.alias("summary"), text_udf(first_prompt)(F.col("prompt")).alias("first_prompt"), F.coalesce("message_count", F.lit(0)).alias("message_count"), "created", "modified", none.alias("git_branch"), none.alias("project_path"))
 
@@ -41,8 +45,8 @@ def full_session(records: DataFrame, blobs: DataFrame, session_id: str, include_
     own = records.where(F.col("session_id") == session_id)
     if not include_blobs:
         return chronological(own.withColumn("missing_blobs", F.array().cast("array<string>")))
-    marked = own.select("uuid", F.explode(F.array_distinct(blob_markers(F.col("raw")))).alias("file_id")).join(blobs, "file_id")
-    per = marked.groupBy("uuid").agg(F.map_from_entries(F.collect_list(F.struct("file_id", "content"))).alias("blobs"))
+    marked = own.select("uuid", F.explode(F.array_distinct(blob_markers(F.col("raw")))).alias("file_id")).join(blobs.select("file_id", "content"), "file_id")
+    per = marked.groupBy("uuid").agg(F.map_from_entries(F.collect_list(F.struct("file_id", "content"))).alias("_blobs"))
 
     @F.pandas_udf("raw string, missing_blobs array<string>")
     def filled(raw: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -54,8 +58,14 @@ def full_session(records: DataFrame, blobs: DataFrame, session_id: str, include_
                 rows.append((r, []))
         return pd.DataFrame(rows, columns=["raw", "missing_blobs"])
 
-    joined = own.join(per, "uuid", "left").withColumn("f", filled("raw", F.col("blobs")))
-    return chronological(joined.withColumn("raw", F.col("f.raw")).withColumn("missing_blobs", F.col("f.missing_blobs")).drop("f", "blobs"))
+    joined = own.join(per, "uuid", "left").withColumn("f", filled("raw", F.col("_blobs")))
+    return chronological(joined.withColumn("raw", F.col("f.raw")).withColumn("missing_blobs", F.col("f.missing_blobs")).drop("f", "_blobs"))
+
+
+def missing_blobs(session: DataFrame) -> DataFrame:
+    """The ids that a session refers to and the blob store lacks, distinct and in order. session:
+    rows of ``full_session``."""
+    return session.select(F.explode("missing_blobs").alias("file_id")).distinct().orderBy("file_id")
 
 
 def session_text(session: DataFrame, session_id: str) -> str:

@@ -63,9 +63,10 @@ def accepted(text: str, budget: int) -> bool:
     return bool(text.strip()) and budget > 1 and tokens_of(text.strip()) < budget
 
 
-def escalate(source: str, previous: str, levels: tuple[Callable[[str, str], str], ...]) -> str:
-    """The first level whose output is shorter than its input; truncation at last."""
-    budget = tokens_of(source)
+def escalate(source: str, previous: str, levels: tuple[Callable[[str, str], str], ...], budget: int | None = None) -> str:
+    """The first level whose output is shorter than its input (``budget`` tokens, or as many as
+    the source has); truncation at last."""
+    budget = tokens_of(source) if budget is None else budget
     for level in levels:
         text = level(source, previous)
         if accepted(text, budget):
@@ -92,13 +93,13 @@ def make_sprigs(records: DataFrame, summaries: DataFrame, created_ms: int, level
 
 def make_bindles(summaries: DataFrame, created_ms: int, levels: tuple = (), at: int = CONDENSE_AT) -> DataFrame:
     """One bindle of all open sprigs of a session that has enough."""
-    parts = condensable(summaries, at).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "summary_id", "content", "file_ids"))).alias("p"))
+    parts = condensable(summaries, at).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "summary_id", "content", "file_ids"))).alias("p"), F.sum("token_count").alias("tokens"))  # A9: stored counts
 
     @F.pandas_udf("string")
-    def condense(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: escalate("\n\n".join(t), "", levels)).astype(object)
+    def condense(texts: pd.Series, tokens: pd.Series) -> pd.Series:
+        return pd.Series([escalate("\n\n".join(t), "", levels, int(n)) for t, n in zip(texts, tokens)], dtype=object)
 
-    made = parts.select("session_id", condense(F.transform("p", lambda x: x["content"])).alias("content"), F.transform("p", lambda x: x["summary_id"]).alias("parent_ids"), F.array().cast("array<string>").alias("message_uuids"), F.lit(created_ms).cast("long").alias("created_at"), F.array_distinct(F.flatten(F.transform("p", lambda x: x["file_ids"]))).alias("parent_files"))
+    made = parts.select("session_id", condense(F.transform("p", lambda x: x["content"]), F.col("tokens")).alias("content"), F.transform("p", lambda x: x["summary_id"]).alias("parent_ids"), F.array().cast("array<string>").alias("message_uuids"), F.lit(created_ms).cast("long").alias("created_at"), F.array_distinct(F.flatten(F.transform("p", lambda x: x["file_ids"]))).alias("parent_files"))
     return summary_rows(made, "bindle")
 
 

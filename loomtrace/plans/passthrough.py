@@ -17,7 +17,22 @@ STATEMENTS: dict[str, tuple[str, str] | tuple[str, str, str]] = {
     "p_join_semi": ("customer orders", "SELECT c_custkey FROM customer LEFT SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON o_custkey = c_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
     "p_join_anti": ("customer orders", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
     "p_join_theta": ("nation region", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
-    "p_asof": ("events", "SELECT p.event_id, max(c.ts) AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND c.ts <= p.ts GROUP BY p.event_id"),
+    # One window over both event types: a purchase takes the last click before it, in one sort per user.
+    "p_asof": ("events", "SELECT event_id, last_click FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'click' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_click FROM events WHERE event_type IN ('purchase', 'click')) t WHERE event_type = 'purchase'", "SELECT p.event_id, max(c.ts) AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND c.ts <= p.ts GROUP BY p.event_id"),
+    "p_join_right": ("customer orders", "SELECT c_custkey, count(o_orderkey) AS n FROM orders RIGHT JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey"),
+    "p_join_cross": ("nation region", "SELECT n_name, r_name FROM nation CROSS JOIN region"),
+    # Hour buckets make the range an equality: each click meets the two buckets that its hour reaches.
+    "p_join_range": ("events", "SELECT p.event_id, count(*) AS clicks FROM (SELECT event_id, user_id, ts, explode(array(unix_seconds(ts) div 3600 - 1, unix_seconds(ts) div 3600)) AS h FROM (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE event_type = 'purchase') x) p JOIN (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, unix_seconds(CAST(ts AS TIMESTAMP)) div 3600 AS h FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.h = c.h AND c.ts <= p.ts AND c.ts > p.ts - INTERVAL '1' HOUR GROUP BY p.event_id", "SELECT p.event_id, count(*) AS clicks FROM events p JOIN events c ON p.event_type = 'purchase' AND c.event_type = 'click' AND p.user_id = c.user_id AND c.ts <= p.ts AND c.ts > p.ts - INTERVAL '1 hour' GROUP BY p.event_id"),
+    "p_percentile": ("orders", "SELECT o_orderpriority, round(percentile(o_totalprice, 0.5), 4) AS med, round(percentile(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 4) AS med, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderpriority"),
+    # A sketch is compared by its promise: within a tenth of the exact count.
+    "p_approx_distinct": ("orders", "SELECT o_orderpriority, abs(approx_count_distinct(o_custkey, 0.02) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS close FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.25 * count(DISTINCT o_custkey) AS close FROM orders GROUP BY o_orderpriority"),
+    "p_union_all": ("customer supplier", "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) t GROUP BY k"),
+    "p_intersect_all": ("customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier"),
+    "p_except_all": ("customer supplier", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
+    "p_pivot_clause": ("lineitem", "SELECT * FROM (SELECT l_returnflag, l_linestatus FROM lineitem) PIVOT (count(*) FOR l_linestatus IN ('O' AS o, 'F' AS f))", "SELECT l_returnflag, nullif(count(*) FILTER (WHERE l_linestatus = 'O'), 0) AS o, nullif(count(*) FILTER (WHERE l_linestatus = 'F'), 0) AS f FROM lineitem GROUP BY l_returnflag"),
+    "p_math": ("orders", "SELECT o_orderkey, round(sqrt(o_totalprice), 6) AS s, round(ln(o_totalprice), 6) AS l, o_orderkey % 7 AS m, sign(o_totalprice - 100000) AS g FROM orders", "SELECT o_orderkey, round(sqrt(o_totalprice), 6) AS s, round(ln(o_totalprice), 6) AS l, o_orderkey % 7 AS m, CAST(sign(o_totalprice - 100000) AS DOUBLE) AS g FROM orders"),
+    "p_map": ("labels", "SELECT doc_id, map_values(m)[0] AS q, size(map_keys(m)) AS n FROM (SELECT doc_id, map('quality', quality, 'toxic', toxic) AS m FROM labels) t", "SELECT doc_id, map_values(m)[1] AS q, CAST(cardinality(m) AS INTEGER) AS n FROM (SELECT doc_id, MAP {'quality': quality, 'toxic': toxic} AS m FROM labels) t"),
+    "p_hop": ("events", "SELECT window(ts, '2 hours', '1 hour').start AS w, count(*) AS n FROM events GROUP BY window(ts, '2 hours', '1 hour')", "SELECT time_bucket(INTERVAL '1 hour', ts) - to_hours(CAST(k AS INTEGER)) AS w, count(*) AS n FROM events, range(0, 2) r(k) GROUP BY ALL"),
     "p_agg_pricing": ("lineitem", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus"),
     "p_agg_distinct": ("lineitem", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY l_returnflag"),
     "p_agg_filter_having": ("lineitem", "SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 10"),
@@ -41,7 +56,7 @@ STATEMENTS: dict[str, tuple[str, str] | tuple[str, str, str]] = {
     "p_json": ("events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"),
     "p_date": ("orders", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY year(o_orderdate), month(o_orderdate)", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, count(*) AS n FROM orders GROUP BY ALL"),
     "p_string": ("customer", "SELECT c_custkey, upper(c_mktsegment) AS u, substr(c_name, 1, 5) AS s, length(c_name) AS l, replace(c_name, '#', '-') AS r FROM customer", "SELECT c_custkey, upper(c_mktsegment) AS u, substr(c_name, 1, 5) AS s, CAST(length(c_name) AS INTEGER) AS l, replace(c_name, '#', '-') AS r FROM customer"),
-    "p_explode": ("embeddings", "SELECT vec_id, pos AS i, round(CAST(x AS DOUBLE), 6) AS x FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, x WHERE pos < 4", "SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS x FROM embeddings, range(0, 4) r(i)"),
+    "p_explode": ("embeddings", "SELECT vec_id, pos AS i, round(CAST(x AS DOUBLE), 6) AS x FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, x", "SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings) t"),
     "p_tumble": ("events", "SELECT window(ts, '1 hour').start AS w, event_type, count(*) AS n, round(sum(value), 6) AS v FROM events GROUP BY window(ts, '1 hour'), event_type", "SELECT time_bucket(INTERVAL '1 hour', ts) AS w, event_type, count(*) AS n, round(sum(value), 6) AS v FROM events GROUP BY ALL"),
     "p_session": ("events", "SELECT user_id, session_window(ts, '6 hours').start AS s, count(*) AS n FROM events GROUP BY user_id, session_window(ts, '6 hours')", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '6 hours' AND ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, min(ts) AS s, count(*) AS n FROM g GROUP BY user_id, g"),
 }

@@ -70,9 +70,20 @@ def a8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(V.table(spark, sf_dir, "documents"), QUERY, id_col="doc_id").withColumn("score", F.round("score", 6))
 
 
+def postings_of(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored postings, clustered by term, and their statistics."""
+    made = V.stored(spark, sf_dir, f"{name}-postings", lambda: R.postings(docs, id_col=id_col).repartitionByRange("term").sortWithinPartitions("term"))
+    return made, V.stored(spark, sf_dir, f"{name}-stats", lambda: R.document_stats(docs))
+
+
+def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = postings_of(spark, sf_dir, "documents", V.table(spark, sf_dir, "documents"), "doc_id")
+    return R.bm25_stored(*index, QUERY, id_col="doc_id").orderBy(F.desc("score"), "doc_id").limit(K)
+
+
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT {K}", views=False)
 def t3_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lexical_top_k(V.table(spark, sf_dir, "documents"), QUERY, K, id_col="doc_id").withColumn("score", F.round("score", 6))
+    return lexical_hits(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 @query("WITH t AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), u AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM t) SELECT term, doc_id, len, count(*) AS tf FROM u GROUP BY ALL", views=False)
@@ -86,7 +97,7 @@ _ARMS = f"{_Q}, {_BM25}, near AS (SELECT vec_id AS id, row_number() OVER (ORDER
 @query(f"WITH {_ARMS} SELECT id, round(sum(1.0 / (60 + rank)), 9) AS fused_score FROM arms GROUP BY id", views=False)
 def a7_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = R.vector_top_k(embeddings(spark, sf_dir), query_vector(spark, sf_dir), K)
-    lexical = R.lexical_top_k(V.table(spark, sf_dir, "documents"), QUERY, K, id_col="doc_id")
+    lexical = lexical_hits(spark, sf_dir)
     arms = R.ranked(near, ["distance", "uuid"], 0).unionByName(R.ranked(lexical, [F.desc("score"), "doc_id"], 1, "doc_id"))
     return R.fuse(arms).select("id", F.round("fused_score", 9).alias("fused_score"))
 
@@ -198,10 +209,11 @@ def c7_sprigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.summaries(V.records(spark, sf_dir)).select("summary_id", "session_id", "content", "token_count", "created_at")
 
 
-@query("SELECT s.session_id FROM summaries s WHERE s.session_id < 's00000050' ORDER BY created_at DESC, session_id LIMIT 1")
+@query("SELECT s.session_id FROM summaries s WHERE CAST(substr(s.session_id, 2) AS INTEGER) % 2 = 1 ORDER BY created_at DESC, session_id LIMIT 1")
 def c6_latest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = V.records(spark, sf_dir)
-    files = recs.where("session_id < 's00000050'").select(F.concat(F.lit("/p/one/"), "session_id", F.lit(".jsonl")).alias("file_path")).distinct()
+    project = F.when(F.col("conv_id") % 2 == 1, "/p/one/").otherwise("/p/two/")  # all files, of two projects
+    files = recs.select(F.concat(project, "session_id", F.lit(".jsonl")).alias("file_path")).distinct()
     return SU.latest_summarized_session(V.summaries(recs), files, "/p/one/")
 
 
@@ -237,13 +249,17 @@ def c3_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c2_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of retrieval: three arms, fusion, rerank, flags, composed score."""
     from ..functions.models import HashEmbedder, OverlapReranker, embed_udf, rerank_udf
-
-    recs = V.records(spark, sf_dir)
-    sums, model = V.summaries(recs), HashEmbedder(64)
-    embed = embed_udf(model)
-    by_record = recs.select("uuid", embed("raw").alias("embedding"))
-    by_summary = sums.select("summary_id", embed("content").alias("embedding"))
-    found = R.retrieve_candidates(recs, by_record, recs.select("uuid", F.col("raw").alias("text")), sums, by_summary, QUERY, model.embed([QUERY])[0], 20)
+    from ..functions.payload import record_text, text_udf
+
+    plain = V.records(spark, sf_dir)
+    recs, model = V.json_records(plain), HashEmbedder(64)
+    embed, texts = embed_udf(model), recs.select("uuid", text_udf(record_text)(F.col("raw")).alias("text"))
+    # What upkeep stores (C10, C11): summaries, embeddings, postings. A query only reads them.
+    sums = V.stored(spark, sf_dir, "summaries", lambda: V.summaries(plain))
+    by_record = V.stored(spark, sf_dir, "record-embeddings", lambda: texts.select("uuid", embed("text").alias("embedding")))
+    by_summary = V.stored(spark, sf_dir, "summary-embeddings", lambda: sums.select("summary_id", embed("content").alias("embedding")))
+    index = postings_of(spark, sf_dir, "records", texts, "uuid")
+    found = R.retrieve_candidates(recs, by_record, texts, sums, by_summary, QUERY, model.embed([QUERY])[0], 20, index)
     return R.retrieve_relevant(found, V.supersessions(recs), rerank_udf(OverlapReranker()), QUERY, NOW_MS, 10).select("id", "tier", "session_id", "fused_score", "rerank_score", "final_score", "superseded")
 
 

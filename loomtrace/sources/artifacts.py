@@ -77,7 +77,8 @@ def resolve_links(artifacts: DataFrame) -> DataFrame:
 def git_reverts(log: DataFrame) -> DataFrame:
     """X32, S18. log: ``value``, one commit each (``sha 0x1f message``), for instance read with
     ``spark.read.text(path, lineSep="\\x1e")``."""
-    cut = log.select(F.split(F.trim("value"), "\x1f", 2).alias("c")).where(F.size("c") == 2).select(F.trim(F.get("c", F.lit(0))).alias("sha"), F.get("c", F.lit(1)).alias("message"))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")  # noqa: E731  # commits are parted by line breaks, too
+    cut = log.select(F.split(bare(F.col("value")), "\x1f", 2).alias("c")).where(F.size("c") == 2).select(bare(F.get("c", F.lit(0))).alias("sha"), F.get("c", F.lit(1)).alias("message"))
     found = cut.where(F.col("message").rlike(r"(?m)^Revert ")).select(F.col("sha").alias("superseding_id"), F.explode(F.regexp_extract_all("message", F.lit(REVERTED), F.lit(1))).alias("superseded_id"))
     return found.where("superseding_id != '' and superseding_id != superseded_id").select("*", F.lit("git-revert").alias("source")).distinct()
 

@@ -13,6 +13,7 @@ import json
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -80,9 +81,10 @@ def complete_end(path: str, start: int = 0) -> int:
 
 
 def list_files(path: str) -> list[str]:
-    """A file, a glob, or all ``*.jsonl`` below a folder, sorted."""
+    """A file, a glob, or the ``*.jsonl`` in a folder and in the projects directly below it,
+    sorted. Folders below a project are not its transcripts."""
     if os.path.isdir(path):
-        return sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".jsonl"))
+        return sorted(x for pattern in ("*.jsonl", "*/*.jsonl") for x in glob.glob(os.path.join(glob.escape(path), pattern)))
     return sorted(glob.glob(path)) if glob.has_magic(path) else [path]
 
 
@@ -202,7 +204,8 @@ def read_session_index(spark: SparkSession, dirs: Sequence[str]) -> DataFrame:
     paths = [p for d in dirs if os.path.exists(p := os.path.join(d, "sessions-index.json"))]
     if not paths:
         return spark.createDataFrame([], "session_id string, summary string, first_prompt string, message_count int, created timestamp_ntz, modified timestamp_ntz, git_branch string, project_path string")
-    order = F.array_position(F.array(*[F.lit(os.path.basename(os.path.dirname(p))) for p in paths]), F.element_at(F.split(F.input_file_name(), "/"), -2))
+    whole = F.regexp_replace(F.input_file_name(), "^file:/+", "/")
+    order = F.array_position(F.array(*[F.lit(quote(os.path.abspath(p))) for p in paths]), whole)
     rows = spark.read.schema(INDEX).json(paths, multiLine=True).select(order.alias("place"), F.posexplode("entries").alias("at", "e"))
     last = rows.groupBy(F.col("e.sessionId").alias("session_id")).agg(F.max_by("e", F.struct("place", "at")).alias("e"))
     moment = lambda c: F.try_to_timestamp(F.col(c)).cast("timestamp_ntz")

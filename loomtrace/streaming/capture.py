@@ -21,7 +21,7 @@ SWEEP_INTERVAL = "300 seconds"
 
 def capture(lake: Lake, lines: DataFrame, threshold: int = 100_000) -> dict[str, int]:
     """Sort lines into records, malformed lines and blobs; each line ends in one of the first two
-    tables unless its key is known. Running it again adds nothing."""
+    tables unless its key is known. Running it again adds nothing. ``seen`` counts records (S1)."""
     now = int(time.time() * 1000)
     rows = parse_records(lines, threshold).persist()
     order = [F.col("file_path"), F.col("byte_offset")]
@@ -29,7 +29,7 @@ def capture(lake: Lake, lines: DataFrame, threshold: int = 100_000) -> dict[str,
     bad = rows.where("not valid").select("file_path", "byte_offset", F.col("raw").alias("line_text"), F.lit(now).alias("ingested_at"))
     blobs = good.select("file_path", "byte_offset", "session_id", F.explode("blobs").alias("b")).select("file_path", "byte_offset", "session_id", "b.*")
     meta = blobs.select("file_path", "byte_offset", "file_id", "session_id", F.floor(F.length("content") / 4).cast("int").alias("token_count"), F.length("content").cast("int").alias("original_size"), F.lit(now).alias("created_at"))
-    out = {"seen": rows.count(), "blobs": lake.insert("blobs", blobs, order), "blob_meta": lake.insert("blob_meta", meta, order), "records": lake.insert("records", good, order), "malformed": lake.insert("malformed_lines", bad, order)}
+    out = {"seen": good.count(), "blobs": lake.insert("blobs", blobs, order), "blob_meta": lake.insert("blob_meta", meta, order), "records": lake.insert("records", good, order), "malformed": lake.insert("malformed_lines", bad, order)}
     sessions = good.select("session_id").distinct()
     lake.insert("sessions", derive_sessions(lake.table("records"), sessions))
     rows.unpersist()

@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from loomtrace.plans import passthrough, reference, views
+from loomtrace.plans import passthrough, upkeep, views
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = {**reference.QUERIES, **passthrough.QUERIES}, {**reference.SQL, **passthrough.SQL}
+QUERIES, SQL = {**upkeep.QUERIES, **passthrough.QUERIES}, {**upkeep.SQL, **passthrough.SQL}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
