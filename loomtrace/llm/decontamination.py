@@ -8,8 +8,8 @@ one short hash a word, in the row itself: no row is multiplied, nothing is shuff
 frequent passage costs no more than a rare one.
 
 The index goes along with the plan, so its size is checked: up to ``max_windows`` distinct windows.
-A larger benchmark is joined instead: documents' windows and benchmark windows meet in a shuffled
-join on the window's hash, with the same result.
+A larger benchmark is joined instead: documents' windows that pass a bitmap of hashes and benchmark
+windows meet in a shuffled join on the window's hash, with the same result.
 
 Cases: null, empty and wordless texts have no words and no hits, such items no window. Repeated
 rows are judged one by one. An empty benchmark contaminates nothing; an item id that is null counts
@@ -23,6 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialise
 from .texts import Bitmap, constant, lower_words, once
 
 #: What separates words: everything in ASCII but digits and letters.
@@ -30,6 +31,8 @@ SEPARATOR = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 N = 10
 #: Distinct windows that may travel with the plan (about 150 bytes each).
 MAX_WINDOWS = 60_000
+#: Windows whose hashes may travel as a bitmap (about five bytes each).
+MAX_BITMAP = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -122,16 +125,22 @@ def _spans_in_row(docs: DataFrame, rows: list) -> DataFrame:
 
 
 def _spans_joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same for a benchmark of any size: windows meet in a shuffled join on their hash."""
-    lengths = [r[0] for r in windows.select(F.size("win").alias("n")).distinct().collect()]
-    keyed = docs.withColumn("row", F.struct(F.monotonically_increasing_id().alias("m"), F.xxhash64("w").alias("h")))
+    """The same for a benchmark of any size: windows meet in a shuffled join on their hash. Rows are
+    numbered in a written table, so that a recomputation can't number them anew. Places whose hash
+    isn't in a bitmap of the windows' hashes (up to ``MAX_BITMAP`` of them) stay out of the join."""
+    windows = materialise(windows, "benchmark-windows")
+    lengths = [r[0] for r in windows.select(F.size("win").alias("n")).distinct().collect()]  # n at most
+    keyed = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
+    hashes = [r[0] for r in windows.select(F.xxhash64("win")).limit(MAX_BITMAP + 1).collect()]
+    held = Bitmap(hashes, 16) if len(hashes) <= MAX_BITMAP else None
 
     def cut(n: int) -> Column:
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(i.alias("start"), F.xxhash64(F.slice("w", i + 1, n)).alias("hash"), F.lit(n).alias("length")))
 
     every = F.concat(*[cut(n) for n in lengths]) if lengths else F.array().cast("array<struct<start:int,hash:bigint,length:int>>")
-    scan = keyed.select("row", F.explode(every).alias("x")).select("row", "x.*")
+    places = F.filter("x", lambda x: held.holds(x["hash"])) if held else F.col("x")
+    scan = keyed.select("row", once(every).alias("x")).select("row", F.explode(places).alias("x")).select("row", "x.*")
     right = windows.select(F.xxhash64("win").alias("hash"), F.size("win").alias("length"), "win", "items")
     met = scan.join(right, ["hash", "length"])
     # Hashes of 64 bits nominate; the words decide.
