@@ -332,3 +332,29 @@ def test_pipeline_stage_by_stage(spark):
             assert ids == sorted(ids) or sorted(ids) == sorted(r.doc_id for r in kept["mixing"])
             assert all(r.ids_crc32 == want[r.doc_id] for r in kept[name])
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names; and no rows at all."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(400)]
+    body = [" ".join(words[k : k + 80]) for k in (0, 100, 200, 300)]
+    rows = [(1, body[0], "a"), (1, body[0], "a"), (2, body[1], None), (None, body[2], "b"), (3, None, "a"), (4, "", None), (None, None, None), (5, " ".join(f"x{i}" for i in range(60_000)), "b"), (6, body[3] + " end", "a"), (7, body[3], "b")]
+    odd = spark.createDataFrame([(*r, "k", 1, None) for r in rows], "doc_id long, text string, source string, `set` string, n_words int, row string")
+    items = spark.createDataFrame([(1, None), (2, "w100 w101 w102 w103 w104 w105 w106 w107 w108 w109")], "item_id long, text string")
+    for name, docs in (("odd", odd), ("empty", odd.where("false"))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        out = [r.doc_id for r in corpus_pipeline.run(spark, folder).collect()]
+        held = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            held = corpus_pipeline.materialise(run(spark, held, folder), "odd-stage")
+            assert held.columns == docs.columns
+            kept = [r.doc_id for r in held.collect()]
+            if name == "odd" and stage == "near dedup":
+                assert sorted(kept, key=str) == [1, 2, 5, 6, None]
+            if name == "odd" and stage == "decontamination":
+                assert sorted(kept, key=str) == [1, 5, 6, None]
+        assert sorted(out, key=str) == sorted(kept, key=str) and (name == "odd" or not out)
