@@ -10,8 +10,11 @@ blocked if its distrust exceeds ``ratio`` times its trust and, unless rules bloc
 the share a host would get by chance.
 
 Links are the absolute links of the pages' html, summed per pair of hosts before anything is
-joined. Mass that dangling hosts lose is scaled back at the end, which is the same as returning
-it to the seeds. Every iteration is written to the shared folder.
+joined. A round passes on the mass that is still moving, of which each host keeps ``1 - damping``;
+rounds end when no more than ``unsettled`` of the seeds' mass moves, so scores are off by no more
+than that before they are scaled, whatever the graph's size (at 0.85 and 0.01: 29 rounds at most).
+Mass that dangling hosts lose is scaled back at the end, which is the same as returning it to the
+seeds. Every round is written to the shared folder.
 
 Cases: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed.
 Null html has no links. Repeated rows are judged alike; empty tables give an empty result. Other
@@ -32,6 +35,8 @@ from .texts import LOWER, UPPER
 RULES: tuple[tuple[str, str], ...] = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Rules that are written into the plan; longer lists are joined.
 MAX_INLINE = 500
+#: Share of the seeds' mass that may still move when propagation ends.
+UNSETTLED = 0.01
 
 
 def host_of(url: Column) -> Column:
@@ -79,7 +84,7 @@ def host_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     return raw.select("src", dst.alias("dst")).where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, unsettled: float = UNSETTLED) -> DataFrame:
     """links: src, dst, n. seeds: host, allowed, blocked (pages; their shares of the host count).
     Returns host, trust, distrust; each sums to 1 over all hosts (or is 0 without seeds)."""
     forward = links.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n")
@@ -90,18 +95,21 @@ def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     ruled = F.col("allowed") + F.col("blocked")
     long = seeds.where(ruled > 0).select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), (F.col("allowed") / ruled).alias("n")), F.struct(F.lit("distrust").alias("kind"), (F.col("blocked") / ruled).alias("n")))).alias("s")).select("host", "s.*").where("n > 0")
     sums = long.groupBy("kind").agg(F.sum("n").alias("total"))
-    start = materialise(long.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed")), "host-seeds")
-    base = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("r"))
-    ranks = start.select("kind", "host", F.col("seed").alias("r"))
-    for _ in range(rounds if not edges.isEmpty() else 0):
-        moved = ranks.join(edges, ["kind", "host"]).select("kind", F.col("b").alias("host"), (damping * F.col("r") * F.col("w")).alias("r"))
-        ranks = materialise(base.unionByName(moved).groupBy("kind", "host").agg(F.sum("r").alias("r")), "host-ranks")
+    seed = F.col("n") / F.col("total")
+    # r: what a host has kept; m: what it passes on in the next round.
+    ranks = materialise(long.join(F.broadcast(sums), "kind").select("kind", "host", ((1 - damping) * seed).alias("r"), seed.alias("m")), "host-seeds")
+    moving = 0.0 if edges.isEmpty() else 1.0
+    while moving > unsettled:
+        sent = ranks.where("m > 0").join(edges, ["kind", "host"]).select("kind", F.col("b").alias("host"), (damping * F.col("m") * F.col("w")).alias("m"))
+        rows = ranks.select("kind", "host", "r", F.lit(0.0).alias("m")).unionByName(sent.select("kind", "host", ((1 - damping) * F.col("m")).alias("r"), "m"))
+        ranks = materialise(rows.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("m").alias("m")), "host-ranks")
+        moving = ranks.groupBy("kind").agg(F.sum("m").alias("m")).agg(F.coalesce(F.max("m"), F.lit(0.0))).first()[0]
     whole = ranks.groupBy("kind").agg(F.sum("r").alias("mass"))  # two rows
     scaled = ranks.join(F.broadcast(whole), "kind").select("host", "kind", (F.col("r") / F.col("mass")).alias("r"))
     return scaled.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 1.0, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 1.0, damping: float = 0.85, unsettled: float = UNSETTLED) -> DataFrame:
     """Per page: id, host, path, rule, verdict, and the host's trust and distrust."""
     judged = match_rules(pages.select(pages[id_col].alias(id_col), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path")), rules)
     count = lambda verdict: F.sum((F.col("rule_verdict").eqNullSafe(F.lit(verdict))).cast("long"))
@@ -110,7 +118,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, i
     links = materialise(host_links(pages, url_col=url_col, html_col=html_col), "host-links")
     every = hosts.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct().count()
     own = hosts.select("host", (F.col("blocked") > 0).alias("seed"))
-    scores = propagate(links, hosts, damping=damping, rounds=rounds).join(own, "host", "left").select(F.col("host").alias("scored"), "trust", "distrust", "seed")
+    scores = propagate(links, hosts, damping=damping, unsettled=unsettled).join(own, "host", "left").select(F.col("host").alias("scored"), "trust", "distrust", "seed")
     joined = judged.join(scores, F.col("host") == F.col("scored"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     bad = (distrust > ratio * trust) & (F.coalesce("seed", F.lit(False)) | (distrust > 1.0 / max(1, every)))
