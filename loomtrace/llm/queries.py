@@ -15,7 +15,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import quality_report
 from .token_output import read_token_files, write_token_files
-from .url_filter import filter_urls
+from .url_filter import RULES, UNSETTLED, filter_urls
 from .warc import page_report, write_archive
 
 #: The vocabulary of the token output; its place is looked up, nothing is copied.
@@ -87,6 +87,40 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest)
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS last FROM p),
+n AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(hex, 5 * g + 1, 5) AS BIGINT)) AS v FROM d)
+SELECT page_id, strlen(html) AS payload_bytes,
+array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM n
+"""
+
+_RULES = ", ".join("('{}', '{}', '/{}', '{}')".format(verdict, *rule.split("/", 1), rule) for verdict, rule in RULES)
+_HOST = "translate(regexp_extract({}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HREF = r"""<a\s[^>]*?href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]*)"""
+
+OP8_SQL = f"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES {_RULES}) v(verdict, rule_host, rule_path, rule)),
+p AS (SELECT page_id, row_number() OVER () AS r, {_HOST.format("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, html FROM pages),
+best AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r),
+judged AS (SELECT p.*, rule, verdict FROM p LEFT JOIN best USING (r)),
+hosts AS (SELECT host, count(*) FILTER (WHERE verdict = 'allow') AS allowed, count(*) FILTER (WHERE verdict = 'block') AS blocked FROM judged WHERE host <> '' GROUP BY host),
+hrefs AS (SELECT host AS src, unnest(regexp_extract_all(html, '{_HREF}', 1, 'i')) AS href FROM p WHERE html IS NOT NULL),
+links AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {_HOST.format("CASE WHEN starts_with(href, '//') THEN 'x:' || href ELSE href END")} AS dst FROM hrefs) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+ways AS (SELECT 'trust' AS kind, src AS a, dst AS b, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
+edges AS (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) AS w FROM ways),
+seeds AS (SELECT 'trust' AS kind, host, allowed / (allowed + blocked) AS n FROM hosts WHERE allowed > 0 UNION ALL SELECT 'distrust', host, blocked / (allowed + blocked) FROM hosts WHERE blocked > 0),
+moved AS (SELECT kind, host, CAST(n / sum(n) OVER (PARTITION BY kind) AS DOUBLE) AS m, 0 AS i FROM seeds UNION ALL SELECT kind, b, sum(0.85 * m * w), i + 1 FROM moved JOIN edges USING (kind) WHERE host = a AND i < 40 GROUP BY kind, b, i),
+masses AS (SELECT i, max(m) AS m FROM (SELECT kind, i, sum(m) AS m FROM moved GROUP BY kind, i) GROUP BY i),
+ranks AS (SELECT kind, host, sum(m) AS m FROM moved WHERE i <= coalesce((SELECT min(i) FROM masses WHERE m <= {UNSETTLED}), 40) GROUP BY kind, host),
+scores AS (SELECT host, coalesce(sum(m) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(m) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM (SELECT kind, host, m / sum(m) OVER (PARTITION BY kind) AS m FROM ranks) GROUP BY host),
+every AS (SELECT count(*) AS n FROM (SELECT host FROM hosts UNION SELECT dst FROM links)),
+bad AS (SELECT host FROM scores LEFT JOIN hosts USING (host), every WHERE distrust > trust AND (coalesce(blocked, 0) > 0 OR distrust > 1.0 / greatest(1, every.n)))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
+"""
+
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP5_SQL = f"""
@@ -149,4 +183,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_license_scan": OP7_SQL, "op9_near_dedup": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op3_chat_format": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_license_scan": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_near_dedup": OP9_SQL}
