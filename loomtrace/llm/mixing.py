@@ -10,7 +10,8 @@ one that stays open is a short one.
 
 The chain of pairs is a reduction tree: documents are dealt to buckets of bounded size by a hash
 of their id, each bucket leaves one fraction per source, and buckets combine by ``FAN`` until one
-is left. So a hot source has as many tasks as it has buckets. Levels are written to the shared
+is left, ``SOURCES`` sources in a task. So a hot source has as many tasks as it has buckets, and no
+task holds more than ``FAN * SOURCES`` of what buckets leave, however many sources there are. Levels are written to the shared
 folder; all draws come from hashes, so reruns agree whatever the partitioning.
 
 Cases: null texts and texts without a word have size 0 and take nothing. Null is a source of its
@@ -34,8 +35,8 @@ from .texts import WORD
 
 #: Documents of a bucket, about.
 BUCKET = 8192
-#: Buckets that combine into one.
-FAN = 64
+#: Buckets that combine into one, for so many sources in a task.
+FAN, SOURCES = 64, 128
 SEED = 20240607
 
 
@@ -124,17 +125,18 @@ def round_copies(sized: DataFrame, *, seed: int = SEED, bucket: int = BUCKET) ->
     done = [sized.where(whole).select(*columns, F.when(F.col("size") == 0, F.lit(0)).otherwise(base).cast("long").alias("copies"))]
     open_ = sized.where(~whole)
     buckets = max(1, -(-open_.count() // bucket))
-    rows = open_.select(*columns, (F.col("expected") - base).alias("fraction"), F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(buckets)).alias("bucket"))
-    schema = rows.select(*columns, "fraction", "bucket").schema
+    rows = open_.select(*columns, (F.col("expected") - base).alias("fraction"), F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(buckets)).alias("bucket"), F.lit(0).cast("long").alias("shard"))
+    schema = rows.schema
     while True:
         last = buckets == 1
         typed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-        rounded = materialise(rows.groupBy("bucket").applyInPandas(_bucket_rounder(last, seed + buckets), f"{typed}, up long"), "mix-level")
+        rounded = materialise(rows.groupBy("bucket", "shard").applyInPandas(_bucket_rounder(last, seed + buckets), f"{typed}, up long"), "mix-level")
         done.append(rounded.where("fraction = 0").select(*columns, (F.floor("expected").cast("long") + F.col("up")).alias("copies")))
         if last:
             return reduce(DataFrame.unionByName, done)
         buckets = -(-buckets // FAN)
-        rows = rounded.where("fraction > 0").select(*columns, "fraction", F.floor(F.col("bucket") / FAN).cast("long").alias("bucket"))
+        shard = F.floor(F.col("rank") / SOURCES).cast("long")
+        rows = rounded.where("fraction > 0").select(*columns, "fraction", F.floor(F.col("bucket") / FAN).cast("long").alias("bucket"), shard.alias("shard"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = SEED) -> DataFrame:

@@ -123,6 +123,26 @@ def test_copies_stay_in_their_source(spark):
     assert sorted(map(tuple, took.collect())) == sorted(map(tuple, mixing.take_mix(docs.repartition(7)).collect()))
 
 
+def test_many_sources_round_in_shards(spark, monkeypatch):
+    """Thousands of sources: each comes within a document of its target, however they are dealt to tasks."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("id") % 5 + 1), lambda i: F.lit("w")), " ")
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 900).alias("source"), text.alias("text")).persist()
+
+    def plan(sources):
+        monkeypatch.setattr(mixing, "SOURCES", sources)
+        sized = docs.select(F.col("doc_id").cast("string").alias("key"), F.xxhash64("doc_id").alias("draw"), F.xxhash64("source").alias("own"), "source", (F.col("doc_id") % 5 + 1).alias("size"), F.lit(0.4).alias("expected"))
+        ranked = sized.join(sized.select("source").distinct().withColumn("rank", F.substring("source", 2, 9).cast("int")), "source")
+        return {r.key: (r["rank"], r["size"], r.copies) for r in mixing.round_copies(ranked, bucket=500).collect()}
+
+    few, many = plan(64), plan(10_000)
+    assert few == many and len(few) == 6000
+    sums = {}
+    for rank, size, copies in few.values():
+        target, taken = sums.get(rank, (0.0, 0))
+        sums[rank] = (target + 0.4 * size, taken + copies * size)
+    assert len(sums) == 900 and all(abs(a - b) < 5 + 1e-6 for a, b in sums.values())
+
+
 def test_op8_rules(spark):
     got = {r.page_id: r for r in Q.op8_url_filter(spark, SF).collect()}
     judged = {}
