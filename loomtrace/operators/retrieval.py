@@ -103,17 +103,21 @@ def _settled(hits: DataFrame) -> DataFrame:
 def retrieve_candidates(records: DataFrame, record_embeddings: DataFrame, record_fts: DataFrame, summaries: DataFrame, summary_embeddings: DataFrame, query: str, vector: Sequence[float], k: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Three arms, fused; the k best with tier, distances and payload. Embeddings whose row is
     gone drop out before the cut. index: stored postings and statistics, instead of ``record_fts``."""
-    near = _settled(vector_top_k(record_embeddings.join(records.select("uuid"), "uuid", "left_semi"), vector, k))
+    near = vector_top_k(record_embeddings.join(records.select("uuid"), "uuid", "left_semi"), vector, k)
     if index is None:
         scored = bm25(record_fts.join(records.select("uuid"), "uuid", "left_semi"), query)
     else:
         scored = bm25_stored(*index, query).join(records.select("uuid"), "uuid", "left_semi")
-    lexical = _settled(scored.orderBy(F.desc("score"), "uuid").limit(k))
-    summary = _settled(vector_top_k(summary_embeddings.join(summaries.select("summary_id"), "summary_id", "left_semi"), vector, k, id_col="summary_id"))
-    arms = ranked(near, ["distance", "uuid"], 0).unionByName(ranked(lexical, [F.desc("score"), "uuid"], 1)).unionByName(ranked(summary, ["distance", "summary_id"], 2, "summary_id"))
-    fused = fuse(arms).withColumn("tier", F.when(F.col("first.arm") == 2, "summary").otherwise("primary"))
+    lexical = scored.orderBy(F.desc("score"), "uuid").limit(k)
+    summary = vector_top_k(summary_embeddings.join(summaries.select("summary_id"), "summary_id", "left_semi"), vector, k, id_col="summary_id")
+    arms = [hits.select(F.lit(arm).alias("arm"), F.col(key).alias("id"), F.col(value).alias("value")) for arm, (hits, key, value) in enumerate(((near, "uuid", "distance"), (lexical, "uuid", "score"), (summary, "summary_id", "distance")))]
+    held = _settled(reduce(DataFrame.unionByName, arms))  # one job for all arms, 3 k rows
+    best_first = F.when(F.col("arm") == 1, -F.col("value")).otherwise(F.col("value"))
+    fused = fuse(held.select("id", "arm", F.row_number().over(W.partitionBy("arm").orderBy(best_first, "id")).alias("rank")))
+    fused = fused.withColumn("tier", F.when(F.col("first.arm") == 2, "summary").otherwise("primary"))
     top = fused.orderBy(F.desc("fused_score"), "first").limit(k)
-    out = top.join(near.select(F.col("uuid").alias("id"), F.col("distance").alias("vector_distance")), "id", "left").join(lexical.select(F.col("uuid").alias("id"), F.col("score").alias("lexical_score")), "id", "left").join(summary.select(F.col("summary_id").alias("id"), F.col("distance").alias("summary_distance")), "id", "left")
+    found = held.groupBy("id").agg(*[F.max(F.when(F.col("arm") == arm, F.col("value"))).alias(name) for arm, name in enumerate(("vector_distance", "lexical_score", "summary_distance"))])
+    out = top.join(found, "id")
     rows = records.select(F.col("uuid").alias("id"), F.lit("primary").alias("tier"), "session_id", "type", "timestamp", "raw").unionByName(summaries.select(F.col("summary_id").alias("id"), F.lit("summary").alias("tier"), "session_id", F.lit(None).cast("string").alias("type"), F.lit(None).cast("timestamp_ntz").alias("timestamp"), F.col("content").alias("raw")))
     return rows.join(F.broadcast(out), ["id", "tier"])  # at most k rows
 

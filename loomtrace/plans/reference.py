@@ -251,16 +251,18 @@ def c2_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.models import HashEmbedder, OverlapReranker, embed_udf, rerank_udf
     from ..functions.payload import record_text, text_udf
 
-    plain = V.records(spark, sf_dir)
-    recs, model = V.json_records(plain), HashEmbedder(64)
+    plain, model = V.records(spark, sf_dir), HashEmbedder(64)
+    # The tables that capture fills; a query only reads them.
+    recs = V.stored(spark, sf_dir, "records", lambda: V.json_records(plain))
+    links = V.stored(spark, sf_dir, "supersessions", lambda: V.supersessions(plain))
     embed, texts = embed_udf(model), recs.select("uuid", text_udf(record_text)(F.col("raw")).alias("text"))
-    # What upkeep stores (C10, C11): summaries, embeddings, postings. A query only reads them.
+    # What upkeep stores (C10, C11): summaries, embeddings, postings.
     sums = V.stored(spark, sf_dir, "summaries", lambda: V.summaries(plain))
     by_record = V.stored(spark, sf_dir, "record-embeddings", lambda: texts.select("uuid", embed("text").alias("embedding")))
     by_summary = V.stored(spark, sf_dir, "summary-embeddings", lambda: sums.select("summary_id", embed("content").alias("embedding")))
     index = postings_of(spark, sf_dir, "records", texts, "uuid")
     found = R.retrieve_candidates(recs, by_record, texts, sums, by_summary, QUERY, model.embed([QUERY])[0], 20, index)
-    return R.retrieve_relevant(found, V.supersessions(recs), rerank_udf(OverlapReranker()), QUERY, NOW_MS, 10).select("id", "tier", "session_id", "fused_score", "rerank_score", "final_score", "superseded")
+    return R.retrieve_relevant(found, links, rerank_udf(OverlapReranker()), QUERY, NOW_MS, 10).select("id", "tier", "session_id", "fused_score", "rerank_score", "final_score", "superseded")
 
 
 @query("SELECT event_id, CASE WHEN value >= 0 THEN 1 / (1 + exp(-value)) ELSE exp(value) / (1 + exp(value)) END AS s, pow(0.5, greatest(0, value) / 2592000.0) AS d FROM events", views=False)
