@@ -52,7 +52,8 @@ from .texts import as_bytes, mix64, numbered, pieces, working
 class SketchSettings:
     """``percent``: similarity that links. ``base``, ``rate`` and ``limit`` are b, a and q + 1 of
     the sketch. ``slack``: standard deviations by which an estimate may fall short. ``block``:
-    classes of either side of a block, about, and ``block_bytes`` of their texts."""
+    classes of either side of a block, about, and ``block_bytes`` of their texts. ``hand``: members
+    that meet one copy of their centre's text, about."""
 
     shingle: int = 5
     percent: int = 75
@@ -64,6 +65,7 @@ class SketchSettings:
     slack: float = 4.0
     block: int = 2048
     block_bytes: int = 16 << 20
+    hand: int = 256
     seed: int = 7
 
     @property
@@ -223,23 +225,30 @@ def _texts(wanted: DataFrame, docs: DataFrame, s: SketchSettings) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, s: SketchSettings) -> DataFrame:
-    """The pairs that meet the limit on their full shingle sets."""
-    left, right = texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
+    """The pairs (centre a, member b) that meet the limit on their full shingle sets. A centre's
+    members are dealt to hands of about ``s.hand``; its text goes to each hand once, ahead of them."""
+    hands = pairs.groupBy("a").agg(F.ceil(F.count("*") / s.hand).cast("long").alias("hands"))
+    dealt = pairs.select("a", "b").join(hands, "a").select("a", "b", F.pmod(F.xxhash64("b"), "hands").alias("hand"))
+    members = dealt.join(texts.select(F.col("set").alias("b"), "text"), "b").select("a", "hand", "b", "text")
+    centres = dealt.select("a", "hand").distinct().join(texts.select(F.col("set").alias("a"), "text"), "a").select("a", "hand", F.lit(None).cast("binary").alias("b"), "text")
+    rows = centres.unionByName(members).repartition("a", "hand").sortWithinPartitions("a", "hand", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, set()
         for batch in batches:
-            for part in pieces(batch, "text_b"):
+            for part in pieces(batch, "text"):
                 linked = []
-                for a, x, y in zip(part.column("a").to_pylist(), as_bytes(part.column("text_a")), as_bytes(part.column("text_b"))):
-                    if a != name:
-                        name, held = a, _shingles(x, s.shingle)
-                    other = _shingles(y, s.shingle)
-                    both = len(held & other)
-                    linked.append(100 * both >= s.percent * (len(held) + len(other) - both))
+                for a, b, text in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), as_bytes(part.column("text"))):
+                    own = _shingles(text, s.shingle)
+                    if b is None:
+                        name, held = a, own
+                    elif a != name:
+                        raise ValueError("a centre's text is missing")
+                    both = len(held & own)
+                    linked.append(b is not None and 100 * both >= s.percent * (len(held) + len(own) - both))
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(working("near", run), "a binary, b binary")
+    return rows.select("a", "b", "text").mapInArrow(working("near", run), "a binary, b binary")
 
 
 def _compare_blocks(left: pd.DataFrame, right: pd.DataFrame, s: SketchSettings) -> pd.DataFrame:
@@ -306,10 +315,6 @@ def _rest(placed: DataFrame, held: DataFrame, texts: DataFrame, s: SketchSetting
     return left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(compare, "a binary, b binary")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: SketchSettings = SketchSettings()) -> DataFrame:
     """Per document: its id, n_shingles, ``set`` (class), ``component_id`` (least id reachable),
     ``component`` (least class reachable, null without shingles) and kept."""
@@ -327,7 +332,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = materialise(_texts(held.select("set", F.col("min_id").alias("id"), "fp"), source, s), "near-texts")
     centres = shared.join(held.select("set", "degree"), "set").groupBy("key").agg(F.max(F.struct("degree", "set")).alias("c")).select("key", F.col("c.set").alias("centre"))
     starred = materialise(shared.join(centres, "key"), "near-stars")
-    pairs = _ordered(starred.select(F.col("set").alias("a"), F.col("centre").alias("b")))
+    # Centres are ordered by degree and name, so no pair comes in both directions.
+    pairs = starred.where("set != centre").select(F.col("centre").alias("a"), F.col("set").alias("b")).distinct()
     links = materialise(_confirmed(materialise(_likely(pairs, held, s), "near-likely"), texts, s), "near-links")
     roots = materialise(components(links), "near-roots")
 

@@ -62,7 +62,7 @@ def test_near_duplicates(docs, empty):
 
 
 def test_near_groups_without_a_common_centre(spark):
-    """Chains and stars of copies, compared in blocks of a few."""
+    """Chains and stars of copies, compared in blocks and hands of a few."""
     rng = np.random.default_rng(5)
     base = [f"t{i}" for i in range(120)]
     rows = []
@@ -71,7 +71,7 @@ def test_near_groups_without_a_common_centre(spark):
         for at in rng.integers(0, 120, rng.integers(0, 5)):
             words[at] = f"r{rng.integers(0, 10**9)}"
         rows.append((i, " ".join(words)))
-    settings = near_dedup.SketchSettings(block=7)
+    settings = near_dedup.SketchSettings(block=7, hand=3)
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), settings=settings)
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == sorted(near_brute(rows))
 
