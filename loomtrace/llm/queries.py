@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import ball_k_means
 from .chat_format import format_chats, read_chats
 from .decontamination import find_contamination
 from .license_scan import PERCENT, TEMPLATES, scan_licenses
@@ -17,6 +18,8 @@ from .quality import quality_report
 from .token_output import read_token_files, write_token_files
 from .url_filter import RULES, UNSETTLED, filter_urls
 from .warc import page_report, write_archive
+from .whitening import whiten
+from .word_table import encode_decode
 
 #: The vocabulary of the token output; its place is looked up, nothing is copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -87,6 +90,18 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_k_means(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT *, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS last FROM p),
@@ -175,12 +190,28 @@ FROM o GROUP BY conv_id
 """
 
 
+def _ball_sql(rounds: int = 3) -> str:
+    """Each round spelled out: compare with all, then the floor of the means."""
+    whole = "list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT))"
+    steps = [f"kept AS (SELECT row_number() OVER () AS r, vec_id, {whole} AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64)",
+             "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), v) - 1 AS j, v AS c FROM kept QUALIFY j < 16)"]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT r, vec_id, v, min({{'d': d, 'j': j}}) AS b FROM (SELECT r, vec_id, v, j, CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS d FROM kept, c{k}) GROUP BY r, vec_id, v)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT j, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (SELECT b.j AS j, i, sum(v[i]) AS s, count(*) AS n FROM a{k}, range(1, 65) t(i) GROUP BY ALL) GROUP BY j)")
+            steps.append(f"c{k + 1} AS (SELECT c{k}.j, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (j))")
+    return f"WITH {', '.join(steps)} SELECT vec_id, CAST(b.j AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.j) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON b.j = c{rounds}.j"
+
+
+OP12_SQL = _ball_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_warc, op2_lm_scoring, op3_chat_format, op4_quality_rules, op5_decontamination, op6_mixing, op7_license_scan, op8_url_filter, op9_near_dedup, op10_token_output)
+    own = (op1_warc, op2_lm_scoring, op3_chat_format, op4_quality_rules, op5_decontamination, op6_mixing, op7_license_scan, op8_url_filter, op9_near_dedup, op10_token_output, op11_whitening, op12_centroid_clustering, op13_bpe_words)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_chat_format": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_license_scan": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_near_dedup": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op3_chat_format": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_license_scan": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_near_dedup": OP9_SQL, "op12_centroid_clustering": OP12_SQL}

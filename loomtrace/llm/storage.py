@@ -62,6 +62,12 @@ def write_bytes(uri: str, *parts: bytes) -> None:
     system.move(part, path)
 
 
+def remove(uri: str) -> None:
+    """Delete a folder of intermediate results."""
+    system, path = filesystem(uri)
+    system.delete_dir(path)
+
+
 def read_bytes(uri: str) -> bytes:
     system, path = filesystem(uri)
     with system.open_input_stream(path) as source:

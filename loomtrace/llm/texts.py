@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Word of the corpus contracts: a run of anything but ASCII white space. ``bytes.split()``
 #: cuts at exactly these six characters.
@@ -19,6 +20,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 4 << 20
 
 
+def id_first(df: DataFrame, id_col: str, name: str, rest: str) -> StructType:
+    """A schema: a table's id column, of its own type, under a name, and other columns (DDL)."""
+    return StructType([StructField(name, df.schema[id_col].dataType), *StructType.fromDDL(rest).fields])
+
+
 def pieces(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``step`` bytes of text each, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
