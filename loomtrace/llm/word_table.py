@@ -34,6 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
@@ -45,29 +46,53 @@ from .token_output import Encoder
 CHUNK_BYTES = 16 << 20
 BUCKETS = 1024
 
-BLOCKS = "path string, bucket int, start long, words string"
+#: words: separated by blanks, compressed.
+BLOCKS = "path string, bucket int, start long, words binary"
 CODED = "path string, start long, lengths binary, ids binary"
 
 
-# ---- a chunk's file: documents and, for each word of their texts, its number ----------------
+# ---- a chunk's file: documents, the bucket of each distinct word, the words of all texts ------
 
 
-def pack_chunk(ids: pa.Array, counts: np.ndarray, numbers: np.ndarray) -> bytes:
-    """Document ids with the number of their words, then the words' numbers."""
-    batch = pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64())], names=["id", "n"])
+def packed(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers as planes of their bytes, each compressed: high bytes are mostly alike."""
+    planes = range((int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    parts = [zstandard.compress((numbers >> (8 * k)).astype(np.uint8).tobytes()) for k in planes]
+    return struct.pack("<QB", len(numbers), len(parts)) + b"".join(struct.pack("<Q", len(x)) + x for x in parts)
+
+
+def unpacked(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """The reverse of ``packed``, and where it ends."""
+    n, count = struct.unpack_from("<QB", data, at)
+    at, out = at + 9, np.zeros(n, np.int64)
+    for k in range(count):
+        (size,) = struct.unpack_from("<Q", data, at)
+        plane = zstandard.decompress(data[at + 8 : at + 8 + size])
+        out |= np.frombuffer(plane, np.uint8).astype(np.int64) << (8 * k)
+        at += 8 + size
+    return out, at
+
+
+def pack_chunk(ids: pa.Array, counts: np.ndarray, bucket: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Document ids with the number of their words, each distinct word's bucket, each word's number."""
+    batch = pa.RecordBatch.from_arrays([ids], names=["id"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    head, raw = sink.getvalue().to_pybytes(), numbers.astype("<u4" if numbers.max(initial=0) > 0xFFFF else "<u2")
-    return struct.pack("<QQB", len(head), len(raw), raw.itemsize) + head + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+    return packed(counts) + packed(bucket) + packed(numbers) + sink.getvalue().to_pybytes()
+
+
+def unpack_chunk(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    counts, at = unpacked(data)
+    bucket, at = unpacked(data, at)
+    numbers, at = unpacked(data, at)
+    with pa.ipc.open_stream(pa.py_buffer(data[at:])) as source:
+        return source.read_all().column(0).combine_chunks(), counts, bucket, numbers
 
 
-def unpack_chunk(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    size, n, width = struct.unpack_from("<QQB", data)
-    with pa.ipc.open_stream(pa.py_buffer(data[17 : 17 + size])) as source:
-        table = source.read_all().combine_chunks()
-    raw = pa.decompress(data[17 + size :], decompressed_size=n * width, codec="zstd", asbytes=True) if n else b""
-    return table.column("id").combine_chunks(), table.column("n").to_numpy(), np.frombuffer(raw, f"<u{width}")
+def by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """The order in which blocks hold the words of a chunk's table."""
+    return np.argsort(bucket, kind="stable")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -99,16 +124,14 @@ def word_blocks(docs: DataFrame, folder: str, id_col: str, text_col: str, chunk_
         for ids, texts in chunks(batches, chunk_bytes):
             words, index, counts = numbered(texts)
             bucket = np.array([zlib.crc32(w) % buckets for w in words.tolist()], np.int64)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
+            order = by_bucket(bucket)
             path = f"{folder}/{uuid.uuid4().hex}.words"
-            write_bytes(path, pack_chunk(ids, counts, place[index]))
+            write_bytes(path, pack_chunk(ids, counts, bucket, index))
             own, starts = np.unique(bucket[order], return_index=True)
             own, starts = (own, starts) if len(own) else (np.zeros(1, np.int64), np.zeros(1, np.int64))
             ordered = words[order].tolist()
-            blocks = [b" ".join(ordered[a:b]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ordered)])]
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(own)), pa.array(own, pa.int32()), pa.array(starts, pa.int64()), pa.array(blocks, pa.binary()).cast(pa.string())], names=["path", "bucket", "start", "words"])
+            blocks = [zstandard.compress(b" ".join(ordered[a:b])) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ordered)])]
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(own)), pa.array(own, pa.int32()), pa.array(starts, pa.int64()), pa.array(blocks, pa.binary())], names=["path", "bucket", "start", "words"])
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(working("words", run), BLOCKS)
 
@@ -133,7 +156,8 @@ def coded(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         encoder, at, known = _encoder(tokenizer), None, {}
         for batch in batches:
             buckets = batch.column("bucket").to_numpy()
-            lists = [x.split(b" ") if x else [] for x in as_bytes(batch.column("words"))]
+            texts = [zstandard.decompress(x) for x in batch.column("words").to_pylist()]
+            lists = [x.split(b" ") if x else [] for x in texts]
             lengths, ids = [], []
             for begin in [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist()]:
                 end = begin + int(np.searchsorted(buckets[begin:], buckets[begin], side="right"))
@@ -143,8 +167,8 @@ def coded(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 known.update(zip(new, encoder.words(new)))
                 for words in lists[begin:end]:
                     spelled = [known[w] for w in words]
-                    lengths.append(np.array([len(x) // 4 for x in spelled], "<u4").tobytes())
-                    ids.append(b"".join(spelled))
+                    lengths.append(packed(np.array([len(x) // 4 for x in spelled], np.int64)))
+                    ids.append(packed(np.frombuffer(b"".join(spelled), "<u4")))
             encoder.tails = {"": b""}  # what the encoder keeps of punctuation would grow with the words
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("start"), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], names=["path", "start", "lengths", "ids"])
 
@@ -191,14 +215,15 @@ def documents(blocks: DataFrame, pieces_by_id: pa.Array, schema: StructType) ->
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by("start")
-        ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), "<u4")
-        sizes = np.frombuffer(b"".join(rows.column("lengths").to_pylist()), "<u4").astype(np.int64)
-        doc_ids, counts, numbers = unpack_chunk(read_bytes(rows.column("path")[0].as_py()))
+        ids, sizes = (np.concatenate([unpacked(x)[0] for x in rows.column(c).to_pylist()]) for c in ("ids", "lengths"))
+        doc_ids, counts, bucket, numbers = unpack_chunk(read_bytes(rows.column("path")[0].as_py()))
+        place = np.empty(len(bucket), np.int64)
+        place[by_bucket(bucket)] = np.arange(len(bucket))
         words = joined(shared.value.take(pa.array(ids)), sizes)  # id to piece, once a word
         ends = np.cumsum(counts)
         n_tokens, ids_digest, text_digest = [], [], []
         for begin, end in zip((ends - counts).tolist(), ends.tolist()):
-            own = numbers[begin:end]
+            own = place[numbers[begin:end]]
             own = own[sizes[own] > 0]
             found = gathered(ids, sizes, own).astype("<u4")
             text = joined(words.take(pa.array(own)), np.array([len(own)]))[0].as_buffer() if len(own) else b""

@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from loomtrace.llm import centroids as C
@@ -156,6 +157,13 @@ def plain_words(rows):
     return sorted(out)
 
 
+@pytest.mark.parametrize("numbers", [[], [0], [0, 0, 255], [256, 1, 70_000], [1 << 40, 3]])
+def test_packed_numbers_come_back(numbers):
+    data = T.packed(np.array(numbers, np.int64))
+    got, at = T.unpacked(b"xyz" + data + b"rest", 3)
+    assert got.tolist() == numbers and at == 3 + len(data)
+
+
 @pytest.mark.parametrize("options", [{}, {"chunk_bytes": 300, "buckets": 3}, {"chunk_bytes": 1, "buckets": 1}])
 def test_word_table_equals_whole_texts(spark, options):
     rows = [(i, x) for i, x in enumerate(ODD)] + [(3, "again"), (None, "no id"), (None, None)]
@@ -178,7 +186,8 @@ def test_words_are_encoded_once(spark, tmp_path):
     """However many chunks hold a word, its bucket's task spells it once."""
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same words and "), (F.col("id") % 7).cast("string")).alias("text"))
     blocks = T.word_blocks(docs, f"file://{tmp_path}", "doc_id", "text", chunk_bytes=100, buckets=4).collect()
-    assert len({b.path for b in blocks}) > 20 and {w for b in blocks for w in b.words.split()} == {"the", "same", "words", "and", *map(str, range(7))}
+    words = [zstandard.decompress(bytes(b.words)).split() for b in blocks]
+    assert len({b.path for b in blocks}) > 20 and {w.decode() for x in words for w in x} == {"the", "same", "words", "and", *map(str, range(7))}
     spelled = []
 
     class Counting:
@@ -191,11 +200,11 @@ def test_words_are_encoded_once(spark, tmp_path):
     T._ENCODERS["counting"] = Counting()
     try:
         column = lambda name, kind: pa.array([getattr(b, name) for b in sorted(blocks, key=lambda b: b.bucket)], kind)
-        batch = pa.RecordBatch.from_arrays([column("path", pa.string()), column("bucket", pa.int32()), column("start", pa.int64()), column("words", pa.string())], names=["path", "bucket", "start", "words"])
+        batch = pa.RecordBatch.from_arrays([column("path", pa.string()), column("bucket", pa.int32()), column("start", pa.int64()), column("words", pa.binary())], names=["path", "bucket", "start", "words"])
         made = list(T.coded("counting")(iter([batch.slice(0, 50), batch.slice(50)])))
     finally:
         del T._ENCODERS["counting"]
-    assert sorted(spelled) == sorted({w.encode() for b in blocks for w in b.words.split()}) and sum(b.num_rows for b in made) == len(blocks)
+    assert sorted(spelled) == sorted({w for x in words for w in x}) and sum(b.num_rows for b in made) == len(blocks)
 
 
 def test_a_long_text_is_one_chunk(spark):
