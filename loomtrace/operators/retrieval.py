@@ -111,7 +111,12 @@ def retrieve_candidates(records: DataFrame, record_embeddings: DataFrame, record
     lexical = scored.orderBy(F.desc("score"), "uuid").limit(k)
     summary = vector_top_k(summary_embeddings.join(summaries.select("summary_id"), "summary_id", "left_semi"), vector, k, id_col="summary_id")
     arms = [hits.select(F.lit(arm).alias("arm"), F.col(key).alias("id"), F.col(value).alias("value")) for arm, (hits, key, value) in enumerate(((near, "uuid", "distance"), (lexical, "uuid", "score"), (summary, "summary_id", "distance")))]
-    held = _settled(reduce(DataFrame.unionByName, arms))  # one job for all arms, 3 k rows
+    return fuse_arms(_settled(reduce(DataFrame.unionByName, arms)), records, summaries, k)  # one job for all arms
+
+
+def fuse_arms(held: DataFrame, records: DataFrame, summaries: DataFrame, k: int) -> DataFrame:
+    """C1 from the hits of all arms: arm (0 near records, 1 lexical, 2 near summaries), id, value; at most k
+    rows each. The k best with tier, distances and payload."""
     best_first = F.when(F.col("arm") == 1, -F.col("value")).otherwise(F.col("value"))
     fused = fuse(held.select("id", "arm", F.row_number().over(W.partitionBy("arm").orderBy(best_first, "id")).alias("rank")))
     fused = fused.withColumn("tier", F.when(F.col("first.arm") == 2, "summary").otherwise("primary"))

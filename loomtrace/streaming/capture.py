@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +13,21 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.models import embed_udf
 from ..functions.payload import record_text, text_udf
 from ..operators.lake import Lake
-from ..operators.sessions import derive_sessions
-from ..sources.jsonl import JsonlLines, complete_end, list_files, parse_records, read_lines
+from ..operators.sessions import derive_sessions, session_metadata
+from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
+from ..sources.jsonl import JsonlLines, complete_end, list_files, parse_records, read_lines, read_session_index
 
 FTS_INTERVAL_S = 3600.0
 SWEEP_INTERVAL = "300 seconds"
 
 
-def capture(lake: Lake, lines: DataFrame, threshold: int = 100_000) -> dict[str, int]:
+def capture(lake: Lake, lines: DataFrame, threshold: int = 100_000, index: DataFrame | None = None) -> dict[str, int]:
     """Sort lines into records, malformed lines and blobs; each line ends in one of the first two
-    tables unless its key is known. Running it again adds nothing. ``seen`` counts records (S1)."""
+    tables unless its key is known. Running it again adds nothing. ``seen`` counts records (S1).
+
+    Of the tables, only files that may hold a key or a session of the batch are read. Sessions take
+    their metadata from ``index`` where it has them (J15), from their records else."""
     now = int(time.time() * 1000)
     rows = parse_records(lines, threshold).persist()
     order = [F.col("file_path"), F.col("byte_offset")]
@@ -30,8 +36,10 @@ def capture(lake: Lake, lines: DataFrame, threshold: int = 100_000) -> dict[str,
     blobs = good.select("file_path", "byte_offset", "session_id", F.explode("blobs").alias("b")).select("file_path", "byte_offset", "session_id", "b.*")
     meta = blobs.select("file_path", "byte_offset", "file_id", "session_id", F.floor(F.length("content") / 4).cast("int").alias("token_count"), F.length("content").cast("int").alias("original_size"), F.lit(now).alias("created_at"))
     out = {"seen": good.count(), "blobs": lake.insert("blobs", blobs, order), "blob_meta": lake.insert("blob_meta", meta, order), "records": lake.insert("records", good, order), "malformed": lake.insert("malformed_lines", bad, order)}
-    sessions = good.select("session_id").distinct()
-    lake.insert("sessions", derive_sessions(lake.table("records"), sessions))
+    sessions = good.select("session_id").distinct().persist()
+    own = lake.rows_by("records", sessions)
+    lake.insert("sessions", derive_sessions(own, sessions) if index is None else session_metadata(sessions, index, own))
+    sessions.unpersist()
     rows.unpersist()
     return out
 
@@ -51,16 +59,21 @@ def capture_files(lake: Lake, path: str, threshold: int = 100_000, force: bool =
         return total
     marks = [(p, os.stat(p).st_mtime_ns, complete_end(p, at)) for p, at in offsets.items()]
     skip = {p: os.path.getsize(p) for p in list_files(path) if p not in offsets}
-    total = capture(lake, read_lines(lake.spark, path, offsets | skip), threshold)
+    total = capture(lake, read_lines(lake.spark, path, offsets | skip), threshold, session_index(lake.spark, offsets))
     lake.insert("file_mtimes", lake.spark.createDataFrame(marks, "file_path string, mtime_ns long, size_bytes long"))
     return total
 
 
+def session_index(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """The index files beside transcripts."""
+    return read_session_index(spark, sorted({os.path.dirname(p) for p in paths}))
+
+
 def watch(spark: SparkSession, lake: Lake, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Capture files as they grow. Offsets are in the checkpoint and batches idempotent."""
     spark.dataSource.register(JsonlLines)
     stream = spark.readStream.format("jsonl_lines").load(path)
-    return stream.writeStream.foreachBatch(lambda batch, _: capture(lake, batch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+    return stream.writeStream.foreachBatch(lambda batch, _: capture(lake, batch, index=session_index(spark, list_files(path)))).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
 def backfill(lake: Lake, embedder, limit: int | None = None) -> dict[str, int]:
@@ -75,7 +88,45 @@ def backfill(lake: Lake, embedder, limit: int | None = None) -> dict[str, int]:
 
 def rebuild_fts(lake: Lake) -> int:
     """C11, K4: project all records to text and swap the snapshot."""
-    return lake.replace("record_fts", lake.table("records").select("uuid", text_udf(record_text)(F.col("raw")).alias("text")))
+    return lake.replace("record_fts", record_texts(lake.table("records")))
+
+
+#: Share of vectors beyond an index at which it is built anew.
+STALE_SHARE = 0.2
+VECTOR_TABLES = {"record_embeddings": "uuid", "summary_embeddings": "summary_id"}
+
+
+def text_index(lake: Lake) -> TextIndex:
+    return TextIndex(lake.spark, f"{lake.root}/text_index")
+
+
+def vector_index(lake: Lake, table: str) -> VectorIndex:
+    return VectorIndex(lake.spark, f"{lake.root}/{table}_index")
+
+
+def record_texts(records: DataFrame) -> DataFrame:
+    return records.select("uuid", text_udf(record_text)(F.col("raw")).alias("text"))
+
+
+def sync_text(lake: Lake) -> int:
+    """C11: the records of commits that the index has not seen, as a segment of their own."""
+    index, commits = text_index(lake), lake.commits("records")
+    fresh = [c for c in commits if c not in set(index.state()["covers"])]
+    return index.add(record_texts(lake.read("records", fresh)), covers=fresh) if fresh else 0
+
+
+def sync_vectors(lake: Lake, force: bool = False) -> dict[str, int]:
+    """Build the index of a table anew once enough vectors lie beyond it; how many it holds then.
+    Until then they are scanned beside it."""
+    out = {}
+    for table, key in VECTOR_TABLES.items():
+        index, commits = vector_index(lake, table), lake.commits(table)
+        state = index.state()
+        beyond = [c for c in commits if c not in set(state.get("covers", ()))]
+        held = int(index.cells().sizes.sum()) if state.get("folder") else 0
+        if beyond and (force or lake.read(table, beyond).count() > STALE_SHARE * held):
+            out[table] = index.build(lake.table(table), id_col=key, covers=commits)
+    return out
 
 
 def should_rebuild(force: bool, embedded: int, last: float | None, now: float, interval: float = FTS_INTERVAL_S, throttled: bool = True) -> bool:
@@ -92,4 +143,9 @@ def sweep(lake: Lake, embedder, last_fts: float | None = None, force: bool = Fal
             return {"status": "already_running"}
         done = backfill(lake, embedder)
         rebuilt = should_rebuild(force, sum(done.values()), last_fts, time.time())
-        return {"status": "done", **done, "fts": rebuild_fts(lake) if rebuilt else None}
+        if not rebuilt:
+            return {"status": "done", **done, "fts": None}
+        fts = rebuild_fts(lake)
+        sync_text(lake)
+        sync_vectors(lake, force)
+        return {"status": "done", **done, "fts": fts}
