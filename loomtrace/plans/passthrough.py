@@ -15,7 +15,7 @@ STATEMENTS: dict[str, tuple[str, str] | tuple[str, str, str]] = {
     "p_join_left": ("customer orders", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"),
     "p_join_full": ("customer supplier", "SELECT c_nationkey, s_nationkey, count(*) AS n FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey > 3) c FULL JOIN (SELECT s_nationkey FROM supplier WHERE s_nationkey < 20) s ON c_nationkey = s_nationkey GROUP BY c_nationkey, s_nationkey"),
     "p_join_semi": ("customer orders", "SELECT c_custkey FROM customer LEFT SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON o_custkey = c_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
-    "p_join_anti": ("customer orders", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "p_join_anti": ("customer orders", "SELECT c_custkey FROM customer LEFT ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON o_custkey = c_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
     "p_join_theta": ("nation region", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
     # One window over both event types: a purchase takes the last click before it, in one sort per user.
     "p_asof": ("events", "SELECT event_id, last_click FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'click' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_click FROM events WHERE event_type IN ('purchase', 'click')) t WHERE event_type = 'purchase'", "SELECT p.event_id, max(c.ts) AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND c.ts <= p.ts GROUP BY p.event_id"),
@@ -49,11 +49,12 @@ STATEMENTS: dict[str, tuple[str, str] | tuple[str, str, str]] = {
     "p_topk_group": ("orders", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 3"),
     "p_union": ("customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
     "p_intersect": ("customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
-    "p_except": ("customer orders", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders"),
+    "p_except": ("customer orders", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000"),
     "p_recursive": ("conversations", "WITH RECURSIVE t(conv_id, turn, depth) AS (SELECT conv_id, turn, 0 FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1) SELECT conv_id, max(depth) AS depth FROM t GROUP BY conv_id"),
     "p_subquery": ("customer orders", "SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey) AND c_nationkey IN (SELECT max(c_nationkey) FROM customer)"),
     "p_correlated": ("orders", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)"),
     "p_json": ("events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"),
+    "p_variant": ("events", "SELECT event_id, variant_get(v, '$.k', 'int') AS k, try_variant_get(v, '$.none', 'string') AS none, schema_of_variant(variant_get(v, '$.k')) = 'BIGINT' AS whole FROM (SELECT event_id, parse_json(props) AS v FROM events) t", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, CAST(NULL AS VARCHAR) AS none, json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AS whole FROM events"),
     "p_date": ("orders", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY year(o_orderdate), month(o_orderdate)", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, count(*) AS n FROM orders GROUP BY ALL"),
     "p_string": ("customer", "SELECT c_custkey, upper(c_mktsegment) AS u, substr(c_name, 1, 5) AS s, length(c_name) AS l, replace(c_name, '#', '-') AS r FROM customer", "SELECT c_custkey, upper(c_mktsegment) AS u, substr(c_name, 1, 5) AS s, CAST(length(c_name) AS INTEGER) AS l, replace(c_name, '#', '-') AS r FROM customer"),
     "p_explode": ("embeddings", "SELECT vec_id, pos AS i, round(CAST(x AS DOUBLE), 6) AS x FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, x", "SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings) t"),

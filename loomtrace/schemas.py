@@ -33,5 +33,6 @@ TABLES: dict[str, Table] = {
     "summary_embeddings": Table("summary_id string, embedding array<float>, embedded_at long", ("summary_id",)),
     "record_fts": Table("uuid string, text string", ("uuid",), "snapshot"),
     "supersessions": Table("superseding_id string, superseded_id string, source string, created_at long", ("superseding_id", "superseded_id")),
+    "sweeps": Table("pass string, began_ms long, status string, embedded int, fts int, error string", ("pass",)),
     "blobs": Table("file_id string, content string", ("file_id",)),
 }

@@ -3,22 +3,28 @@
 ``spark.read.format("jsonl_lines")`` gives each complete line with its file and byte offset. Lines
 end at ``\\n`` alone; an unfinished last line is left for the next read, and an offset inside a
 line moves on to the next one. Files are cut into byte ranges of ``split_bytes``, each read by a
-task of its own.
+task of its own. ``growing_ranges`` is the stream of what such files get added.
 """
 
 from __future__ import annotations
 
 import glob
+import io
 import json
 import os
+import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import BinaryIO
 from urllib.parse import quote
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions.payload import parse_lines
@@ -43,22 +49,26 @@ class ByteRange(InputPartition):
 
 def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
     """The lines of a range, blank ones left out."""
+    with open(part.path, "rb") as source:
+        yield from read_open(source, part.path, part.start, part.stop)
+
+
+def read_open(source: BinaryIO, path: str, start: int, stop: int) -> Iterator[pa.RecordBatch]:
     rows: list[tuple[str, int, bytes]] = []
     size = 0
-    with open(part.path, "rb") as source:
-        if part.start > 0:
-            source.seek(part.start - 1)
-            source.readline()  # the rest of a line that began before, or its line break alone
-        while (at := source.tell()) < part.stop:
-            line = source.readline()
-            if not line.endswith(b"\n"):
-                break
-            if line.strip():
-                rows.append((part.path, at, line[:-1]))
-                size += len(line)
-            if size > 4 << 20:
-                yield _batch(rows)
-                rows, size = [], 0
+    if start > 0:
+        source.seek(start - 1)
+        source.readline()  # the rest of a line that began before, or its line break alone
+    while (at := source.tell()) < stop:
+        line = source.readline()
+        if not line.endswith(b"\n"):
+            break
+        if line.strip():
+            rows.append((path, at, line[:-1]))
+            size += len(line)
+        if size > 4 << 20:
+            yield _batch(rows)
+            rows, size = [], 0
     if rows:
         yield _batch(rows)
 
@@ -117,9 +127,6 @@ class JsonlLines(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return LinesReader(dict(self.options))
 
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return LinesStream(dict(self.options))
-
 
 class LinesReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -137,24 +144,119 @@ class LinesReader(DataSourceReader):
         return read_range(partition)
 
 
-class LinesStream(DataSourceStreamReader):
-    """Offsets are the consumed bytes per file, so files may grow between batches."""
+# ---- files as they grow --------------------------------------------------------------------
 
-    def __init__(self, options: dict):
-        self.path, self.split = options["path"], int(options.get("split_bytes", SPLIT_BYTES))
+
+@dataclass
+class Folder(InputPartition):
+    """The transcripts directly in a folder, or one file."""
+
+    path: str
+
+    def __init__(self, path: str):
+        super().__init__(None)
+        self.path = path
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+class JsonlListing(DataSource):
+    """``file_path, size, mtime_us`` of the transcripts below a path, anew with every batch. The driver
+    lists the projects; what is in them is listed by tasks, one a project."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "jsonl_listing"
+
+    def schema(self) -> str:
+        return "file_path string, size long, mtime_us long"
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return ListingStream(self.options["path"])
+
+
+class ListingStream(DataSourceStreamReader):
+    """The offset is a number that grows; what was read of a file is state of the query."""
+
+    def __init__(self, path: str):
+        self.path = path
 
     def initialOffset(self) -> dict:
-        return {"files": "{}"}
+        return {"at": 0}
 
     def latestOffset(self) -> dict:
-        return {"files": json.dumps({p: complete_end(p) for p in list_files(self.path)}, sort_keys=True)}
+        return {"at": time.time_ns()}
+
+    def partitions(self, start: dict, end: dict) -> list[Folder]:
+        system, path = _opened(self.path)
+        if system.get_file_info(path).type != fs.FileType.Directory:
+            return [Folder(path)]
+        inner = system.get_file_info(fs.FileSelector(path))
+        return [Folder(path), *(Folder(x.path) for x in sorted(inner, key=lambda x: x.path) if x.type == fs.FileType.Directory)]
+
+    def read(self, partition: Folder) -> Iterator[tuple[str, int, int]]:
+        system = _opened(self.path)[0]
+        info = system.get_file_info(partition.path)
+        found = system.get_file_info(fs.FileSelector(partition.path)) if info.type == fs.FileType.Directory else [info]
+        for x in found:
+            if x.type == fs.FileType.File and x.path.endswith(".jsonl"):
+                yield x.path, x.size, int(x.mtime_ns or 0) // 1000
+
+
+def last_line_end(source: pa.NativeFile, start: int, size: int) -> int:
+    """S3 for an open file: the offset after the last complete line before ``size``."""
+    end = size
+    while end > start:
+        begin = max(start, end - (1 << 16))
+        source.seek(begin)
+        if (at := source.read(end - begin).rfind(b"\n")) >= 0:
+            return begin + at + 1
+        end = begin
+    return start
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        before, after = json.loads(start["files"]), json.loads(end["files"])
-        return [r for p, stop in sorted(after.items()) for r in _ranges(p, before.get(p, 0), stop, self.split)] or [ByteRange(os.devnull, 0, 0)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        return read_range(partition)
+def growing_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of ``file_path, start, stop``, what is new and complete of each file. How
+    far a file was read, and its time then, is state of the query, kept by file. A file that became
+    shorter is another one and is read from its beginning; keys that are known are not added again."""
+    spark.dataSource.register(JsonlListing)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        offset, seen = state.get if state.exists else (0, -1)
+        out = []
+        for batch in batches:
+            for size, mtime in zip(batch["size"].tolist(), batch["mtime_us"].tolist()):
+                offset = 0 if size < offset else offset
+                if mtime == seen and size <= offset:
+                    continue
+                system, name = _opened(path)[0], key[0]
+                with system.open_input_file(name) as source:
+                    stop = last_line_end(source, offset, size)
+                if stop > offset:
+                    out.append((name, offset, stop))
+                offset, seen = stop, mtime
+        state.update((offset, seen))
+        yield pd.DataFrame(out, columns=["file_path", "start", "stop"])
+
+    listed = spark.readStream.format("jsonl_listing").load(path)
+    return listed.groupBy("file_path").applyInPandasWithState(advance, "file_path string, start long, stop long", "offset long, seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def lines_of(ranges: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The lines of ranges of files below ``path``, cut into ranges of ``split_bytes`` for a task each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = _opened(path)[0]
+        for batch in batches:
+            for row in batch.to_pylist():
+                with system.open_input_file(row["file_path"]) as file, io.BufferedReader(file) as source:
+                    yield from read_open(source, row["file_path"], row["start"], row["stop"])
+
+    cut = F.explode(F.sequence("start", F.greatest("start", F.col("stop") - 1), F.lit(split_bytes)))
+    parts = ranges.select("file_path", cut.alias("start"), "stop").withColumn("stop", F.least("stop", F.col("start") + split_bytes))
+    return parts.repartition("file_path", "start").mapInArrow(run, SCHEMA)
 
 
 def read_lines(spark: SparkSession, path: str, offsets: dict[str, int] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -16,7 +16,8 @@ from ..operators.lake import Lake
 from ..operators.sessions import derive_sessions, session_metadata
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
-from ..sources.jsonl import JsonlLines, complete_end, list_files, parse_records, read_lines, read_session_index
+from ..schemas import TABLES
+from ..sources.jsonl import complete_end, growing_ranges, lines_of, list_files, parse_records, read_lines, read_session_index
 
 FTS_INTERVAL_S = 3600.0
 SWEEP_INTERVAL = "300 seconds"
@@ -70,10 +71,41 @@ def session_index(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
 
 
 def watch(spark: SparkSession, lake: Lake, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Capture files as they grow. Offsets are in the checkpoint and batches idempotent."""
-    spark.dataSource.register(JsonlLines)
-    stream = spark.readStream.format("jsonl_lines").load(path)
-    return stream.writeStream.foreachBatch(lambda batch, _: capture(lake, batch, index=session_index(spark, list_files(path)))).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+    """Capture files as they grow. How far each was read is state below the checkpoint; a batch
+    that failed is repeated and adds nothing twice."""
+
+    def batch(ranges: DataFrame, _: int) -> None:
+        ranges = ranges.persist()
+        folders = [r.d for r in ranges.select(F.regexp_replace("file_path", "/[^/]*$", "").alias("d")).distinct().collect()]  # projects with news
+        if folders:
+            capture(lake, lines_of(ranges, path), index=read_session_index(spark, sorted(folders)))
+        ranges.unpersist()
+
+    return growing_ranges(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
+def keep_up(spark: SparkSession, lake: Lake, embedder, checkpoint: str, trigger: dict | None = None, interval: float = FTS_INTERVAL_S) -> StreamingQuery:
+    """The sweep again and again. A pass that fails is noted and the next one goes on with
+    all that has no embedding yet, whatever came in between; the text index is due at most once an
+    interval, and after a restart counts from its last commit. Passes are rows of ``sweeps``."""
+
+    def batch(_: DataFrame, number: int) -> None:
+        began = int(time.time() * 1000)
+        try:
+            done = sweep(lake, embedder, last_fts=last_rebuild(lake), interval=interval)
+            note = (number, began, done["status"], sum(done.get(x, 0) for x in VECTOR_TABLES), done.get("fts"), None)
+        except Exception as error:  # a model or a disk that fails now may be back for the next pass
+            note = (number, began, "failed", None, None, next((x for x in reversed(str(error).splitlines()) if x.strip()), "")[:500])
+        lake.insert("sweeps", spark.createDataFrame([(f"{checkpoint}:{number}", *note[1:])], TABLES["sweeps"].ddl))
+
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": SWEEP_INTERVAL})).start()
+
+
+def last_rebuild(lake: Lake) -> float | None:
+    """When the last sweep rebuilt the text index, in seconds."""
+    at = lake.table("sweeps").where("fts is not null").agg(F.max("began_ms")).first()[0]
+    return None if at is None else at / 1000
 
 
 def backfill(lake: Lake, embedder, limit: int | None = None) -> dict[str, int]:
@@ -136,13 +168,13 @@ def should_rebuild(force: bool, embedded: int, last: float | None, now: float, i
     return embedded > 0 and (not throttled or last is None or now - last >= interval)
 
 
-def sweep(lake: Lake, embedder, last_fts: float | None = None, force: bool = False) -> dict:
+def sweep(lake: Lake, embedder, last_fts: float | None = None, force: bool = False, interval: float = FTS_INTERVAL_S) -> dict:
     """One upkeep pass, unless another is running."""
     with lake.single_flight("sweep") as mine:
         if not mine:
             return {"status": "already_running"}
         done = backfill(lake, embedder)
-        rebuilt = should_rebuild(force, sum(done.values()), last_fts, time.time())
+        rebuilt = should_rebuild(force, sum(done.values()), last_fts, time.time(), interval)
         if not rebuilt:
             return {"status": "done", **done, "fts": None}
         fts = rebuild_fts(lake)

@@ -10,7 +10,7 @@ from loomtrace.functions import payload as P
 from loomtrace.operators import retrieval as R
 from loomtrace.operators import sessions as SE
 from loomtrace.sources.jsonl import complete_end, project_dirs, read_history, read_session_index
-from loomtrace.streaming.capture import should_rebuild, sweep, watch
+from loomtrace.streaming.capture import keep_up, should_rebuild, sweep, watch
 
 
 def line(uuid=None, session="s1", kind="user", text="hello", at="2024-03-01T10:00:00.000Z", **more):
@@ -173,3 +173,70 @@ def test_snapshot_survives_a_failed_write(spark, engine):
 def test_session_text(spark):
     rows = spark.createDataFrame([("u", "user", None, json.dumps({"message": {"role": "user", "content": "hi"}}))], "uuid string, type string, timestamp timestamp_ntz, raw string")
     assert SE.session_text(rows, "s") == "# Session s\n\n## user\n\nuser: hi"
+
+
+def test_stream_of_files_that_shrink_or_end_in_a_line(spark, engine, tmp_path):
+    folder = tmp_path / "in" / "project"
+    folder.mkdir(parents=True)
+    file = folder / "a.jsonl"
+
+    def run():
+        watch(spark, engine.lake, str(tmp_path / "in"), str(tmp_path / "cp"), {"availableNow": True}).awaitTermination()
+        return sorted(r.uuid for r in engine.lake.table("records").collect())
+
+    file.write_text(line("a") + "\n" + line("b") + "\n" + line("c")[:30])
+    assert run() == ["a", "b"]
+    with file.open("a") as out:
+        out.write(line("c")[30:] + "\n")
+    (folder / "b.jsonl").write_text(line("d", "s4") + "\n")
+    (folder / "deep").mkdir()
+    (folder / "deep" / "x.jsonl").write_text(line("hidden") + "\n")
+    assert run() == ["a", "b", "c", "d"]
+    file.write_text(line("e") + "\n")  # shorter than what was read of it
+    (folder / "sessions-index.json").write_text(json.dumps({"entries": [{"sessionId": "s1", "summary": "indexed"}]}))
+    assert run() == ["a", "b", "c", "d", "e"]
+    assert engine.lake.table("sessions").where("session_id = 's1'").first().summary == "indexed"
+    assert run() == ["a", "b", "c", "d", "e"]
+
+
+def flaky(mark):
+    """An embedder that fails until it is mended: a mark in a file, since tasks have their own copy."""
+
+    class Flaky:
+        def embed(self, texts):
+            import os
+
+            if not os.path.exists(mark):
+                raise RuntimeError("the model is gone")
+            return [[1.0, 2.0] for _ in texts]
+
+    return Flaky()
+
+
+def test_sweeps_go_on_after_a_failed_pass(spark, engine, tmp_path):
+    import time
+
+    path = tmp_path / "s1.jsonl"
+    path.write_text(line("a") + "\n" + line("b") + "\n")
+    engine.refresh(str(path))
+    mark = tmp_path / "mended"
+    query = keep_up(spark, engine.lake, flaky(str(mark)), str(tmp_path / "cp"), {"processingTime": "1 second"})
+    try:
+        passes = lambda: engine.lake.table("sweeps").orderBy("began_ms").collect()
+        until = time.time() + 240
+        while not passes() and time.time() < until:
+            time.sleep(0.5)
+        with path.open("a") as out:
+            out.write(line("c") + "\n")
+        engine.refresh(str(path))
+        mark.write_text("")
+        while len([p for p in passes() if p.status == "done"]) < 2 and time.time() < until:
+            time.sleep(0.5)
+        assert query.isActive
+    finally:
+        query.stop()
+    rows = passes()
+    done = [p for p in rows if p.status == "done"]
+    assert rows[0].status == "failed" and "gone" in rows[0].error
+    assert [p.embedded for p in done[:2]] == [3, 0] and [p.fts for p in done[:2]] == [3, None]  # throttled, nothing new
+    assert engine.lake.table("record_embeddings").count() == 3

@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from loomtrace.plans import indexes, passthrough, upkeep, views
+from loomtrace.plans import indexes, passthrough, streams, upkeep, views
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = {**upkeep.QUERIES, **indexes.QUERIES, **passthrough.QUERIES}, {**upkeep.SQL, **indexes.SQL, **passthrough.SQL}
+QUERIES, SQL = {**upkeep.QUERIES, **indexes.QUERIES, **streams.QUERIES, **passthrough.QUERIES}, {**upkeep.SQL, **indexes.SQL, **streams.SQL, **passthrough.SQL}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
