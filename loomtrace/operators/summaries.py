@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import logging
+import subprocess
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,35 +69,72 @@ def accepted(text: str, budget: int) -> bool:
 
 def escalate(source: str, previous: str, levels: tuple[Callable[[str, str], str], ...], budget: int | None = None) -> str:
     """The first level whose output is shorter than its input (``budget`` tokens, or as many as
-    the source has); truncation at last."""
+    the source has); truncation at last. A level that fails or takes too long is passed over."""
     budget = tokens_of(source) if budget is None else budget
     for level in levels:
-        text = level(source, previous)
+        try:
+            text = level(source, previous)
+        except (RuntimeError, OSError, ValueError, subprocess.SubprocessError) as error:
+            logging.getLogger(__name__).warning("a level failed: %s", error)
+            continue
         if accepted(text, budget):
             return text.strip()
     return fallback_summary(source, budget)
 
 
+@dataclass(frozen=True)
+class Command:
+    """M3: a level that asks a program: the prompt on its standard input, the answer on its output.
+    It is stopped after ``seconds``; another exit code than 0 is an error. NULs are dropped from both."""
+
+    command: tuple[str, ...]
+    instruction: str = ""
+    seconds: float = 120.0
+
+    def __call__(self, source: str, previous: str) -> str:
+        prompt = "\n\n".join(x for x in (self.instruction, f"Summary so far:\n{previous}" if previous else "", source) if x)
+        done = subprocess.run(self.command, input=prompt.replace("\0", "").encode(), capture_output=True, timeout=self.seconds, check=False)
+        if done.returncode:
+            raise RuntimeError(f"{self.command[0]} ended with {done.returncode}: {done.stderr.decode(errors='replace')[:500]}")
+        return done.stdout.decode(errors="replace").replace("\0", "").strip()
+
+
+def chunk_by_chunk(rows: Iterator[tuple], size: int) -> Iterator[tuple[str, int, list[tuple]]]:
+    """Full chunks (session, number, rows) of rows that come session by session and in order, the
+    session first; one chunk is held at a time, and an unfinished last one is left out."""
+    session, number, held = object(), 0, []
+    for row in rows:
+        if row[0] != session:
+            session, number, held = row[0], 0, []
+        held.append(row)
+        if len(held) == size:
+            yield session, number, held
+            number, held = number + 1, []
+
+
 def make_sprigs(records: DataFrame, summaries: DataFrame, created_ms: int, levels: tuple = (), size: int = CHUNK) -> DataFrame:
-    """One sprig per full chunk. A session's chunks are summarised in order, each with the
-    one before it at hand, by one task; sessions are independent."""
-    rows = full_chunks(unsummarized(records, summaries), size).select("session_id", "chunk", "uuid", "type", "raw", "timestamp")
+    """One sprig per full chunk. A session's messages come to one task in order and pass
+    through it: it holds one chunk and the summary before it, however long the session is. Sessions
+    are independent."""
+    rows = unsummarized(records, summaries).select("session_id", "uuid", "type", "raw", "timestamp")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, previous = [], ""
-        for chunk, part in pdf.sort_values(["timestamp", "uuid"], na_position="last").groupby("chunk", sort=True):
-            source = messages_text(list(zip(part["uuid"], part["type"], part["raw"])))
-            previous = escalate(source, previous, levels)
-            out.append((part["session_id"].iloc[0], previous, [], list(part["uuid"]), created_ms + int(chunk)))
-        return pd.DataFrame(out, columns=["session_id", "content", "parent_ids", "message_uuids", "created_at"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (tuple(r.values()) for b in batches for i in range(0, b.num_rows, 256) for r in b.slice(i, 256).to_pylist())
+        previous = ""
+        for session, number, chunk in chunk_by_chunk(stream, size):
+            previous = escalate(messages_text([r[1:4] for r in chunk]), previous if number else "", levels)
+            yield pa.RecordBatch.from_pylist([{"session_id": session, "content": previous, "message_uuids": [r[1] for r in chunk], "created_at": created_ms + number}], schema=made_as)
 
-    made = rows.groupBy("session_id").applyInPandas(run, "session_id string, content string, parent_ids array<string>, message_uuids array<string>, created_at long")
-    return summary_rows(made.withColumn("parent_files", F.array().cast("array<string>")), "sprig")
+    made_as = pa.schema([("session_id", pa.string()), ("content", pa.string()), ("message_uuids", pa.list_(pa.string())), ("created_at", pa.int64())])
+    ordered = rows.repartition("session_id").sortWithinPartitions("session_id", F.asc_nulls_last("timestamp"), "uuid").drop("timestamp")
+    made = ordered.mapInArrow(run, "session_id string, content string, message_uuids array<string>, created_at long")
+    none = F.array().cast("array<string>")
+    return summary_rows(made.withColumns({"parent_ids": none, "parent_files": none}), "sprig")
 
 
 def make_bindles(summaries: DataFrame, created_ms: int, levels: tuple = (), at: int = CONDENSE_AT) -> DataFrame:
     """One bindle of all open sprigs of a session that has enough."""
-    parts = condensable(summaries, at).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "summary_id", "content", "file_ids"))).alias("p"), F.sum("token_count").alias("tokens"))  # A9: stored counts
+    parts = condensable(summaries, at).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "summary_id", "content", "file_ids"))).alias("p"), F.sum(F.coalesce("token_count", estimate_tokens(F.col("content")))).alias("tokens"))  # A9: stored counts, or counted anew
 
     @F.pandas_udf("string")
     def condense(texts: pd.Series, tokens: pd.Series) -> pd.Series:

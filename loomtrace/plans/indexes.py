@@ -6,12 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.models import OverlapReranker, rerank_udf
+from ..functions.payload import record_text, text_udf
+from ..operators import retrieval as R
 from ..operators.lake import Lake
 from ..operators.sessions import derive_sessions, session_metadata
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from . import views as V
-from .reference import _BM25, _DIST, _Q, K, QUERIES, QUERY, SQL, embeddings, query, query_vector
+from .reference import _BM25, _DIST, _Q, K, NOW_MS, QUERIES, QUERY, SQL, embeddings, query, query_vector
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -81,3 +84,31 @@ def j15_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_metadata(recs.select("session_id"), entries, recs).select("session_id", "summary", "git_branch", "message_count")
 
 
+
+
+_RANK = "row_number() OVER (ORDER BY"
+_FINAL = f"1 / (1 + exp(-logit)) * pow(0.5, CASE WHEN tier = 'primary' THEN greatest(0, ({NOW_MS} - epoch_ms(timestamp)) / 1000.0) ELSE 0 END / 2592000.0) * CASE WHEN type IN ('progress', 'system') THEN 0.5 ELSE 1 END * CASE WHEN superseded THEN 0.05 ELSE 1 END * CASE WHEN tier = 'primary' THEN 1 ELSE 0.5 END"
+
+
+@query(f"""WITH {V.DUCK}, {_Q}, vec AS (SELECT vec_id, {_DIST} AS d FROM embeddings, q0), nv AS (SELECT count(*) AS n FROM embeddings),
+documents AS (SELECT uuid AS doc_id, type || CASE WHEN raw <> '' THEN ': ' || raw ELSE '' END AS text FROM records), {_BM25},
+near AS (SELECT uuid AS id, {_RANK} d, uuid) AS rank FROM records, nv, vec WHERE vec_id = (conv_id * 7 + turn) % n QUALIFY rank <= 20),
+lex AS (SELECT doc_id AS id, {_RANK} score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20),
+told AS (SELECT summary_id AS id, {_RANK} d, summary_id) AS rank FROM summaries, nv, vec WHERE vec_id = created_at % n QUALIFY rank <= 20),
+arms AS (SELECT 0 AS arm, * FROM near UNION ALL SELECT 1, * FROM lex UNION ALL SELECT 2, * FROM told),
+fused AS (SELECT id, sum(1.0 / (60 + rank)) AS f, min({{'arm': arm, 'rank': rank}}) AS first FROM arms GROUP BY id ORDER BY f DESC, first LIMIT 20),
+found AS (SELECT id, f, 'primary' AS tier, session_id, type, timestamp, text FROM fused JOIN records ON uuid = id JOIN documents ON doc_id = id UNION ALL SELECT id, f, 'summary', session_id, NULL, NULL, content FROM fused JOIN summaries ON summary_id = id),
+scored AS (SELECT *, 8.0 * len(list_intersect(string_split_regex(lower(text), '\s+'), ['the', 'and', 'of'])) / 3 - 4 AS logit, id IN (SELECT superseded_id FROM supersessions) OR session_id IN (SELECT superseded_id FROM supersessions) AS superseded FROM found)
+SELECT id, tier, session_id, round(f, 9) AS fused_score, round(logit, 9) AS rerank_score, superseded, round({_FINAL}, 15) AS final_score FROM scored ORDER BY {_FINAL} DESC, id LIMIT 10""", views=False)
+def c2_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval whole, over the vectors of the embeddings table."""
+    plain, given = V.records(spark, sf_dir), V.table(spark, sf_dir, "embeddings")
+    recs, n = V.json_records(plain), given.count()
+    sums = V.summaries(plain)
+    vectors = given.select("vec_id", "embedding")
+    of_records = plain.withColumn("vec_id", F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(n))).join(vectors, "vec_id").select("uuid", "embedding")
+    of_summaries = sums.withColumn("vec_id", F.pmod("created_at", F.lit(n))).join(vectors, "vec_id").select("summary_id", "embedding")
+    texts = recs.select("uuid", text_udf(record_text)(F.col("raw")).alias("text"))
+    found = R.retrieve_candidates(recs, of_records, texts, sums, of_summaries, QUERY, query_vector(spark, sf_dir), 20)
+    best = R.retrieve_relevant(found, V.supersessions(plain), rerank_udf(OverlapReranker()), QUERY, NOW_MS, 10)
+    return best.select("id", "tier", "session_id", F.round("fused_score", 9).alias("fused_score"), F.round("rerank_score", 9).alias("rerank_score"), "superseded", F.round("final_score", 15).alias("final_score"))

@@ -3,6 +3,7 @@ from the driver's tables, with SQL."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -154,6 +155,26 @@ def c8_sprigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SU.make_sprigs(recs, V.summaries(V.records(spark, sf_dir)).where("false"), 0, size=4).select("session_id", "message_uuids", F.col("created_at").alias("at"))
 
 
+def _chained(source: str, previous: str) -> str:
+    """A level whose output depends on all chunks before."""
+    return "S" + hashlib.sha256((source + previous).encode()).hexdigest()[:12]
+
+
+_SOURCES = "sources AS (SELECT session_id, chunk, string_agg('[Message ' || uuid || '] (' || type || ')' || chr(10) || CASE WHEN raw <> '' THEN raw || chr(10) ELSE '' END, chr(10) ORDER BY timestamp, uuid) AS source, count(*) AS m FROM numbered WHERE chunk < n // 4 GROUP BY session_id, chunk)"
+_CHAIN = "chain AS (SELECT session_id, chunk, 'S' || substr(sha256(source), 1, 12) AS content FROM sources WHERE chunk = 0 UNION ALL SELECT s.session_id, s.chunk, 'S' || substr(sha256(s.source || c.content), 1, 12) FROM chain c JOIN sources s ON s.session_id = c.session_id AND s.chunk = c.chunk + 1)"
+
+
+@query(f"WITH RECURSIVE {V.DUCK},\n{_SOURCES}, {_CHAIN} SELECT 'sum_' || substr(sha256(content || CAST(chunk AS VARCHAR)), 1, 16) AS summary_id, session_id, content, CAST(greatest(1, length(content) // 4) AS INTEGER) AS token_count, CAST(chunk AS BIGINT) AS created_at FROM chain", views=False)
+def w4_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sprig is made from its chunk and the sprig before; a level that fails comes first."""
+    def broken(source: str, previous: str) -> str:
+        raise RuntimeError("no model")
+
+    recs = V.records(spark, sf_dir)
+    made = SU.make_sprigs(V.json_records(recs), V.summaries(recs).where("false"), 0, (broken, _chained), size=4)
+    return made.select("summary_id", "session_id", "content", "token_count", "created_at")
+
+
 @query("SELECT session_id, list(summary_id ORDER BY created_at, summary_id) AS parent_ids FROM summaries GROUP BY session_id HAVING count(*) >= 2")
 def c8_bindles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bindle of a session's open sprigs."""
