@@ -179,26 +179,6 @@ def fallback_summary(text: str, input_tokens: int) -> str:
     return source[:1]
 
 
-def rehydrated(raw: str, blobs: dict[str, str]) -> tuple[str, list[str]]:
-    """Markers in any string of a payload replaced by their blobs; ids that are missing."""
-    missing: list[str] = []
-    pattern = re.compile(r"\[Large Content: (file_[0-9a-f]{16})\] \[Tokens: ~\d+\]")
-
-    def put(match: re.Match) -> str:
-        if match[1] not in blobs:
-            missing.append(match[1])
-        return blobs.get(match[1], match[0])
-
-    def walk(value: Any) -> Any:
-        if isinstance(value, str):
-            return pattern.sub(put, value)
-        if isinstance(value, list):
-            return [walk(x) for x in value]
-        return {k: walk(x) for k, x in value.items()} if isinstance(value, dict) else value
-
-    return json.dumps(walk(json.loads(raw))), sorted(set(missing))
-
-
 def without_code(text: str) -> str:
     """Fenced code becomes its line breaks, inline code a blank."""
     return re.sub(r"`[^`]*`", " ", re.sub(r"```.*?```", lambda m: "\n" * m[0].count("\n"), text, flags=re.DOTALL))

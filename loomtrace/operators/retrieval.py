@@ -127,15 +127,17 @@ def fuse_arms(held: DataFrame, records: DataFrame, summaries: DataFrame, k: int)
     return rows.join(F.broadcast(out), ["id", "tier"])  # at most k rows
 
 
-def flag_superseded(candidates: DataFrame, supersessions: DataFrame) -> DataFrame:
-    """Superseded by its own id or by its session's."""
+def flag_superseded(candidates: DataFrame, supersessions: DataFrame, few: bool = True) -> DataFrame:
+    """Superseded by its own id or by its session's. few: the candidates are a top k, so what
+    concerns them is sent; else both flags are joined by shuffles."""
     ids = supersessions.select(F.col("superseded_id").alias("gone")).distinct()
-    wanted = candidates.select(F.explode(F.array("id", "session_id")).alias("gone")).distinct()
-    few = ids.join(F.broadcast(wanted), "gone", "left_semi")  # no more than two per candidate
-    by_id = few.select(F.col("gone").alias("id"), F.lit(True).alias("own"))
-    by_session = few.select(F.col("gone").alias("session_id"), F.lit(True).alias("of_session"))
-    joined = candidates.join(F.broadcast(by_id), "id", "left").join(F.broadcast(by_session), "session_id", "left")
-    return joined.withColumn("superseded", F.coalesce("own", F.lit(False)) | F.coalesce("of_session", F.lit(False))).drop("own", "of_session")
+    if few:
+        wanted = candidates.select(F.explode(F.array("id", "session_id")).alias("gone")).distinct()
+        ids = F.broadcast(ids.join(F.broadcast(wanted), "gone", "left_semi"))  # no more than two per candidate
+    joined = candidates
+    for column, flag in (("id", "_own"), ("session_id", "_of_session")):
+        joined = joined.join(ids.select(F.col("gone").alias(column), F.lit(True).alias(flag)), column, "left")
+    return joined.withColumn("superseded", F.coalesce("_own", "_of_session", F.lit(False))).drop("_own", "_of_session")
 
 
 def rank_candidates(candidates: DataFrame, now_ms: int, k: int | None = None, half_life: float = S.HALF_LIFE_SECONDS) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.payload import fallback_summary, messages_text, tokens_of
 from ..functions.scoring import estimate_tokens
 from ..functions.text import file_ids, summary_id
+from .sessions import places
 
 # Fixed values of the summary contract.
 CHUNK = 20
@@ -36,8 +37,12 @@ def uncondensed(summaries: DataFrame) -> DataFrame:
     return summaries.where("kind = 'sprig'").join(used, "summary_id", "left_anti")
 
 
-def full_chunks(messages: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Messages with their chunk; those of an unfinished last chunk are left out."""
+def full_chunks(messages: DataFrame, size: int = CHUNK, folder: str | None = None) -> DataFrame:
+    """Messages with their chunk; those of an unfinished last chunk are left out. With a folder
+    for intermediate rows a long session is numbered by several tasks."""
+    if folder:
+        held = places(messages, "session_id", [F.asc_nulls_last("timestamp"), "uuid"], folder)
+        return held.withColumn("chunk", F.floor((F.col("place") - 1) / size).cast("int")).where(F.col("chunk") < F.floor(F.col("size") / size)).drop("place", "size")
     w = W.partitionBy("session_id").orderBy(F.asc_nulls_last("timestamp"), "uuid")
     n = F.count("*").over(W.partitionBy("session_id"))
     numbered = messages.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("int")).withColumn("_n", n)

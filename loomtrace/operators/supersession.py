@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lake import Lake
@@ -30,6 +31,11 @@ def superseded_sessions(links: DataFrame, records: DataFrame) -> DataFrame:
     return superseded_ids(links).join(records.select(F.col("session_id").alias("superseded_id")).distinct(), "superseded_id", "left_semi")
 
 
+def ranked_links(links: DataFrame) -> DataFrame:
+    """T8 for all items: each link's ``place`` among those that supersede the same item, newest first."""
+    return links.withColumn("place", F.row_number().over(W.partitionBy("superseded_id").orderBy(F.desc("created_at"), "superseding_id")))
+
+
 def links_for(links: DataFrame, item: str) -> DataFrame:
     """What supersedes an item, newest first."""
     return links.where(F.col("superseded_id") == item).orderBy(F.desc("created_at"), "superseding_id")

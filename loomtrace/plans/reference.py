@@ -114,13 +114,13 @@ def a1_session_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT session_id, substr(arg_min(raw, (timestamp, uuid)), 1, 500) AS first_prompt FROM records WHERE type = 'user' GROUP BY session_id")
 def a2_first_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = V.records(spark, sf_dir).where("type = 'user'")
-    return users.groupBy("session_id").agg(F.substring(F.min_by("raw", F.struct("timestamp", "uuid")), 1, 500).alias("first_prompt"))
+    users = V.json_records(V.records(spark, sf_dir).where("type = 'user'"))
+    return SE.derive_sessions(users).select("session_id", "first_prompt")
 
 
 @query("SELECT count(*) AS n, max(uuid) AS max_uuid FROM records")
 def a4_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.records(spark, sf_dir).agg(F.count("*").alias("n"), F.max("uuid").alias("max_uuid"))
+    return SE.extent(V.records(spark, sf_dir), "uuid")
 
 
 @query("SELECT DISTINCT superseded_id FROM supersessions")
@@ -168,24 +168,17 @@ def j10_session_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j11_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every record is asked for here, so both sides are shuffled; retrieval flags k candidates.
     recs = V.records(spark, sf_dir)
-    gone = SP.superseded_ids(V.supersessions(recs))
-    by_id = gone.select(F.col("superseded_id").alias("id"), F.lit(True).alias("own"))
-    by_session = gone.select(F.col("superseded_id").alias("session_id"), F.lit(True).alias("of_session"))
-    joined = recs.select(F.col("uuid").alias("id"), "session_id").join(by_id, "id", "left").join(by_session, "session_id", "left")
-    return joined.select("id", "session_id", (F.coalesce("own", F.lit(False)) | F.coalesce("of_session", F.lit(False))).alias("superseded"))
+    return R.flag_superseded(recs.select(F.col("uuid").alias("id"), "session_id"), V.supersessions(recs), few=False)
 
 
 @query("SELECT superseded_id, superseding_id, row_number() OVER (PARTITION BY superseded_id ORDER BY created_at DESC, superseding_id) AS place FROM supersessions")
 def t8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    links = V.supersessions(V.records(spark, sf_dir))
-    return links.select("superseded_id", "superseding_id", F.row_number().over(W.partitionBy("superseded_id").orderBy(F.desc("created_at"), "superseding_id")).alias("place"))
+    return SP.ranked_links(V.supersessions(V.records(spark, sf_dir))).select("superseded_id", "superseding_id", "place")
 
 
 @query("SELECT uuid FROM records WHERE uuid > 'c00000010' ORDER BY uuid LIMIT 256")
 def s16_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.records(spark, sf_dir).where("uuid > 'c00000010'").orderBy("uuid").limit(256).select("uuid")
+    return SE.page_after(V.records(spark, sf_dir).select("uuid"), "uuid", "c00000010", 256)
 
 
 @query("SELECT session_id, uuid, CAST(chunk AS INTEGER) AS chunk FROM numbered WHERE chunk < n // 4")
@@ -194,6 +187,13 @@ def w1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SU.full_chunks(recs, 4).select("session_id", "uuid", "chunk")
 
 
+@query("SELECT session_id, uuid, CAST(chunk AS INTEGER) AS chunk FROM numbered WHERE chunk < n // 4")
+def w1_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 with sessions numbered by several tasks each."""
+    recs = V.records(spark, sf_dir).where(F.col("type").isin("user", "assistant"))
+    return SU.full_chunks(recs, 4, V.scratch(spark, "places")).select("session_id", "uuid", "chunk")
+
+
 @query("SELECT summary_id, session_id FROM summaries WHERE session_id IN (SELECT session_id FROM summaries GROUP BY 1 HAVING count(*) >= 2)")
 def w2_condensable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SU.condensable(V.summaries(V.records(spark, sf_dir)), 2).select("summary_id", "session_id")
@@ -240,9 +240,8 @@ _SCORE = f"(1 / (1 + exp(-{_LOGIT}))) * pow(0.5, greatest(0, {_AGE}) / 2592000.0
 @query(f"SELECT uuid AS id, round({_SCORE}, 18) AS final_score FROM records ORDER BY {_SCORE} DESC, uuid LIMIT 20")
 def c3_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = V.records(spark, sf_dir)
-    flagged = j11_flag(spark, sf_dir).select("id", "superseded")
-    rows = recs.select(F.col("uuid").alias("id"), "type", "timestamp", F.lit("primary").alias("tier"), (((F.length("raw") % 17) - 8) / 4.0).alias("rerank_score")).join(flagged, "id")
-    return R.rank_candidates(rows, NOW_MS, 20).select("id", F.round("final_score", 18).alias("final_score"))
+    rows = recs.select(F.col("uuid").alias("id"), "session_id", "type", "timestamp", F.lit("primary").alias("tier"), (((F.length("raw") % 17) - 8) / 4.0).alias("rerank_score"))
+    return R.rank_candidates(R.flag_superseded(rows, V.supersessions(recs), few=False), NOW_MS, 20).select("id", F.round("final_score", 18).alias("final_score"))
 
 
 @query()

@@ -7,7 +7,6 @@ import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
@@ -66,6 +65,14 @@ def c4_rehydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SE.full_session(rows, blobs, "s00000001").select("uuid", F.get_json_object("raw", "$.message.content").alias("text"))
 
 
+@query("SELECT uuid, raw AS text, [] AS missing_blobs FROM records")
+def c4_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4, X6, X7, A12 over all sessions: every payload's blobs put back by joins."""
+    rows = parsed(spark, sf_dir, 50).where("valid").select("uuid", "session_id", "timestamp", "raw", "blobs")
+    blobs = rows.select(F.explode("blobs").alias("b")).select("b.*").dropDuplicates(["file_id"])
+    return SE.rehydrate(rows.drop("blobs"), blobs).select("uuid", F.get_json_object("raw", "$.message.content").alias("text"), "missing_blobs")
+
+
 @query("SELECT DISTINCT 'file_' || substr(sha256(raw), 1, 16) AS file_id FROM records WHERE session_id = 's00000001' AND length(raw) > 50")
 def a12_missing_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a session lacks when the blob store is empty."""
@@ -312,5 +319,5 @@ def c5_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT uuid, session_id, row_number() OVER (PARTITION BY session_id ORDER BY timestamp, uuid) AS place FROM records")
 def t6_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order in which a session is read."""
-    w = W.partitionBy("session_id").orderBy(F.asc_nulls_last("timestamp"), "uuid")
-    return V.records(spark, sf_dir).select("uuid", "session_id", F.row_number().over(w).alias("place"))
+    rows = V.records(spark, sf_dir).select("uuid", "session_id", "timestamp")
+    return SE.places(rows, "session_id", [F.asc_nulls_last("timestamp"), "uuid"], V.scratch(spark, "places")).select("uuid", "session_id", "place")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -39,13 +38,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder in the session's shared folder; in one process without one, a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="loomtrace-")
-    return re.sub("^file:/+", "/", root.rstrip("/")) + f"/{label}-{uuid4().hex}"
+    return shared_folder(spark, label)
 
 
 _STORED: dict[tuple[str, str, str], str] = {}

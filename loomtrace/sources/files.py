@@ -8,11 +8,23 @@ from __future__ import annotations
 import os
 import re
 import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new name in the folder that driver and executors share (``spark.checkpoint.dir``); in one
+    process without one, in a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="loomtrace-")
+    return re.sub("^file:/+", "/", root.rstrip("/")) + f"/{label}-{uuid.uuid4().hex}"
+
+
 class Files:
     def __init__(self, spark: SparkSession):
         self.spark = spark

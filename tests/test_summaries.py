@@ -51,3 +51,40 @@ def test_sessions_do_not_meet(spark):
     assert sorted((r.session_id, r.created_at, r.content) for r in made) == sorted(x for s in range(5) for x in ((f"s{s}", 100, f"<>u{s}-000]"), (f"s{s}", 101, f"<{f'<>u{s}-000]'[-8:]}>u{s}-004]")))
     parents = spark.createDataFrame([(f"p{i}", "s", "sprig", 1, TEXT, None, [], [], [], i) for i in range(4)], SU.ROW)
     assert SU.make_bindles(parents, 9).first().token_count < 4 * tokens_of(TEXT)  # counts are missing: counted anew
+
+
+def test_a_long_session_is_numbered_by_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomtrace.operators.sessions import places
+
+    long = spark.range(60_000).select(F.when(F.col("id") < 50_000, "long").when(F.col("id") < 50_500, None).otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("session_id"), F.when(F.col("id") % 11 == 0, None).otherwise(F.expr("timestamp_ntz'2024-01-01'") + F.make_dt_interval(secs=F.col("id") % 5000)).alias("timestamp"), F.lpad(F.col("id").cast("string"), 8, "0").alias("uuid"))
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as it is with more rows
+    try:
+        got = places(long, "session_id", [F.asc_nulls_last("timestamp"), "uuid"], str(tmp_path / "places")).persist()
+        parts = spark.read.parquet(str(tmp_path / "places")).where("session_id = 'long'").select("_part").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert parts > 1 and got.count() == 60_000
+    own = sorted(got.where("session_id = 'long'").collect(), key=lambda r: (r.timestamp is None, r.timestamp, r.uuid) if r.timestamp else (True, 0, r.uuid))
+    assert [r.place for r in own] == list(range(1, 50_001)) and {r["size"] for r in own} == {50_000}
+    none = got.where("session_id is null")
+    assert sorted(r.place for r in none.collect()) == list(range(1, 501))
+    got.unpersist()
+
+
+def test_blobs_are_put_back_by_joins(spark):
+    import json
+
+    from loomtrace.operators.sessions import rehydrate
+
+    mark = lambda c: f"[Large Content: file_{c * 16}] [Tokens: ~9]"
+    odd = 'quotes " back\\slash \n line é 😀 </s>  '
+    rows = [("a", json.dumps({"t": f"x {mark('a')} y {mark('b')}{mark('a')}", "n": [1, {"k": mark("c")}]})), ("b", '{"t": "plain"}'), ("c", None), ("d", json.dumps({"t": mark("a")})), ("e", "not json " + mark("b"))]
+    records = spark.createDataFrame(rows, "uuid string, raw string")
+    blobs = spark.createDataFrame([("file_" + "a" * 16, odd), ("file_" + "b" * 16, "")], "file_id string, content string")
+    got = {r.uuid: r for r in rehydrate(records, blobs).collect()}
+    assert json.loads(got["a"].raw) == {"t": f"x {odd} y {odd}", "n": [1, {"k": mark("c")}]} and got["a"].missing_blobs == ["file_" + "c" * 16]
+    assert got["b"].raw == '{"t": "plain"}' and got["c"].raw is None and json.loads(got["d"].raw) == {"t": odd}
+    assert got["e"].raw == "not json " and got["d"].missing_blobs == [] and rehydrate(records.where("false"), blobs).count() == 0
