@@ -17,6 +17,7 @@ from ..operators import summaries as SU
 from ..operators import supersession as SP
 from ..operators.lake import Lake
 from ..sources import artifacts as A
+from ..sources import blobs as B
 from ..sources.jsonl import parse_records, read_history, read_lines, read_session_index
 from ..streaming import capture as C
 from . import views as V
@@ -57,6 +58,18 @@ def x5_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("uuid", "raw", F.explode("blobs").alias("b")).select("uuid", "b.file_id", F.length("b.content").alias("size"), F.get_json_object("raw", "$.message.content").alias("left"))
 
 
+@query("SELECT DISTINCT 'file_' || substr(sha256(raw), 1, 16) AS file_id, raw AS content, true AS written FROM records WHERE length(raw) > 150")
+def k5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs as files by content, read back by id through SQL; no second write replaces one."""
+    rows, root = parsed(spark, sf_dir, 150).where("valid"), V.scratch(spark, "blob-files")
+    blobs = rows.select(F.explode("blobs").alias("b")).select("b.*").dropDuplicates(["file_id"])
+    made = V.scratch(spark, "blob-names")
+    B.write_blobs(blobs, root).write.parquet(made)
+    B.register_reader(spark, root)
+    spark.read.parquet(made).createOrReplaceTempView("blob_names")
+    return spark.sql("SELECT file_id, read_blob_file(file_id) AS content, written FROM blob_names")
+
+
 @query("SELECT uuid, raw AS text FROM records WHERE session_id = 's00000001'")
 def c4_rehydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session's payloads with the blobs put back."""

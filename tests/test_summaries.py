@@ -88,3 +88,18 @@ def test_blobs_are_put_back_by_joins(spark):
     assert json.loads(got["a"].raw) == {"t": f"x {odd} y {odd}", "n": [1, {"k": mark("c")}]} and got["a"].missing_blobs == ["file_" + "c" * 16]
     assert got["b"].raw == '{"t": "plain"}' and got["c"].raw is None and json.loads(got["d"].raw) == {"t": odd}
     assert got["e"].raw == "not json " and got["d"].missing_blobs == [] and rehydrate(records.where("false"), blobs).count() == 0
+
+
+def test_blobs_as_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomtrace.sources.blobs import blob_reader, write_blobs
+
+    name = lambda c: "file_" + c * 16
+    blobs = spark.createDataFrame([(name("a"), "one é"), (name("b"), ""), (name("c"), None)], "file_id string, content string")
+    assert {r.file_id: r.written for r in write_blobs(blobs, str(tmp_path)).collect()} == {name("a"): True, name("b"): True}
+    assert (tmp_path / "aa" / name("a")).read_text() == "one é"
+    assert not any(r.written for r in write_blobs(blobs, f"file://{tmp_path}").collect())
+    asked = spark.createDataFrame([(name("a"),), (name("b"),), (name("d"),), ("../../etc/passwd",), (None,)], "id string")
+    got = {r.id: r.content for r in asked.select("id", blob_reader(str(tmp_path))(F.col("id")).alias("content")).collect()}
+    assert got == {name("a"): "one é", name("b"): "", name("d"): None, "../../etc/passwd": None, None: None}
