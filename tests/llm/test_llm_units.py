@@ -261,3 +261,35 @@ def test_held_out_rule():
     assert sum(zlib.crc32(str(i).encode()) % 7 == 2 for i in range(7000)) in range(900, 1100)
     assert hashlib.sha1(b"").hexdigest() and WA.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert Counter(b"A b\x0bc".lower().split()) == Counter([b"a", b"b", b"c"])
+
+
+def test_shingle_numbers_are_exact():
+    from loomtrace.llm.near_dedup import shingle_numbers
+
+    random = np.random.default_rng(4)
+    texts = [b"", b" \n ", b"a b", b"A B", b"a b c d e", b"a  b\tC d E f", b"a b c d"] + [" ".join(random.choice(list("abc"), n)).encode() for n in (4, 5, 6, 40, 300, 300)]
+    plain = [(set(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else {tuple(w)} if w else set()) for w in (x.lower().split() for x in texts)]
+    got = shingle_numbers(texts, 5)
+    assert [len(x) for x in got] == [len(x) for x in plain]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(np.intersect1d(got[i], got[j])) == len(plain[i] & plain[j])
+    assert [len(x) for x in shingle_numbers([b"one", b""], 5)] == [1, 0] and shingle_numbers([], 5) == []
+
+
+def test_a_text_of_forty_megabytes_and_its_copy_fit():
+    """In a process of its own, whose peak is measured: below 1 GB beyond what it takes to start."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from loomtrace.llm.near_dedup import shingle_numbers
+r = np.random.default_rng(0)
+text = b" ".join(np.array([b"%06d" % i for i in range(50_000)])[r.integers(0, 50_000, 5_800_000)].tolist())
+start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+a, b = shingle_numbers([text, text + b" tail"], 5)
+print(len(text), len(np.intersect1d(a, b, assume_unique=True)) / len(b), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - start) / 1024)
+"""
+    size, share, mb = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(size) > 40_000_000 and float(share) > 0.99 and float(mb) < 1000, mb
