@@ -98,7 +98,7 @@ told AS (SELECT summary_id AS id, {_RANK} d, summary_id) AS rank FROM summaries,
 arms AS (SELECT 0 AS arm, * FROM near UNION ALL SELECT 1, * FROM lex UNION ALL SELECT 2, * FROM told),
 fused AS (SELECT id, sum(1.0 / (60 + rank)) AS f, min({{'arm': arm, 'rank': rank}}) AS first FROM arms GROUP BY id ORDER BY f DESC, first LIMIT 20),
 found AS (SELECT id, f, 'primary' AS tier, session_id, type, timestamp, text FROM fused JOIN records ON uuid = id JOIN documents ON doc_id = id UNION ALL SELECT id, f, 'summary', session_id, NULL, NULL, content FROM fused JOIN summaries ON summary_id = id),
-scored AS (SELECT *, 8.0 * len(list_intersect(string_split_regex(lower(text), '\s+'), ['the', 'and', 'of'])) / 3 - 4 AS logit, id IN (SELECT superseded_id FROM supersessions) OR session_id IN (SELECT superseded_id FROM supersessions) AS superseded FROM found)
+scored AS (SELECT *, 8.0 * len(list_intersect(string_split_regex(lower(text), '\\s+'), ['the', 'and', 'of'])) / 3 - 4 AS logit, id IN (SELECT superseded_id FROM supersessions) OR session_id IN (SELECT superseded_id FROM supersessions) AS superseded FROM found)
 SELECT id, tier, session_id, round(f, 9) AS fused_score, round(logit, 9) AS rerank_score, superseded, round({_FINAL}, 15) AS final_score FROM scored ORDER BY {_FINAL} DESC, id LIMIT 10""", views=False)
 def c2_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval whole, over the vectors of the embeddings table."""
