@@ -29,6 +29,12 @@ class Engine:
         except Exception as error:
             return json.dumps({"error": str(error)})
 
+    def query_to(self, sql: str, path: str) -> int:
+        """K6 for results of any size: rows of a SELECT as JSON lines in a new folder, written by tasks; how many."""
+        self.lake.register_views()
+        self.spark.sql(sql).write.json(path, ignoreNullFields=False)
+        return self.spark.read.text(path).count()
+
     def refresh(self, path: str) -> int:
         return capture.capture_files(self.lake, path, force=True)["seen"]
 

@@ -69,6 +69,12 @@ def injection_is_known_good(event: Column, source: Column) -> Column:
     return (event == "UserPromptSubmit") | source.isin("resume", "clear", "compact")
 
 
+def timestamp_text(moment: Column) -> Column:
+    """Date and time, with six digits of the second's fraction unless it is zero; null stays null."""
+    whole = F.date_trunc("second", moment) == moment
+    return F.when(whole, F.date_format(moment, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(moment, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 def tokens(text: Column, unicode: bool = False) -> Column:
     """Lower-case words of ASCII letters and digits, or of all letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+" if unicode else "[^a-z0-9]+"), lambda t: t != "")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.payload import first_prompt, record_text, text_udf
-from ..functions.text import MARKER, blob_markers
+from ..functions.text import MARKER, blob_markers, timestamp_text
 
 
 def derive_sessions(records: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -103,7 +103,16 @@ def session_text(session: DataFrame, session_id: str) -> str:
     return f"# Session {session_id}\n\n" + "\n\n".join(f"## {r.type}\n\n{r.text}" for r in rows.toLocalIterator() if r.text)
 
 
+def files_holding(lines: DataFrame, content_filter: str) -> DataFrame:
+    """The ``file_path`` of files with a line that holds the text, whatever its case."""
+    return lines.where(F.lower(F.col("line").cast("string")).contains(content_filter.lower())).select("file_path").distinct()
+
+
 def matching_files(lines: DataFrame, content_filter: str) -> DataFrame:
-    """Lines of files that hold the text anywhere, whatever its case."""
-    hit = lines.groupBy("file_path").agg(F.max(F.lower(F.col("line").cast("string")).contains(content_filter.lower())).alias("hit")).where("hit").select("file_path")
-    return lines.join(hit, "file_path", "left_semi")
+    """Lines of files that hold the text anywhere."""
+    return lines.join(files_holding(lines, content_filter), "file_path", "left_semi")
+
+
+def payload_rows(session: DataFrame) -> DataFrame:
+    """Rows of ``full_session`` as they go out, with their time as text."""
+    return session.withColumn("timestamp", timestamp_text(F.col("timestamp")))

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from .lake import Lake
 
 
-def add_links(lake: Lake, links: Sequence[tuple[str, str, str]], created_ms: int) -> int:
-    """Add a batch of (superseding, superseded, source); a link to itself fails the whole batch."""
-    if any(a == b for a, b, _ in links):
+LINK = "superseding_id string, superseded_id string, source string"
+
+
+def add_links(lake: Lake, links: Sequence[tuple[str, str, str]] | DataFrame, created_ms: int) -> int:
+    """Add a batch of (superseding, superseded, source), a list or rows; a link to itself fails the
+    whole batch."""
+    rows = links if isinstance(links, DataFrame) else lake.spark.createDataFrame(list(links), LINK)
+    if not rows.where("superseding_id = superseded_id").limit(1).isEmpty():
         raise ValueError("a link may not supersede itself")
-    return lake.insert("supersessions", lake.spark.createDataFrame([(*x, created_ms) for x in links], "superseding_id string, superseded_id string, source string, created_at long"))
+    return lake.insert("supersessions", rows.select("superseding_id", "superseded_id", "source", F.lit(created_ms).cast("long").alias("created_at")))
 
 
 def is_superseded(links: DataFrame, item: str) -> bool:

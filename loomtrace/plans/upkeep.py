@@ -5,10 +5,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import jobs
 from ..functions import payload as P
 from ..functions import scoring as S
 from ..functions import text as X
@@ -231,13 +234,18 @@ def s9_session_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UUID = "lpad(CAST({} AS VARCHAR), 8, '0') || '-0000-4000-8000-000000000000'"
 
 
-def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three markdown files in four of each conversation cite its session and supersede the one before."""
+def _artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A markdown file for each conversation cites its session, three in four supersede the one before:
+    ``path, source, content``."""
     own = lambda c: F.concat(F.lpad(c.cast("string"), 8, "0"), F.lit("-0000-4000-8000-000000000000"))
     n = V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("n")).distinct()
     link = F.when(F.col("n") % 4 == 0, F.concat(F.lit("supersedes: "), own(F.col("n") - 1))).when(F.col("n") % 4 == 1, F.concat(F.lit("Supersedes [that](../decisions/"), (F.col("n") - 1).cast("string"), F.lit(".md)"))).when(F.col("n") % 4 == 2, F.concat(F.lit("superseded by "), (F.col("n") - 1).cast("string"), F.lit("."))).otherwise(F.concat(F.lit("```\nsupersedes "), own(F.col("n") - 1), F.lit("\n```")))
     text = F.concat(F.lit("# Title\nSession: "), own(F.col("n")), F.lit("\n\n"), link, F.lit("\n"))
-    return A.parse_artifacts(n.select(F.concat(F.lit("docs/decisions/"), F.col("n").cast("string"), F.lit(".md")).alias("path"), F.lit("adr-supersedes").alias("source"), text.alias("content")))
+    return n.select(F.concat(F.lit("docs/decisions/"), F.col("n").cast("string"), F.lit(".md")).alias("path"), F.lit("adr-supersedes").alias("source"), text.alias("content"))
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.parse_artifacts(_artifact_files(spark, sf_dir))
 
 
 _N = f"nn AS (SELECT DISTINCT conv_id AS n FROM conversations), ss AS (SELECT n, {_UUID.format('n')} AS own, {_UUID.format('n - 1')} AS prev, n - 1 IN (SELECT n FROM nn) AS known FROM nn)"
@@ -263,13 +271,17 @@ def c15_described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.describe_links(c13_links(spark, sf_dir))
 
 
-@query("SELECT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 40) AS superseding_id, substr(sha256(CAST(o_orderkey - 1 AS VARCHAR)), 1, 40) AS superseded_id, 'git-revert' AS source FROM orders WHERE o_orderkey % 10 = 0", views=False)
-def x32_reverts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reverts of a log with one commit an order."""
+def _git_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda c: F.substring(F.sha2(c.cast("string"), 256), 1, 40)
     key = F.col("o_orderkey")
     message = F.when(key % 10 == 0, F.concat(F.lit('Revert "x"\n\nThis reverts commit '), sha(key - 1), F.lit("."))).otherwise("plain")
-    return A.git_reverts(V.table(spark, sf_dir, "orders").select(F.concat(F.lit("\n"), sha(key), F.lit("\x1f"), message, F.lit("\n")).alias("value")))
+    return V.table(spark, sf_dir, "orders").select(F.concat(F.lit("\n"), sha(key), F.lit("\x1f"), message, F.lit("\n")).alias("value"))
+
+
+@query("SELECT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 40) AS superseding_id, substr(sha256(CAST(o_orderkey - 1 AS VARCHAR)), 1, 40) AS superseded_id, 'git-revert' AS source FROM orders WHERE o_orderkey % 10 = 0", views=False)
+def x32_reverts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reverts of a log with one commit an order."""
+    return A.git_reverts(_git_log(spark, sf_dir))
 
 
 def _captured(spark: SparkSession, sf_dir: str) -> Lake:
@@ -334,3 +346,48 @@ def t6_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order in which a session is read."""
     rows = V.records(spark, sf_dir).select("uuid", "session_id", "timestamp")
     return SE.places(rows, "session_id", [F.asc_nulls_last("timestamp"), "uuid"], V.scratch(spark, "places")).select("uuid", "session_id", "place")
+
+
+def _files(rows: DataFrame, root: str) -> None:
+    """Write each row's content to its path below a folder that tasks and driver share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                with open(f"{root}/{path}", "w", encoding="utf-8") as out:
+                    out.write(content)
+            yield batch.select(["path"])
+
+    rows.select("path", "content").mapInArrow(run, "path string").count()
+
+
+@query("SELECT session_id, type, count(*) AS n FROM records WHERE session_id IN (SELECT session_id FROM records WHERE contains(lower(raw), 'la')) GROUP BY ALL")
+def c14_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of three projects, a file a session, captured where a file holds a text."""
+    recs, root = V.json_records(V.records(spark, sf_dir)), V.scratch(spark, "batch")
+    line = F.struct("turn", "raw")
+    per = recs.groupBy("session_id", "conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat(x["raw"], F.lit("\n"))), "").alias("content"))
+    path = F.concat(F.lit("projects/p"), (F.col("conv_id") % 3).cast("string"), F.lit("/"), F.col("session_id"), F.lit(".jsonl"))
+    _files(per.select(path.alias("path"), "content"), root)
+    lake = Lake(spark, V.scratch(spark, "lake"))
+    jobs.ingest(lake, root, content_filter="LA")
+    return lake.table("records").groupBy("session_id", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LINKS} SELECT * FROM links UNION SELECT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 40), substr(sha256(CAST(o_orderkey - 1 AS VARCHAR)), 1, 40), 'git-revert' FROM orders WHERE o_orderkey % 10 = 0", views=False)
+def d10_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository's artifacts and exported log, their links in a lake."""
+    root, log = V.scratch(spark, "repository"), V.scratch(spark, "log")
+    text = F.when(F.col("path") == "docs/decisions/0.md", F.lit("# Title\nSession: 00000000-0000-4000-8000-000000000000\n")).otherwise(F.col("content"))
+    _files(_artifact_files(spark, sf_dir).withColumn("content", text), root)
+    _git_log(spark, sf_dir).write.option("lineSep", "\x1e").text(log)
+    lake = Lake(spark, V.scratch(spark, "lake"))
+    jobs.link(lake, root, reverts=True, log=log)
+    return lake.table("supersessions").select("superseding_id", "superseded_id", "source")
+
+
+@query("SELECT event_id, CASE WHEN CAST(ts AS TIMESTAMP) = date_trunc('second', CAST(ts AS TIMESTAMP)) THEN strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') ELSE strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f') END AS shown FROM events", views=False)
+def x33_timestamp_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as text; a fraction of a second has six digits."""
+    return V.table(spark, sf_dir, "events").select("event_id", X.timestamp_text(F.col("ts").cast("timestamp_ntz")).alias("shown"))

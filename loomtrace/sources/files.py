@@ -96,6 +96,11 @@ class Files:
         system, where = self._remote(path)
         system.delete(where, True)
 
+    def size(self, path: str) -> int:
+        """Bytes of all files below a path, or 0 if it isn't there."""
+        system, where = self._remote(path)
+        return system.getContentSummary(where).getLength() if system.exists(where) else 0
+
     def age_seconds(self, path: str, now: float) -> float | None:
         """Since its last change; None if it isn't there."""
         if own := self.local(path):

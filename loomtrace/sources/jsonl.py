@@ -244,6 +244,25 @@ def growing_ranges(spark: SparkSession, path: str) -> DataFrame:
     return listed.groupBy("file_path").applyInPandasWithState(advance, "file_path string, start long, stop long", "offset long, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
+def transcript_ranges(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
+    """``file_path, start, stop`` of the transcripts directly in folders, up to their last complete
+    line. Each folder is listed, and its files' ends are looked for, by a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                system, name = _opened(folder)
+                found = [x for x in system.get_file_info(fs.FileSelector(name)) if x.type == fs.FileType.File and x.path.endswith(".jsonl")]
+                stops = []
+                for x in found:
+                    with system.open_input_file(x.path) as source:
+                        stops.append(last_line_end(source, 0, x.size))
+                yield pa.RecordBatch.from_arrays([pa.array([x.path for x in found], pa.string()), pa.array([0] * len(found), pa.int64()), pa.array(stops, pa.int64())], ["file_path", "start", "stop"])
+
+    listed = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(max(1, len(folders)), "folder")
+    return listed.mapInArrow(run, "file_path string, start long, stop long")
+
+
 def lines_of(ranges: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The lines of ranges of files below ``path``, cut into ranges of ``split_bytes`` for a task each."""
 
