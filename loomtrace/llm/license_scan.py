@@ -12,9 +12,12 @@ than one to be found by, so any of their shingles nominates them; they are never
 templates' distinct shingles in the full text decide: a match has at least ``percent`` of them.
 
 The windows are rows while they are compared, but hold four hashes and the document's key only.
-Templates are a list given by the caller, of at most ``MAX_TEMPLATE_WINDOWS`` windows, so their
-signatures may be broadcast. Nominated documents are few; they are broadcast up to a counted
-bound and shuffled beyond it.
+Templates may be a list or a table of any length. Up to ``MAX_TEMPLATE_WINDOWS`` windows their
+signatures and shingles are broadcast; longer lists meet the documents in shuffled joins, each key
+dealt to ``SALTS`` tasks, since a frequent notice may lie in a third of all rows. The bitmap has
+``BITMAP_BITS`` bits at most (twice that after rounding); with more than ``MAX_BITMAP`` shingles a
+join on the shingle takes its place. The result is the same either way. Nominated documents are few;
+they are broadcast up to a counted bound and shuffled beyond it.
 
 Cases: null, empty and short texts (under five words) match nothing. Repeated rows are found once
 each. Documents without id are scanned like others. An empty table or template list gives an
@@ -39,7 +42,14 @@ BANDS = 24
 #: Templates of so many shingles are nominated by each of them.
 FEW = 8
 PERCENT = 75
+#: Template windows that may be broadcast (bands times 30 bytes each).
 MAX_TEMPLATE_WINDOWS = 20_000
+#: Distinct template shingles that a bitmap holds, its bits, and bits a shingle.
+MAX_BITMAP = 1_000_000
+BITMAP_BITS = 1 << 24
+SPARE = 2048
+#: Tasks that a key of a shuffled join is dealt to.
+SALTS = 8
 #: Nominations (about 40 bytes each) that may be broadcast.
 MAX_BROADCAST = 200_000
 SEPARATOR = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -84,33 +94,57 @@ def _signature(bands: int) -> list[Column]:
     return [F.least(*[F.xxhash64(F.col(f"h{k}"), F.lit(b)) for k in range(WINDOW)]) for b in range(bands)]
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, percent: int = PERCENT) -> DataFrame:
+def _beside(rows: DataFrame, listed: DataFrame, key: list[str], few: bool) -> DataFrame:
+    """Rows (with id and fp) beside what the templates have for their key: sent to each task if that is
+    little, else shuffled in ``SALTS`` shares a key."""
+    if few:
+        return rows.join(F.broadcast(listed), key)
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id", "fp"), F.lit(SALTS)))
+    every = listed.withColumn("salt", F.explode(F.array(*[F.lit(s).cast("long") for s in range(SALTS)])))
+    return dealt.join(every, [*key, "salt"]).drop("salt")
+
+
+def _holding(tiles: DataFrame, hashes: DataFrame, max_bitmap: int) -> DataFrame:
+    """The windows that hold a shingle of a template."""
+    parts = [F.col(f"h{k}") for k in range(WINDOW)]
+    known = [r.h for r in hashes.limit(max_bitmap + 1).collect()]
+    if len(known) <= max_bitmap:
+        shingles = Bitmap(known, max(16, min(SPARE, BITMAP_BITS // max(1, len(known)))))
+        return tiles.where(reduce(Column.__or__, [shingles.holds(h) for h in parts]))
+    window = F.struct(*parts).alias("x")
+    each = tiles.select("id", "fp", window, F.explode(F.array_distinct(F.array(*parts))).alias("h"))
+    return _beside(each, hashes, ["h"], False).select("id", "fp", "x").distinct().select("id", "fp", "x.*")
+
+
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | DataFrame = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, percent: int = PERCENT, max_windows: int = MAX_TEMPLATE_WINDOWS, max_bitmap: int = MAX_BITMAP) -> DataFrame:
     """One row per document and template that it holds: id, ``license``, ``n_shared`` and
-    ``n_template`` (distinct shingles), ``containment``."""
+    ``n_template`` (distinct shingles), ``containment``. Templates: notices by name, or a table of
+    ``license`` and ``notice``, a row a name."""
     spark = docs.sparkSession
-    names = spark.createDataFrame([(k, v) for k, v in sorted(templates.items())], "license string, notice string").select("license", once(lower_words(F.col("notice"), SEPARATOR)).alias("w"))
+    listed = templates.select("license", "notice") if isinstance(templates, DataFrame) else spark.createDataFrame([(k, v) for k, v in sorted(templates.items())], "license string, notice string")
+    names = listed.select("license", once(lower_words(F.col("notice"), SEPARATOR)).alias("w"))
     cut = names.select("license", once(_shingle_hashes(F.col("w"))).alias("h")).select("license", F.explode(_windows(F.col("h"), 1)).alias("x")).select("license", "x.*")
     signed = cut.select("license", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), v.alias("value")) for b, v in enumerate(_signature(bands))])).alias("s")).select("license", "s.*").distinct()
-    known = signed.limit(MAX_TEMPLATE_WINDOWS * bands + 1).collect()
-    if len(known) > MAX_TEMPLATE_WINDOWS * bands:
-        raise ValueError("too many templates to hold in each task; scan with parts of the list")
+    short_list = signed.limit(max_windows * bands + 1).count() <= max_windows * bands
+    if not short_list:
+        signed = materialise(signed, "license-signatures")
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("fp", F.xxhash64("text"))
     tiles = source.select("id", "fp", once(lower_words(F.col("text"), SEPARATOR)).alias("w")).select("id", "fp", once(_shingle_hashes(F.col("w"))).alias("h")).select("id", "fp", once(_windows(F.col("h"), STEP)).alias("t")).select("id", "fp", F.explode("t").alias("x")).select("id", "fp", "x.*")
     hashes = names.select("license", F.explode(F.array_distinct(_shingle_hashes(F.col("w")))).alias("h"))
-    shingles = Bitmap([r.h for r in hashes.select("h").distinct().collect()], 2048)
     parts = [F.col(f"h{k}") for k in range(WINDOW)]
-    near = materialise(tiles.where(reduce(Column.__or__, [shingles.holds(h) for h in parts])), "license-windows")
+    near = materialise(_holding(tiles, hashes.select("h").distinct(), max_bitmap), "license-windows")
     signature = near.select("id", "fp", F.posexplode(F.array(*_signature(bands))).alias("band", "value"))
-    by_band = signature.join(F.broadcast(signed), ["band", "value"]).select("id", "fp", "license")
+    by_band = _beside(signature, signed, ["band", "value"], short_list).select("id", "fp", "license")
     short = hashes.groupBy("license").agg(F.collect_set("h").alias("hs")).where(F.size("hs") <= FEW).select("license", F.explode("hs").alias("h"))
-    by_shingle = near.select("id", "fp", F.explode(F.array(*parts)).alias("h")).join(F.broadcast(short), "h").select("id", "fp", "license")
+    by_shingle = near.select("id", "fp", F.explode(F.array(*parts)).alias("h"))
+    by_shingle = _beside(by_shingle, short, ["h"], short_list).select("id", "fp", "license")
     nominated = by_band.unionByName(by_shingle).distinct().groupBy("id", "fp").agg(F.collect_set("license").alias("licenses"))
     nominated = materialise(nominated, "license-nominated").select(F.col("id").alias("nid"), F.col("fp").alias("nfp"), "licenses")
     few = nominated.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     joined = source.join(F.broadcast(nominated) if few else nominated, F.col("id").eqNullSafe(F.col("nid")) & (F.col("fp") == F.col("nfp")))
-    held = joined.select("id", "licenses", once(lower_words(F.col("text"), SEPARATOR)).alias("w")).select("id", "licenses", once(_shingles(F.col("w"))).alias("own"))
+    held = joined.select("id", "fp", "licenses", once(lower_words(F.col("text"), SEPARATOR)).alias("w")).select("id", "fp", "licenses", once(_shingles(F.col("w"))).alias("own"))
     wanted = names.select(F.col("license"), once(_shingles(F.col("w"))).alias("needed"))
-    pairs = held.select("id", "own", F.explode("licenses").alias("license")).join(F.broadcast(wanted), "license")
+    pairs = _beside(held.select("id", "fp", "own", F.explode("licenses").alias("license")), wanted, ["license"], short_list)
     counted = pairs.select(F.col("id").alias(id_col), "license", F.size(F.array_intersect("own", "needed")).cast("long").alias("n_shared"), F.size("needed").cast("long").alias("n_template"))
     matched = counted.where(100 * F.col("n_shared") >= percent * F.col("n_template"))
     return matched.withColumn("containment", F.col("n_shared") / F.col("n_template"))

@@ -188,6 +188,24 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0 and license_scan.scan_licenses(docs, {}).count() == 0
 
 
+def test_licenses_of_any_number(spark, docs):
+    mit = license_scan.TEMPLATES["MIT"]
+    more = spark.createDataFrame([(20, f"{LONG}. Released under the MIT License. {FAR}"), (21, mit), (21, mit), (None, mit), (23, None)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(more)
+    shown = lambda found: sorted((str(r.doc_id), r.license, r.n_shared, r.n_template) for r in found.collect())
+    want = shown(license_scan.scan_licenses(rows))
+    assert len(want) == 4
+    assert shown(license_scan.scan_licenses(rows, max_windows=0)) == want
+    assert shown(license_scan.scan_licenses(rows, max_windows=0, max_bitmap=0)) == want
+    # a table of 2,500 notices of 16 words, above the bound on windows
+    notice = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.hex(F.xxhash64("id", i))), " ")
+    many = spark.range(2500).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("license"), notice.alias("notice"))
+    texts = many.where("license in ('n3', 'n77', 'n2499')").select(F.regexp_extract("license", r"\d+", 0).cast("long").alias("doc_id"), F.concat(F.lit(f"{FAR} "), "notice", F.lit(f" {LONG}")).alias("text"))
+    held = [("2499", "n2499", 12, 12), ("3", "n3", 12, 12), ("77", "n77", 12, 12)]
+    assert shown(license_scan.scan_licenses(texts, many)) == held
+    assert shown(license_scan.scan_licenses(texts, many, max_windows=100_000)) == held
+
+
 def test_no_short_notice_is_lost_at_the_ends_of_texts(spark):
     n, notices = 6000, {f"n{i}": f"a{i} b{i} c{i} d{i} e{i}" for i in range(100)}
     notice = F.concat_ws(" ", *[F.concat(F.lit(c), (F.col("doc_id") % 100).cast("string")) for c in "abcde"])
