@@ -16,7 +16,8 @@ of its first piece against encoding them whole). Words are lower-cased before wh
 nothing. The words that a worker holds are bounded in number and bytes.
 
 Cases: null texts count as empty (the end id alone); documents without id come first; equal ids
-are all kept, next to each other. An empty table gives no files and no rows.
+are all kept, next to each other. An empty table gives no files and no rows. Ids are 64-bit integers:
+the files hold them as such, integers in text form are cast, and any other text stops the job.
 """
 
 from __future__ import annotations
