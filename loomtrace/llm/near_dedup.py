@@ -18,6 +18,8 @@ agree with about the probability of the sets' Jaccard similarity.
    confirmed links alone. Pairs within one component need no more evidence, so no link between
    components is lost, and a group of many near copies costs its size, not its square.
 
+Shingles are told apart by 64-bit hashes in steps 1, 2 and 4, by their words where step 3 confirms.
+
 Components of classes come from alternating stars over written tables; nothing is collected.
 
 Cases: null, empty and blank texts have no shingles and stand alone; texts of fewer words than a
