@@ -16,11 +16,11 @@ given as a class of ids, then as one of its members:
 What is learned from the training documents: counts of neighbouring ids over all of them, summed in
 Spark, which give the id vectors at the start (leading directions of hashed neighbour counts), the
 classes (k-means over the same) and both tables of shares; and the weights and id vectors of the
-attention, in numpy with Adam. These are fitted on the driver to about ``warm_ids`` ids of
-documents with the least hashes, then from there to a fixed share of the windows of all training
-documents where they are; what the tasks end with is averaged in Spark by a tree, in chunks. So
-counts and steps grow with the input, while tables depend on the vocabulary and ``classes`` alone.
-The driver sends no model: it is a file in the shared folder. As windows are fitted where they lie, scores
+attention, in numpy with Adam. These are fitted to every window of every training document where
+it lies, in random order within about 4 MB of ids; what the tasks end with is averaged in Spark by a
+tree, in chunks. All tasks begin at the same point, which the driver finds by ``warm_steps`` steps on
+about ``warm_ids`` ids. So counts and steps grow with the input, while tables depend on the vocabulary
+and ``classes`` alone. The driver sends no model: it is a file in the shared folder. As windows are fitted where they lie, scores
 depend on how rows are dealt to tasks; counts and the base score don't.
 
 The base score needs the count of every word: those of the ``hot`` most frequent words are looked up
@@ -51,7 +51,8 @@ from .token_output import WordIds
 
 @dataclass(frozen=True)
 class ModelSettings:
-    """``warm_ids`` bounds the first fit; ``share`` is the part of all windows the second one takes."""
+    """``warm_ids`` bounds the first fit, which only finds where to begin; ``share`` is the part of all
+    training windows that the second one takes: every one of them, unless a trial asks for less."""
 
     hot: int = 200_000
     classes: int = 128
@@ -60,7 +61,7 @@ class ModelSettings:
     stride: int = 16
     warm_ids: int = 2_000_000
     warm_steps: int = 500
-    share: float = 1 / 16
+    share: float = 1.0
     batch: int = 192
     rate: float = 0.01
     bins: int = 64
@@ -132,6 +133,19 @@ def windows(lengths: np.ndarray, s: ModelSettings) -> tuple[np.ndarray, np.ndarr
     return np.where((inputs >= first[:, None]) & (inputs < last[:, None] - 1), inputs, -1), targets
 
 
+def exponentials(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp along the last axis and its sums, up to a factor of each row: maxima are taken off only
+    where the sums leave the range of the numbers without it."""
+    ones = np.ones(m.shape[-1], m.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(m)
+        total = e @ ones
+    if not (total.min() > 1e-25 and total.max() < 1e25):
+        e = np.exp(m - m.max(axis=-1, keepdims=True))
+        total = e @ ones
+    return e, total
+
+
 class Attention:
     """Single-head causal self-attention over id vectors, with a softmax over classes. Before a text
     stands its vocabulary's end."""
@@ -156,42 +170,46 @@ class Attention:
         a = np.matmul(q, k.transpose(0, 2, 1))
         a *= np.float32(1 / np.sqrt(self.s.width))
         a += self.w["p"] + self.mask
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
+        a, total = exponentials(a)
+        a /= total[:, :, None]
         return a, np.matmul(a, v)
 
-    def forward(self, before: np.ndarray) -> tuple:
-        """before: input ids of each window. Log-probabilities of the classes for each target."""
-        w, s = self.w, self.s
+    def gradients(self, before: np.ndarray, after: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """before: input ids of each window. Mean loss of the targets' classes, its gradients, and that
+        of each input's vector. What is as wide as the classes is one array, changed in place."""
+        s, w, d = self.s, self.w, self.s.width
+        flat = lambda m: m.reshape(-1, m.shape[-1])
         last = before[:, s.context - s.stride :]
-        x, own = w["x"][before], w["x"][last]
-        q, k, v = own @ w["q"], x @ w["k"], x @ w["v"]
+        x = np.take(w["x"], before, axis=0)
+        own = np.ascontiguousarray(x[:, s.context - s.stride :])
+        both = x @ np.concatenate([w["k"], w["v"]], axis=1)
+        q, k, v = own @ w["q"], both[:, :, :d], both[:, :, d:]
         a, h = self.mix(q, k, v)
-        z = h @ w["o"] + own @ w["e"] + w["b"]
-        z += self.prior[last]
-        z -= z.max(axis=2, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return z, (x, own, q, k, v, a, h)
-
-    def gradients(self, before: np.ndarray, after: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Mean loss of the targets' classes, its gradients, and that of each input's vector."""
-        s, w = self.s, self.w
-        z, (x, own, q, k, v, a, h) = self.forward(before)
-        want = self.classes[after]
-        loss = float(-(np.take_along_axis(z, want[:, :, None], 2)[:, :, 0] * real).sum() / max(1, real.sum()))
-        dz = np.exp(z)
-        np.put_along_axis(dz, want[:, :, None], np.take_along_axis(dz, want[:, :, None], 2) - 1, 2)
-        dz *= (real / max(1, real.sum()))[:, :, None].astype(np.float32)
-        dh = dz @ w["o"].T
+        # A target's features: what it attends to, its last id and 1, for the bias.
+        given = np.concatenate([flat(h), flat(own), np.ones((last.size, 1), np.float32)], axis=1)
+        out = np.concatenate([w["o"], w["e"], w["b"][None, :]])
+        z = given @ out
+        z += np.take(self.prior, last.reshape(-1), axis=0)
+        rows, want = np.arange(len(z)), self.classes[after.reshape(-1)]
+        share = real.reshape(-1).astype(np.float32) / np.float32(max(1, real.sum()))
+        z, total = exponentials(z)
+        loss = float(((np.log(total) - np.log(np.maximum(z[rows, want], 1e-37))) * share).sum())
+        z *= (share / total)[:, None]
+        z[rows, want] -= share
+        found = dict(zip(("o", "e", "b"), np.split(given.T @ z, [d, 2 * d])))
+        found["b"] = found["b"][0]
+        back = z @ out[: 2 * d].T
+        dh = np.ascontiguousarray(back[:, :d]).reshape(h.shape)
         da = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        scale = np.float32(1 / np.sqrt(s.width))
-        dq, dk, dv = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale, np.matmul(a.transpose(0, 2, 1), dh)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        found = {"o": flat(h).T @ flat(dz), "e": flat(own).T @ flat(dz), "b": flat(dz).sum(0), "p": ds.sum(0), "q": flat(own).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, s.context - s.stride :] += dq @ w["q"].T + dz @ w["e"].T
+        da -= (dh * h).sum(axis=2, keepdims=True)  # what the weights' sum of 1 takes off
+        ds = np.multiply(a, da, out=da)
+        scale = np.float32(1 / np.sqrt(d))
+        dq = np.matmul(ds, k) * scale
+        dboth = np.concatenate([np.matmul(ds.transpose(0, 2, 1), q) * scale, np.matmul(a.transpose(0, 2, 1), dh)], axis=2)
+        of_keys, of_values = np.split(flat(x).T @ flat(dboth), 2, axis=1)
+        found |= {"p": ds.sum(0), "q": flat(own).T @ flat(dq), "k": of_keys, "v": of_values}
+        dx = dboth @ np.concatenate([w["k"], w["v"]], axis=1).T
+        dx[:, s.context - s.stride :] += dq @ w["q"].T + back[:, d:].reshape(own.shape)
         return loss, found, flat(dx)
 
     def learn(self, before: np.ndarray, after: np.ndarray, real: np.ndarray) -> float:
@@ -206,7 +224,7 @@ class Attention:
             self.square[n] += 0.01 * (g * g - self.square[n])
             w[n] -= (rate * (self.mean[n] / (1 - 0.9**t)) / (np.sqrt(self.square[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         # Vectors of the ids that occur, each by its own history.
-        ids = before.reshape(-1)
+        ids = before.reshape(-1).astype(_width(len(self.classes)))  # short ones sort faster
         order = np.argsort(ids, kind="stable")
         at = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
         seen, g = ids[order][at], np.add.reduceat(dx[order], at, axis=0)
@@ -220,7 +238,8 @@ class Attention:
         if not len(inputs):
             return []
         if steps is None:
-            chosen = np.flatnonzero(random.random(len(inputs)) < share)
+            chosen = random.permutation(len(inputs))
+            chosen = chosen if share >= 1 else chosen[random.random(len(inputs)) < share]
             picks = np.array_split(chosen, max(1, len(chosen) // self.s.batch)) if len(chosen) else []
         else:
             picks = (random.integers(0, len(inputs), self.s.batch) for _ in range(steps))
@@ -549,7 +568,8 @@ def mean_weights(fitted: DataFrame, branches: int, fan: int = FAN) -> DataFrame:
 
 
 def _average(training: DataFrame, path: str, width: str, s: ModelSettings, model: Attention) -> None:
-    """Fit a share of all windows from where they are, and average the weights of all tasks."""
+    """Fit the windows of all training documents where they are (``share`` is 1 by default), and average
+    the weights of all tasks."""
     names = sorted(model.w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -558,6 +578,7 @@ def _average(training: DataFrame, path: str, width: str, s: ModelSettings, model
         _clear()
         task = TaskContext.get().partitionId()
         own, random, seen = load_model(path, s), np.random.default_rng([s.seed, task]), 0
+        own.prior = own.prior.astype(np.float32)  # once, not for each target
         own.step = s.warm_steps
         for batch in batches:
             for part in pieces(batch, "ids", 4 << 20):

@@ -218,6 +218,13 @@ def test_windows_score_as_one_position_at_a_time_does():
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_every_training_window_is_fitted_once():
+    model, seen = small_model(L.ModelSettings(classes=5, width=4, context=6, stride=3, batch=8)), []
+    model.learn = lambda before, after, real: seen.append(after[real]) or 0.0
+    model.fit(np.arange(138), np.array([100, 1, 37]), np.random.default_rng(4), share=L.ModelSettings().share)
+    assert sorted(np.concatenate(seen).tolist()) == list(range(138)) and len(seen) > 4
+
+
 def test_attention_is_causal_and_its_gradients_are_right():
     s = L.ModelSettings(classes=5, width=4, context=6, stride=3, batch=8)
     model = small_model(s)
