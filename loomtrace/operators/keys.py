@@ -1,7 +1,8 @@
 """Which files of a table may hold a key: per file its range of keys and a Bloom filter.
 
 The filters are built in Spark from the key columns of what was just written, and kept as a Parquet
-folder beside it. A probe sends the hashes of a small batch to the filters, never the filters to the
+folder beside it. A task sets the bits of one file's filter as its keys pass by, and holds no keys. A
+probe sends the hashes of a small batch to the filters, never the filters to the
 driver, and gets back names of files."""
 
 from __future__ import annotations
@@ -37,42 +38,78 @@ def _places(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def bloom(hashes: np.ndarray) -> bytes:
-    size = max(64, -(-BITS * len(hashes) // 8) * 8)
+    size = filter_bits(len(hashes))
     bits = np.zeros(size, bool)
     bits[_places(hashes, size).reshape(-1)] = True
     return np.packbits(bits).tobytes()
 
 
+def filter_bits(n: int) -> int:
+    """The bits of a filter of n keys."""
+    return max(64, -(-BITS * n // 8) * 8)
+
+
 def may_hold(bits: bytes, hashes: np.ndarray) -> np.ndarray:
     """For each hash, whether it may be in the filter."""
     held = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
     return held[_places(hashes, len(held))].all(axis=1)
 
 
+def partial_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``at, n, h`` (file, its rows, a key's hash), a file's rows together: a filter of those of each
+    file that a task sees. It holds the bits of one file."""
+    at, held = None, np.zeros(0, bool)
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["at", "bits"])
+
+    for batch in batches:
+        files, n, hashes = (batch.column(c).to_numpy() for c in ("at", "n", "h"))
+        cuts = [0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if files[a] != at:
+                if at is not None:
+                    yield made()
+                at, held = int(files[a]), np.zeros(filter_bits(int(n[a])), bool)
+            held[_places(hashes[a:b], len(held)).reshape(-1)] = True
+    if at is not None:
+        yield made()
+
+
+def either(table: pa.Table) -> pa.Table:
+    """A file's filter from those of the tasks that read a part of it."""
+    parts = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
+    return pa.table({"at": table.column("at").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
+
+
 def write_filters(spark: SparkSession, rows: str, key: Sequence[str], path: str) -> int:
     """Filters of all files below ``rows``; the number of rows. A file has at most FILE_ROWS."""
     keys = spark.read.parquet(rows).select(F.input_file_name().alias("file"), key_hash(key).alias("h"), F.col(key[0]).cast("string").alias("k"))
-
-    def build(table: pa.Table) -> pa.Table:
-        names = [x for x in table.column("k").to_pylist() if x is not None]
-        hashes = table.column("h").to_numpy()
-        return pa.table({"file": table.column("file").slice(0, 1), "n": [len(hashes)], "low": pa.array([min(names, default=None)], pa.string()), "high": pa.array([max(names, default=None)], pa.string()), "bits": pa.array([bloom(hashes)], pa.binary())})
-
-    keys.groupBy("file").applyInArrow(build, FILTERS).coalesce(4).write.parquet(path)
-    return spark.read.parquet(path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = keys.groupBy("file").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("file").collect()  # a row a file
+    if not ranges:
+        spark.createDataFrame([], FILTERS).write.parquet(path)
+        return 0
+    files = F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "at long, file string, n long, low string, high string"))
+    parts = keys.join(files.select("at", "file", "n"), "file").select("at", "n", "h").mapInArrow(partial_filters, "at long, bits binary")
+    whole = parts.groupBy("at").applyInArrow(either, "at long, bits binary")
+    whole.join(files, "at").select("file", "n", "low", "high", "bits").coalesce(4).write.parquet(path)
+    return sum(r.n for r in ranges)
 
 
 def candidates(spark: SparkSession, filters: Sequence[str], batch: DataFrame, key: Sequence[str]) -> list[str] | None:
     """The files that may hold a key of the batch; None if the batch is too large to ask for."""
     if not filters:
         return []
-    some = batch.select(key_hash(key).alias("h"), F.col(key[0]).cast("string").alias("k")).limit(MOST_KEYS + 1).collect()
-    if len(some) > MOST_KEYS:
+    some = batch.select(key_hash(key).alias("h"), F.col(key[0]).cast("string").alias("k")).limit(MOST_KEYS + 1)
+    if some.count() > MOST_KEYS:
         return None
-    names = [r.k for r in some if r.k is not None]
+    some = some.toArrow()  # at most MOST_KEYS
+    names = [x for x in some.column("k").to_pylist() if x is not None]
     if not names:
         return []
-    hashes = np.array([r.h for r in some], np.int64)
+    hashes = some.column("h").to_numpy()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:

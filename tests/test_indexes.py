@@ -221,3 +221,35 @@ def test_engine_searches_its_indexes(spark, tmp_path):
     C.rebuild_fts(engine.lake)
     assert "c0" not in {x[0] for x in got(5)} and len(got(5)) == 5
     assert [r.uuid for r in engine.get_session("s3", False).collect()] == []
+
+
+def test_filters_are_made_without_holding_the_keys():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        for at, n in ((0, 600_000), (1, 10)):
+            for begin in range(0, n, 10_000):
+                h = np.random.default_rng([at, begin]).integers(-(1 << 63), 1 << 63, min(n, 10_000), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), at)), pa.array(np.full(len(h), n)), pa.array(h)], names=["at", "n", "h"])
+
+    tracemalloc.start()
+    found = [b.to_pylist()[0] for b in keys.partial_filters(batches())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x["at"] for x in found] == [0, 1] and peak < 30_000_000
+    for at in (0, 1):
+        own = np.concatenate([b.column("h").to_numpy() for b in batches() if b.column("at")[0].as_py() == at])
+        assert found[at]["bits"] == keys.bloom(own)
+
+
+def test_rows_become_python_objects_a_few_at_a_time():
+    import pyarrow as pa
+
+    from loomtrace.functions import payload
+
+    seen = []
+    got = payload.by_steps(lambda some: seen.append(len(some)) or [len(x) for x in some], pa.int64(), pa.array(["ab"] * 1000))
+    assert got.to_pylist() == [2] * 1000 and max(seen) <= payload.STEP < 1000
+    assert payload.by_steps(lambda some: some, pa.string(), pa.array([], pa.string())).to_pylist() == []
