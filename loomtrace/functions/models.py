@@ -9,9 +9,11 @@ import math
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .payload import by_steps
+
 DIMENSIONS = 384
 
 
@@ -50,9 +52,9 @@ class OverlapReranker:
 def embed_udf(embedder) -> Callable:
     """M1 as an Arrow UDF."""
 
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series(embedder.embed([x or "" for x in texts]), dtype=object)
+    @F.arrow_udf("array<float>")
+    def embed(texts: pa.Array) -> pa.Array:
+        return by_steps(lambda some: embedder.embed([x or "" for x in some]), pa.list_(pa.float32()), texts)
 
     return embed
 
@@ -60,8 +62,8 @@ def embed_udf(embedder) -> Callable:
 def rerank_udf(reranker) -> Callable:
     """M2 as an Arrow UDF over (query, document)."""
 
-    @F.pandas_udf("double")
-    def rerank(query: pd.Series, docs: pd.Series) -> pd.Series:
-        return pd.Series([reranker.score(q, [d])[0] for q, d in zip(query, docs)], dtype=float)
+    @F.arrow_udf("double")
+    def rerank(query: pa.Array, docs: pa.Array) -> pa.Array:
+        return by_steps(lambda asked, some: [reranker.score(q, [d])[0] for q, d in zip(asked, some)], pa.float64(), query, docs)
 
     return rerank
