@@ -37,6 +37,8 @@ SAMPLE = 100_000
 MOST_CELLS = 4096
 #: Vectors of a file or block, queries of a block.
 BLOCK, QUERY_BLOCK = 50_000, 512
+#: Vectors that meet all centroids at a time: a row of distances for each.
+STEP = 512
 #: Queries of a group, about.
 QUERIES_TOGETHER = 20_000
 #: What rounding may take from a bound, and the digits of a distance.
@@ -99,7 +101,7 @@ def _into_cells(vectors: DataFrame, id_col: str, vector_col: str, dimensions: in
     norms = np.square(centroids).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
             u, fits = unit_rows(batch.column(1), dimensions)
             cell = np.argmin(norms[None, :] - 2 * u @ centroids.T, axis=1).astype(np.int32) if len(u) else np.zeros(0, np.int32)
             reach = np.sqrt(np.square(u - centroids[cell]).sum(axis=1))
