@@ -33,6 +33,14 @@ from .retrieval import B, K1
 GROUP, MOST_SEGMENTS, MERGED = 128, 8, 4
 
 
+def in_order(each: DataFrame) -> DataFrame:
+    """term, grp, id, len, tf to the rows of postings, in order. Ranges keep a term's group together, so
+    one shuffle both groups and orders. At most GROUP documents meet in a row."""
+    dealt = each.repartitionByRange("term", "grp")
+    rows = dealt.groupBy("term", "grp").agg(F.max("tf").alias("most_tf"), F.min("len").alias("least_len"), F.count("*").alias("n"), F.collect_list(F.struct("id", "len", "tf")).alias("docs"))
+    return rows.sortWithinPartitions("term", "grp")
+
+
 class TextIndex:
     """Below ``folder``: segments, and the pointer to those that count."""
 
@@ -76,9 +84,7 @@ class TextIndex:
         numbered.select("id", "len", "number").write.parquet(f"{path}/documents")
         length = self.spark.read.parquet(f"{path}/documents").agg(F.sum("len")).first()[0]
         each = numbered.select("id", "len", F.floor(F.col("number") / GROUP).alias("grp"), F.explode("w").alias("term")).groupBy("term", "grp", "id", "len").agg(F.count("*").alias("tf"))
-        # At most GROUP documents meet in a row.
-        rows = each.groupBy("term", "grp").agg(F.max("tf").alias("most_tf"), F.min("len").alias("least_len"), F.count("*").alias("n"), F.collect_list(F.struct("id", "len", "tf")).alias("docs"))
-        rows.repartitionByRange("term", "grp").sortWithinPartitions("term", "grp").write.parquet(f"{path}/postings")
+        in_order(each).write.parquet(f"{path}/postings")
         Files(self.spark).remove(f"{path}/words")
         return {"folder": name, "documents": total, "length": int(length), "groups": at}
 

@@ -253,3 +253,14 @@ def test_rows_become_python_objects_a_few_at_a_time():
     got = payload.by_steps(lambda some: seen.append(len(some)) or [len(x) for x in some], pa.int64(), pa.array(["ab"] * 1000))
     assert got.to_pylist() == [2] * 1000 and max(seen) <= payload.STEP < 1000
     assert payload.by_steps(lambda some: some, pa.string(), pa.array([], pa.string())).to_pylist() == []
+
+
+def test_postings_are_grouped_and_ordered_by_one_shuffle(spark):
+    from loomtrace.operators import text_index
+
+    each = spark.createDataFrame([(f"t{i % 7}", i % 3, i, 9, 1) for i in range(200)], "term string, grp long, id long, len int, tf long")
+    rows = text_index.in_order(each)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    got = rows.collect()
+    assert sorted((r.term, r.grp, d.id) for r in got for d in r.docs) == sorted((f"t{i % 7}", i % 3, i) for i in range(200)) and len(got) == 21
