@@ -7,7 +7,7 @@ driver, and gets back names of files."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -84,26 +84,36 @@ def either(table: pa.Table) -> pa.Table:
     return pa.table({"at": table.column("at").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
 
 
-def write_filters(spark: SparkSession, rows: str, key: Sequence[str], path: str) -> int:
-    """Filters of all files below ``rows``; the number of rows. A file has at most FILE_ROWS."""
-    keys = spark.read.parquet(rows).select(F.input_file_name().alias("file"), key_hash(key).alias("h"), F.col(key[0]).cast("string").alias("k"))
-    ranges = keys.groupBy("file").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("file").collect()  # a row a file
-    if not ranges:
-        spark.createDataFrame([], FILTERS).write.parquet(path)
-        return 0
-    files = F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "at long, file string, n long, low string, high string"))
-    parts = keys.join(files.select("at", "file", "n"), "file").select("at", "n", "h").mapInArrow(partial_filters, "at long, bits binary")
-    whole = parts.groupBy("at").applyInArrow(either, "at long, bits binary")
-    whole.join(files, "at").select("file", "n", "low", "high", "bits").coalesce(4).write.parquet(path)
+def write_filters(spark: SparkSession, rows: str, wanted: Mapping[str, Sequence[str]]) -> int:
+    """Filters of all files below ``rows``, for each folder those of its key; the number of rows. A file has
+    at most FILE_ROWS. The ranges of all keys are found in one pass."""
+    source, name = spark.read.parquet(rows), F.input_file_name().alias("file")
+    of = lambda key: F.col(key[0]).cast("string")
+    bounds = [x for i, key in enumerate(wanted.values()) for x in (F.min(of(key)).alias(f"low{i}"), F.max(of(key)).alias(f"high{i}"))]
+    ranges = sorted(source.select(name, "*").groupBy("file").agg(F.count("*").alias("n"), *bounds).collect())  # a row a file
+    for i, (path, key) in enumerate(wanted.items()):
+        if not ranges:
+            spark.createDataFrame([], FILTERS).write.parquet(path)
+            continue
+        files = F.broadcast(spark.createDataFrame([(at, r.file, r.n, r[f"low{i}"], r[f"high{i}"]) for at, r in enumerate(ranges)], "at long, file string, n long, low string, high string"))
+        hashes = source.select(name, key_hash(key).alias("h"))
+        parts = hashes.join(files.select("at", "file", "n"), "file").select("at", "n", "h").mapInArrow(partial_filters, "at long, bits binary")
+        whole = parts.groupBy("at").applyInArrow(either, "at long, bits binary")
+        whole.join(files, "at").select("file", "n", "low", "high", "bits").coalesce(4).write.parquet(path)
     return sum(r.n for r in ranges)
 
 
+def many(batch: DataFrame) -> bool:
+    """Whether a batch is too large to probe for."""
+    return batch.limit(MOST_KEYS + 1).count() > MOST_KEYS
+
+
 def candidates(spark: SparkSession, filters: Sequence[str], batch: DataFrame, key: Sequence[str]) -> list[str] | None:
     """The files that may hold a key of the batch; None if the batch is too large to ask for."""
     if not filters:
         return []
     some = batch.select(key_hash(key).alias("h"), F.col(key[0]).cast("string").alias("k")).limit(MOST_KEYS + 1)
-    if some.count() > MOST_KEYS:
+    if many(some):
         return None
     some = some.toArrow()  # at most MOST_KEYS
     names = [x for x in some.column("k").to_pylist() if x is not None]

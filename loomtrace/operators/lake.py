@@ -64,13 +64,18 @@ class Lake:
 
     def _write(self, name: str, rows: DataFrame) -> dict:
         """Rows and filters of a commit that no pointer names yet."""
+        return self._filtered(name, self._rows(name, rows))
+
+    def _rows(self, name: str, rows: DataFrame) -> str:
+        """The folder of a commit that has no filters yet."""
         folder = f"commit-{uuid.uuid4().hex}"
-        path = f"{self.root}/{name}/{folder}"
-        t = TABLES[name]
-        rows.write.option("maxRecordsPerFile", keys.FILE_ROWS).parquet(f"{path}/rows")
-        if t.by:
-            keys.write_filters(self.spark, f"{path}/rows", (t.by,), f"{path}/by")
-        return {"folder": folder, "n": keys.write_filters(self.spark, f"{path}/rows", t.key, f"{path}/keys")}
+        rows.write.option("maxRecordsPerFile", keys.FILE_ROWS).parquet(f"{self.root}/{name}/{folder}/rows")
+        return folder
+
+    def _filtered(self, name: str, folder: str) -> dict:
+        path, t = f"{self.root}/{name}/{folder}", TABLES[name]
+        by = {f"{path}/by": (t.by,)} if t.by else {}
+        return {"folder": folder, "n": keys.write_filters(self.spark, f"{path}/rows", {**by, f"{path}/keys": t.key})}
 
     def _discard(self, name: str, commit: dict) -> None:
         self.files.remove(f"{self.root}/{name}/{commit['folder']}")
@@ -128,17 +133,29 @@ class Lake:
         once = first_per_key(rows, t.key, order) if order else rows.dropDuplicates(list(t.key))
         for k in t.key:
             once = once.where(F.col(k).isNotNull())
-        once, seen, made = once.select(*t.columns).persist(), set(), None
+        # A batch that meets all files is joined as it is told apart, by the same shuffle. A smaller one is
+        # written first, as its keys are looked at twice; it stays as it is if no file may hold one of them.
+        left, seen, made, staged = once.select(*t.columns), set(), None, None
         try:
             while True:
                 version, now = pointer.read()
                 fresh = [c["folder"] for c in now if c["folder"] not in seen]
                 if made is None or fresh:
-                    left = once if made is None else self.read(name, [made["folder"]])
-                    kept = left.join(self._may_hold(name, fresh, left).select(*t.key), list(t.key), "left_anti")
-                    before, made = made, self._write(name, kept)
-                    if before:
-                        self._discard(name, before)
+                    every = made is None and bool(fresh) and keys.many(rows.select(*t.key))
+                    if made:
+                        left = self.read(name, [made["folder"]])
+                    elif not every:
+                        staged = self._rows(name, left)
+                        left = self.read(name, [staged])
+                    known = self.read(name, fresh) if every else self._may_hold(name, fresh, left)
+                    self.files_read = None if every else self.files_read
+                    if self.files_read != 0:
+                        kept = left.join(known.select(*t.key), list(t.key), "left_anti")
+                        before, made = made, self._write(name, kept)
+                        if before:
+                            self._discard(name, before)
+                    elif made is None:
+                        made, staged = self._filtered(name, staged), None
                     seen |= set(fresh)
                 if not made["n"]:
                     self._discard(name, made)
@@ -146,7 +163,8 @@ class Lake:
                 if pointer.swap(version, [*now, made]):
                     break
         finally:
-            once.unpersist()
+            if staged:
+                self._discard(name, {"folder": staged})
         self.compact(name, MOST_COMMITS)
         return made["n"]
 

@@ -264,3 +264,36 @@ def test_postings_are_grouped_and_ordered_by_one_shuffle(spark):
     assert plan.count("Exchange ") == 1
     got = rows.collect()
     assert sorted((r.term, r.grp, d.id) for r in got for d in r.docs) == sorted((f"t{i % 7}", i % 3, i) for i in range(200)) and len(got) == 21
+
+
+def test_a_commit_has_few_files_however_many_partitions_a_shuffle_has(spark, tmp_path):
+    lake, before = Lake(spark, str(tmp_path)), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        for first in (0, 200):  # new keys, then some that are known
+            assert lake.insert("records", records(spark, [f"k{i}" for i in range(first, first + 400)], "s")) == 400 - first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(lake.table("records").inputFiles()) <= 16 and lake.table("records").count() == 600
+
+
+def test_large_batches_meet_all_files_and_leave_nothing_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keys, "MOST_KEYS", 10)
+    lake = Lake(spark, str(tmp_path))
+    for first, new in ((0, 40), (20, 20), (20, 0), (55, 35)):
+        twice = [f"k{i}" for i in range(first, first + 40)] * 2
+        assert lake.insert("records", records(spark, [*twice, None], "s")) == new
+    assert lake.files_read is None and sorted(r.uuid for r in lake.table("records").collect()) == sorted(f"k{i}" for i in range(95))
+    assert sorted(x for x in lake.files.names(f"{tmp_path}/records") if x.startswith("commit-")) == sorted(lake.commits("records"))
+
+
+def test_a_batch_of_k1_reads_its_own_parts(spark, monkeypatch):
+    from loomtrace.plans import indexes
+
+    plans = []
+    monkeypatch.setattr(Lake, "insert", lambda self, name, rows, order=None: plans.append((rows.count(), rows._jdf.queryExecution().executedPlan().toString())))
+    monkeypatch.setattr(Lake, "table", lambda self, name: None)
+    indexes.k1_commits(spark, "/root/testdata/sf0.001")
+    every = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").count()
+    assert len(plans) == 14 and sum(n for n, _ in plans) == 2 * every
+    assert all("PartitionFilters: [part" in p and "InMemoryTableScan" not in p for _, p in plans)
