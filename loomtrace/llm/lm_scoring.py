@@ -10,7 +10,10 @@ overlap: ``stride`` targets of each window are scored, the other places are cont
 scored once. All windows of a step go through one batched product under a causal mask. The next id is
 given as a class of ids, then as one of its members:
 
-* classes: softmax over what the attention adds to the log-share of each class after the last id;
+* classes: softmax over what the attention adds to the log-share of each class after the last id, in
+  two steps: groups of 16 classes that follow alike ids, then the classes of the group. All classes
+  have their share, so nothing is sampled, but a target costs 8 + 16 of them instead of 128. What is
+  attended to, the last id and their products enter both steps;
 * members: the share of an id in its class after ids of the last id's class.
 
 What is learned from the training documents: counts of neighbouring ids over all of them, summed in
@@ -37,6 +40,7 @@ import base64
 import io
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +93,24 @@ class Speller(WordIds):
     def folded(self, text: bytes) -> bytes:
         return text.lower()
 
+    def forget(self) -> None:
+        super().forget()
+        self.counts, self.counts_of = np.zeros(0, np.int64), ""
+
+    def _shrink(self) -> None:
+        super()._shrink()
+        self.counts = self.counts[:0]
+
+    def hot_counts(self, names: np.ndarray, place: np.ndarray, path: str) -> np.ndarray:
+        """Of words that are numbered already: their counts in the table of hot words, or 0. Each is
+        looked up once while it stays."""
+        if self.counts_of != path:
+            self.counts, self.counts_of = self.counts[:0], path
+        self.counts = np.concatenate([self.counts, np.full(len(self.number) - len(self.counts), -1, np.int64)])
+        new = np.flatnonzero(self.counts[place] < 0)
+        self.counts[place[new]] = np.fromiter(map(hot_words(path).get, names[new].tolist(), repeat(0)), np.int64, len(new))
+        return self.counts[place]
+
     def words(self, words: list[bytes]) -> list[bytes]:
         """Words without white space of other kinds are cut alike alone and in a row, where only
         their first ids start with a blank; so many go into one call."""
@@ -146,71 +168,135 @@ def exponentials(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e, total
 
 
+#: Classes of a group; a class is chosen among the groups, then in its own.
+GROUP = 16
+
+
 class Attention:
-    """Single-head causal self-attention over id vectors, with a softmax over classes. Before a text
-    stands its vocabulary's end."""
+    """Single-head causal self-attention over id vectors, which predicts a class: first its group of
+    ``GROUP`` classes that follow each other, by one softmax, then the class in its group, by another.
+    Before a text stands its vocabulary's end."""
 
     def __init__(self, prior: np.ndarray, classes: np.ndarray, member: np.ndarray, vectors: np.ndarray, s: ModelSettings):
         """prior: natural log-share of each class after each id; classes: of each id; member: log10
         share of each id in its class, after each class; vectors: of each id."""
         random = np.random.default_rng(s.seed)
-        d = s.width
-        self.s, self.prior, self.classes, self.member, self.end = s, prior, classes, member, len(classes) - 1
+        d, groups = s.width, -(-s.classes // GROUP)
+        self.s, self.prior, self.classes, self.member, self.end, self.groups = s, prior, classes, member, len(classes) - 1, groups
+        self.group_of, self.within = (classes // GROUP).astype(np.uint16), classes % GROUP
         small = lambda *shape: (random.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.w = {"q": small(d, d), "k": small(d, d), "v": small(d, d), "o": np.zeros((d, s.classes), np.float32), "e": np.zeros((d, s.classes), np.float32), "p": np.zeros((s.stride, s.context), np.float32), "b": np.zeros(s.classes, np.float32), "x": vectors.astype(np.float32)}
+        none = lambda *shape: np.zeros(shape, np.float32)
+        self.w = {"q": small(d, d), "k": small(d, d), "v": small(d, d), "o": none(d, s.classes), "e": none(d, s.classes), "i": none(d, s.classes), "b": none(s.classes), "go": none(d, groups), "ge": none(d, groups), "gi": none(d, groups), "gb": none(groups), "p": none(s.stride, s.context), "x": vectors.astype(np.float32)}
         key, query = np.arange(s.context), np.arange(s.context - s.stride, s.context)
         self.mask = np.where(key[None, :] <= query[:, None], 0, -1e9).astype(np.float32)
         self.step = 0
-        self.mean = {n: np.zeros_like(m) for n, m in self.w.items() if n != "x"}
-        self.square = {n: np.zeros_like(m) for n, m in self.w.items() if n != "x"}
+        self.mean = self.square = None
         self.moved = np.full(len(vectors), 1e-8, np.float32)
+        self.table = None
+
+    def shares(self) -> None:
+        """The prior as a table by id and group: log-shares of the groups after the id, then of the
+        group's classes, up to what cancels in their softmax. A short last group is filled up."""
+        size, groups = len(self.prior), self.groups
+        inner = np.full((size, groups * GROUP), -1e4, np.float32)
+        inner[:, : self.s.classes] = self.prior
+        inner = inner.reshape(size, groups, GROUP)
+        self.table = np.empty((size, groups, groups + GROUP), np.float32)
+        self.table[:, :, groups:] = inner
+        self.table[:, :, :groups] = np.log(np.exp(inner).sum(axis=2))[:, None, :]
+        self.table = self.table.reshape(-1, groups + GROUP)
+        self.ends = np.zeros((groups + GROUP, 2), np.float32)
+        self.ends[:groups, 0] = self.ends[groups:, 1] = 1
+
+    def columns(self, outer: np.ndarray, inner: np.ndarray) -> list[np.ndarray]:
+        """For each group, the columns of all groups and those of its classes."""
+        out = np.zeros((self.groups, len(outer), self.groups + GROUP), np.float32)
+        out[:, :, : self.groups] = outer
+        for g in range(self.groups):
+            own = inner[:, GROUP * g : GROUP * (g + 1)]
+            out[g, :, self.groups : self.groups + own.shape[1]] = own
+        return list(out)
+
+    def by_group(self, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Of targets: an order in which groups stand together; in it the groups and the places of the
+        classes in their group; where each group that occurs begins and ends."""
+        group = np.take(self.group_of, after)
+        order = np.argsort(group, kind="stable")
+        group = np.take(group, order).astype(np.int64)
+        cuts = np.searchsorted(group, np.arange(self.groups + 1)).tolist()
+        return order, group, np.take(self.within, np.take(after, order)), [(g, i, j) for g, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
 
-    def mix(self, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and weighted values of each window's queries."""
+    def gradients(self, before: np.ndarray, after: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """before: input ids of each window. Mean loss of the targets' classes, its gradients, and that
+        of each input's vector. Classes are chosen in order of their groups, a group's in one product."""
+        s, w, d, groups = self.s, self.w, self.s.width, self.groups
+        if self.table is None:
+            self.shares()
+        many, scale = len(before), np.float32(1 / np.sqrt(d))
+        last = before[:, s.context - s.stride :].reshape(-1)
+        x, own = np.take(w["x"], before.reshape(-1), axis=0), np.take(w["x"], last, axis=0)
+        pairs, query = np.concatenate([w["k"], w["v"]], axis=1), w["q"] * scale
+        both = (x @ pairs).reshape(many, s.context, 2 * d)
+        q, k, v = (own @ query).reshape(many, s.stride, d), both[:, :, :d], both[:, :, d:]
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= np.float32(1 / np.sqrt(self.s.width))
-        a += self.w["p"] + self.mask
+        a += w["p"] + self.mask
         a, total = exponentials(a)
         a /= total[:, :, None]
-        return a, np.matmul(a, v)
-
-    def gradients(self, before: np.ndarray, after: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """before: input ids of each window. Mean loss of the targets' classes, its gradients, and that
-        of each input's vector. What is as wide as the classes is one array, changed in place."""
-        s, w, d = self.s, self.w, self.s.width
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        last = before[:, s.context - s.stride :]
-        x = np.take(w["x"], before, axis=0)
-        own = np.ascontiguousarray(x[:, s.context - s.stride :])
-        both = x @ np.concatenate([w["k"], w["v"]], axis=1)
-        q, k, v = own @ w["q"], both[:, :, :d], both[:, :, d:]
-        a, h = self.mix(q, k, v)
-        # A target's features: what it attends to, its last id and 1, for the bias.
-        given = np.concatenate([flat(h), flat(own), np.ones((last.size, 1), np.float32)], axis=1)
-        out = np.concatenate([w["o"], w["e"], w["b"][None, :]])
-        z = given @ out
-        z += np.take(self.prior, last.reshape(-1), axis=0)
-        rows, want = np.arange(len(z)), self.classes[after.reshape(-1)]
-        share = real.reshape(-1).astype(np.float32) / np.float32(max(1, real.sum()))
-        z, total = exponentials(z)
-        loss = float(((np.log(total) - np.log(np.maximum(z[rows, want], 1e-37))) * share).sum())
-        z *= (share / total)[:, None]
-        z[rows, want] -= share
-        found = dict(zip(("o", "e", "b"), np.split(given.T @ z, [d, 2 * d])))
-        found["b"] = found["b"][0]
-        back = z @ out[: 2 * d].T
-        dh = np.ascontiguousarray(back[:, :d]).reshape(h.shape)
+        h = np.matmul(a, v)
+        # A target's features: what it attends to, its last id, their products and 1, for the bias.
+        given = np.ones((len(last), 3 * d + 1), np.float32)
+        given[:, :d], given[:, d : 2 * d] = h.reshape(-1, d), own
+        np.multiply(given[:, :d], own, out=given[:, 2 * d : 3 * d])
+        order, group, within, parts = self.by_group(after.reshape(-1))
+        given = np.take(given, order, axis=0)
+        out = self.columns(np.concatenate([w["go"], w["ge"], w["gi"], w["gb"][None, :]]), np.concatenate([w["o"], w["e"], w["i"], w["b"][None, :]]))
+        z = np.take(self.table, np.take(last, order) * groups + group, axis=0)
+        for g, i, j in parts:
+            z[i:j] += given[i:j] @ out[g]
+        share = np.take(real.reshape(-1), order).astype(np.float32) / np.float32(max(1, real.sum()))
+        with np.errstate(over="ignore", invalid="ignore"):
+            e = np.exp(z)
+            totals = e @ self.ends
+        if not (totals.min() > 1e-15 and totals.max() < 1e15):
+            for part in (z[:, :groups], z[:, groups:]):
+                part -= part.max(axis=1, keepdims=True)
+            e = np.exp(z)
+            totals = e @ self.ends
+        e *= (1 / totals) @ self.ends.T
+        start = np.arange(0, e.size, e.shape[1])
+        flat, one, two = e.reshape(-1), start + group, start + groups + within
+        loss = -float(np.log(np.maximum(np.take(flat, one) * np.take(flat, two), 1e-37)) @ share)
+        flat[one] -= 1
+        flat[two] -= 1
+        e *= share[:, None]
+        of_inner, of_outer = np.zeros((3 * d + 1, groups * GROUP), np.float32), np.zeros((3 * d + 1, groups), np.float32)
+        back = np.empty((len(order), 3 * d), np.float32)
+        for g, i, j in parts:
+            slope = given[i:j].T @ e[i:j]
+            of_outer += slope[:, :groups]
+            of_inner[:, GROUP * g : GROUP * (g + 1)] = slope[:, groups:]
+            np.matmul(e[i:j], out[g][: 3 * d].T, out=back[i:j])
+        of_inner = of_inner[:, : s.classes]
+        found = {"o": of_inner[:d], "e": of_inner[d : 2 * d], "i": of_inner[2 * d : 3 * d], "b": of_inner[3 * d], "go": of_outer[:d], "ge": of_outer[d : 2 * d], "gi": of_outer[2 * d : 3 * d], "gb": of_outer[3 * d]}
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        back = np.take(back, place, axis=0)
+        of_products = back[:, 2 * d :]
+        dh = (back[:, :d] + of_products * own).reshape(h.shape)
+        down = back[:, d : 2 * d] + of_products * h.reshape(-1, d)
         da = np.matmul(dh, v.transpose(0, 2, 1))
-        da -= (dh * h).sum(axis=2, keepdims=True)  # what the weights' sum of 1 takes off
+        da -= np.einsum("bsd,bsd->bs", dh, h)[:, :, None]  # what the weights' sum of 1 takes off
         ds = np.multiply(a, da, out=da)
-        scale = np.float32(1 / np.sqrt(d))
-        dq = np.matmul(ds, k) * scale
-        dboth = np.concatenate([np.matmul(ds.transpose(0, 2, 1), q) * scale, np.matmul(a.transpose(0, 2, 1), dh)], axis=2)
-        of_keys, of_values = np.split(flat(x).T @ flat(dboth), 2, axis=1)
-        found |= {"p": ds.sum(0), "q": flat(own).T @ flat(dq), "k": of_keys, "v": of_values}
-        dx = dboth @ np.concatenate([w["k"], w["v"]], axis=1).T
-        dx[:, s.context - s.stride :] += dq @ w["q"].T + back[:, d:].reshape(own.shape)
-        return loss, found, flat(dx)
+        dq = np.matmul(ds, k).reshape(-1, d)
+        dboth = np.empty_like(both)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dboth[:, :, :d])
+        np.matmul(a.transpose(0, 2, 1), dh, out=dboth[:, :, d:])
+        dboth = dboth.reshape(-1, 2 * d)
+        of_keys, of_values = np.split(x.T @ dboth, 2, axis=1)
+        found |= {"p": ds.sum(0), "q": own.T @ dq * scale, "k": of_keys, "v": of_values}
+        dx = dboth @ pairs.T
+        dx.reshape(many, s.context, d)[:, s.context - s.stride :] += (dq @ query.T + down).reshape(h.shape)
+        return loss, found, dx
 
     def learn(self, before: np.ndarray, after: np.ndarray, real: np.ndarray) -> float:
         """One step of Adam on these windows; returns the mean loss of their classes."""
@@ -219,17 +305,26 @@ class Attention:
         self.step += 1
         t = self.step
         rate = s.rate / (1 + t / 2000)
-        for n, g in found.items():
-            self.mean[n] += 0.1 * (g - self.mean[n])
-            self.square[n] += 0.01 * (g * g - self.square[n])
-            w[n] -= (rate * (self.mean[n] / (1 - 0.9**t)) / (np.sqrt(self.square[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        # The weights' steps in one piece.
+        g = np.concatenate([m.reshape(-1) for m in found.values()])
+        if self.mean is None:
+            self.mean, self.square = np.zeros_like(g), np.zeros_like(g)
+        self.mean += np.float32(0.1) * (g - self.mean)
+        self.square += np.float32(0.01) * (g * g - self.square)
+        g, at = np.float32(rate / (1 - 0.9**t)) * self.mean / (np.sqrt(self.square * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-8)), 0
+        for n, m in found.items():
+            w[n] -= g[at : at + m.size].reshape(m.shape)
+            at += m.size
         # Vectors of the ids that occur, each by its own history.
         ids = before.reshape(-1).astype(_width(len(self.classes)))  # short ones sort faster
         order = np.argsort(ids, kind="stable")
-        at = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
-        seen, g = ids[order][at], np.add.reduceat(dx[order], at, axis=0)
-        self.moved[seen] += (g * g).mean(axis=1)
-        w["x"][seen] -= rate * g / np.sqrt(self.moved[seen])[:, None]
+        ids = np.take(ids, order)
+        at = np.append(0, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
+        seen, g = ids[at], np.add.reduceat(np.take(dx, order, axis=0), at, axis=0)
+        moved = self.moved[seen] + np.einsum("nd,nd->n", g, g) / np.float32(s.width)
+        self.moved[seen] = moved
+        g *= (np.float32(-rate) / np.sqrt(moved))[:, None]
+        w["x"][seen] += g
         return loss
 
     def fit(self, ids: np.ndarray, lengths: np.ndarray, random: np.random.Generator, steps: int | None = None, share: float | None = None) -> list[float]:
@@ -243,37 +338,41 @@ class Attention:
             picks = np.array_split(chosen, max(1, len(chosen) // self.s.batch)) if len(chosen) else []
         else:
             picks = (random.integers(0, len(inputs), self.s.batch) for _ in range(steps))
-        return [self.learn(self.before(ids, inputs[p]), ids[np.maximum(targets[p], 0)], targets[p] >= 0) for p in picks]
+        ended = np.append(ids, self.end)  # place -1 holds the end
+        return [self.learn(np.take(ended, inputs[p]), np.take(ended, targets[p]), targets[p] >= 0) for p in picks]
 
     def before(self, ids: np.ndarray, inputs: np.ndarray) -> np.ndarray:
         return np.where(inputs >= 0, ids[inputs], self.end)
 
     def ready(self) -> None:
-        """Products of every id's vector, once, for scoring. What is the same for all keys or all
+        """Products of every id's vector, once, for scoring. What is the same for all keys, groups or
         classes of a place cancels out, so maxima need be taken off only where norms allow large
         exponents."""
-        w = self.w
+        w, d, groups = self.w, self.s.width, self.groups
         norm = lambda m, axis: float(np.sqrt((m * m).sum(axis=axis)).max())
-        self.queries = w["x"] @ w["q"] * np.float32(1 / np.sqrt(self.s.width))
+        self.queries = w["x"] @ w["q"] * np.float32(1 / np.sqrt(d))
         self.pairs = np.concatenate([w["x"] @ w["k"], w["x"] @ w["v"]], axis=1)
         self.bias = w["p"] + self.mask
-        self.start = self.prior.astype(np.float32)
-        self.start += w["x"] @ w["e"] + w["b"]
-        self.start -= self.start.max(axis=1, keepdims=True)
-        d = self.s.width
+        if self.table is None:
+            self.shares()
+        self.out = self.columns(np.concatenate([w["go"], w["gi"]]), np.concatenate([w["o"], w["i"]]))
+        table = self.table.reshape(-1, groups, groups + GROUP)
+        for g, (m, bias) in enumerate(zip(self.columns(w["ge"], w["e"]), self.columns(w["gb"][None, :], w["b"][None, :]))):
+            table[:, g] += w["x"] @ m + bias
+        for part in (self.table[:, :groups], self.table[:, groups:]):
+            part -= part.max(axis=1, keepdims=True)
         self.large_mix = norm(self.queries, 1) * norm(self.pairs[:, :d], 1) + np.abs(w["p"]).max() > 80
-        self.large_sum = norm(self.pairs[:, d:], 1) * norm(w["o"], 0) > 80
+        self.large_sum = norm(self.pairs[:, d:], 1) * max(norm(m, 0) for m in self.out) * max(1, np.abs(w["x"]).max()) > 80
         self.prior = None
 
     def scores(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of every id, each once."""
-        s, d = self.s, self.s.width
+        s, d, groups = self.s, self.s.width, self.groups
         inputs, targets = windows(lengths, s)
         out = np.zeros(len(ids), np.float64)
-        ones = np.ones(s.classes, np.float32)
-        z, start = (np.empty((256 * s.stride, s.classes), np.float32) for _ in range(2))
-        for i in range(0, len(inputs), 256):
-            before, at = self.before(ids, inputs[i : i + 256]), targets[i : i + 256]
+        ended, ones, member = np.append(ids, self.end), np.ones(s.context, np.float32), self.member.reshape(-1)
+        for n in range(0, len(inputs), 256):
+            before, at = np.take(ended, inputs[n : n + 256]), targets[n : n + 256].reshape(-1)
             last = before[:, s.context - s.stride :]
             both = np.take(self.pairs, before, axis=0)
             a = np.matmul(np.take(self.queries, last, axis=0), both[:, :, :d].transpose(0, 2, 1))
@@ -282,18 +381,22 @@ class Attention:
                 a -= a.max(axis=2, keepdims=True)
             np.exp(a, out=a)
             h = np.matmul(a, both[:, :, d:])
-            h /= a.sum(axis=2, keepdims=True)
-            rows = last.size
-            np.matmul(h.reshape(-1, d), self.w["o"], out=z[:rows])
-            np.take(self.start, last.reshape(-1), axis=0, out=start[:rows], mode="clip")
-            z[:rows] += start[:rows]
+            h /= (a @ ones)[:, :, None]
+            want = np.take(ended, at)
+            order, group, within, parts = self.by_group(want)
+            h, last, want, at = np.take(h.reshape(-1, d), order, axis=0), np.take(last.reshape(-1), order), np.take(want, order), np.take(at, order)
+            h = np.concatenate([h, h * np.take(self.w["x"], last, axis=0)], axis=1)
+            z = np.take(self.table, last * groups + group, axis=0)
+            for g, i, j in parts:
+                z[i:j] += h[i:j] @ self.out[g]
             if self.large_sum:
-                z[:rows] -= z[:rows].max(axis=1, keepdims=True)
+                for part in (z[:, :groups], z[:, groups:]):
+                    part -= part.max(axis=1, keepdims=True)
+            start = np.arange(0, z.size, z.shape[1])
+            chosen = np.take(z, start + group) + np.take(z, start + groups + within)
+            total = np.log(np.exp(z, out=z) @ self.ends)
+            found = (chosen - total[:, 0] - total[:, 1]) / np.log(10) + np.take(member, np.take(self.classes, last) * len(self.classes) + want)
             real = at >= 0
-            want = ids[np.maximum(at, 0)]
-            chosen = z[np.arange(rows), self.classes[want].reshape(-1)].reshape(real.shape)
-            total = np.log(np.exp(z[:rows], out=z[:rows]) @ ones).reshape(real.shape)
-            found = (chosen - total) / np.log(10) + self.member[self.classes[last], want]
             out[at[real]] = found[real]
         return out
 
@@ -305,6 +408,21 @@ def hashed_bin(ids: np.ndarray, bins: int) -> np.ndarray:
     return (ids.astype(np.int64) * 2654435761 >> 7) % bins
 
 
+def alike(centres: np.ndarray) -> np.ndarray:
+    """The centres' numbers in an order where ``GROUP`` that follow each other are alike: halves along
+    the leading direction, again and again, each half a number of whole groups."""
+
+    def halves(rows: np.ndarray) -> list[np.ndarray]:
+        if len(rows) <= GROUP:
+            return [rows]
+        centred = centres[rows] - centres[rows].mean(axis=0)
+        rows = rows[np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")]
+        half = -(-len(rows) // (2 * GROUP)) * GROUP
+        return halves(rows[:half]) + halves(rows[half:])
+
+    return np.concatenate(halves(np.arange(len(centres))))
+
+
 def classes_and_vectors(rows: pa.Table, size: int, s: ModelSettings) -> tuple[np.ndarray, np.ndarray]:
     """rows: side (0: what follows, 1: what precedes), id, bin, n. Classes by k-means, vectors by the
     leading directions of the neighbour counts. Ids without a count have class id mod ``classes``."""
@@ -324,7 +442,7 @@ def classes_and_vectors(rows: pa.Table, size: int, s: ModelSettings) -> tuple[np
         for c in range(len(centres)):
             if (own == c).any():
                 centres[c] = np.average(points[own == c], axis=0, weights=weight[own == c])
-    classes[live] = own
+    classes[live] = np.argsort(alike(centres[:, s.bins :]))[own]  # by what precedes
     centred = points - (points * weight[:, None]).sum(0) / weight.sum()
     scaled = centred * np.sqrt(weight)[:, None]
     found = centred @ np.linalg.eigh(scaled.T @ scaled)[1][:, ::-1][:, : s.width]
@@ -448,12 +566,13 @@ def spell_documents(source: DataFrame, hot: str, vocabulary: str, pattern: str)
     words are hot, the sum of their log10(count + 1), and the other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts_of = speller(vocabulary, pattern), hot_words(hot)
+        own = speller(vocabulary, pattern)
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
                 texts = as_bytes(part.column("text"))
-                names, index, counts = found = numbered([own.folded(x) for x in texts])
-                n = np.array([counts_of.get(w, 0) for w in names.tolist()], np.int64)[index]
+                names, index, counts = numbered([own.folded(x) for x in texts])
+                place = own.places(names)
+                n = own.hot_counts(names, place, hot)[index]
                 doc = np.repeat(np.arange(len(texts)), counts)
                 known = np.bincount(doc[n > 0], minlength=len(texts))
                 base = np.bincount(doc, weights=np.log10(n + 1), minlength=len(texts))
@@ -461,7 +580,7 @@ def spell_documents(source: DataFrame, hot: str, vocabulary: str, pattern: str)
                 key, times = np.unique(doc[cold] * len(names) + index[cold], return_counts=True)
                 offsets = np.searchsorted(key, np.arange(len(texts) + 1) * len(names)).astype(np.int32)
                 words = pa.StructArray.from_arrays([pa.array(names[key % max(1, len(names))], pa.binary()), pa.array(times.astype(np.int64))], names=["word", "k"])
-                ids, sizes = own.gather(*found)
+                ids, sizes = own.gather(place, index, counts)
                 every = np.full(len(ids) + len(texts), own.end, _width(own.size))
                 every[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), sizes)] = ids
                 raw, ends = every.tobytes(), np.append(0, np.cumsum(sizes + 1)) * every.itemsize
@@ -578,7 +697,8 @@ def _average(training: DataFrame, path: str, width: str, s: ModelSettings, model
         _clear()
         task = TaskContext.get().partitionId()
         own, random, seen = load_model(path, s), np.random.default_rng([s.seed, task]), 0
-        own.prior = own.prior.astype(np.float32)  # once, not for each target
+        own.shares()  # once, not for each target
+        own.prior = own.member = None
         own.step = s.warm_steps
         for batch in batches:
             for part in pieces(batch, "ids", 4 << 20):

@@ -27,6 +27,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -193,21 +194,28 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
-        return self.gather(*numbered([self.folded(x) for x in texts]))
+        names, index, counts = numbered([self.folded(x) for x in texts])
+        return self.gather(self.places(names), index, counts)
 
-    def gather(self, names: np.ndarray, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words that are numbered already."""
+    def places(self, names: np.ndarray) -> np.ndarray:
+        """The numbers of distinct words, which stay until the next call; new ones are spelled."""
         if len(self.number) > self.most_words or self.held_bytes > self.most_bytes:
             self._shrink()
-        number = self.number
-        new = [w for w in names.tolist() if w not in number]
-        number.update(zip(new, range(len(number), len(number) + len(new))))
+        number, listed = self.number, names.tolist()
+        place = np.fromiter(map(number.get, listed, repeat(-1)), np.int64, len(listed))
+        fresh = np.flatnonzero(place < 0)
+        new = [listed[i] for i in fresh.tolist()]
+        place[fresh] = np.arange(len(number), len(number) + len(new))
+        number.update(zip(new, place[fresh].tolist()))
         self.held_bytes += sum(map(len, new))
         spelled = self.words(new)
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(spelled), "<u4")])
         self.ends_at = np.concatenate([self.ends_at, self.ends_at[-1] + np.cumsum([len(x) // 4 for x in spelled], dtype=np.int64)])
-        place = np.array([number[w] for w in names.tolist()], np.int64)
         self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        return place
+
+    def gather(self, place: np.ndarray, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same as ``encode`` for words that are numbered already: each word is one of ``place``."""
         self.seen[place] += np.bincount(index, minlength=len(place))
         words = place[index]
         starts, sizes = self.ends_at[words], np.diff(self.ends_at)[words]

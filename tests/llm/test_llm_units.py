@@ -252,6 +252,90 @@ def test_attention_is_causal_and_its_gradients_are_right():
     assert np.allclose(own[:20], model.scores(changed, lengths)[:20]) and not np.allclose(own[21:], model.scores(changed, lengths)[21:])
 
 
+def two_steps_by_position(model, ids, s):
+    """log10 probabilities of one text's classes, one place at a time: of all classes after each place."""
+    w = {k: m.astype(np.float64) for k, m in model.w.items()}
+    group, out = np.arange(s.classes) // L.GROUP, []
+    for i in range(len(ids)):
+        nth, query = divmod(i, s.stride)
+        first = nth * s.stride + s.stride - s.context
+        before = [(j - first, ids[j - 1] if j > 0 else model.end) for j in range(first, i + 1)]
+        x = w["x"][before[-1][1]]
+        a = np.exp([x @ w["q"] @ (w["x"][b] @ w["k"]) / np.sqrt(s.width) + w["p"][query, k] for k, b in before])
+        h = sum(p * (w["x"][b] @ w["v"]) for p, (_, b) in zip(a / a.sum(), before))
+        share = np.exp(model.prior[before[-1][1]].astype(np.float64))
+        of_group = np.bincount(group, weights=share) * np.exp(h @ w["go"] + x @ w["ge"] + (h * x) @ w["gi"] + w["gb"])
+        of_class = share * np.exp(h @ w["o"] + x @ w["e"] + (h * x) @ w["i"] + w["b"])
+        out.append(np.log10((of_group / of_group.sum())[group] * of_class / np.bincount(group, weights=of_class)[group]))
+    return np.array(out)
+
+
+def test_classes_are_chosen_by_group_then_within_it():
+    """A target costs the groups and one group's classes, not all classes; the last group may be short."""
+    s = L.ModelSettings(classes=20, width=4, context=6, stride=3, batch=8)
+    model, rng = small_model(s, size=41), np.random.default_rng(6)
+    for name in ("i", "go", "ge", "gi", "gb", "b"):
+        model.w[name] = rng.standard_normal(model.w[name].shape).astype(np.float32) / 2
+    ids = rng.integers(0, 40, 30)
+    inputs, targets = L.windows(np.array([30]), s)
+    before, after, real = model.before(ids, inputs), ids[np.maximum(targets, 0)], targets >= 0
+    want = two_steps_by_position(model, ids.tolist(), s)
+    assert np.allclose((10.0**want).sum(axis=1), 1)
+    chosen = want[np.arange(30), model.classes[ids]]
+    loss, grads, dx = model.gradients(before, after, real)
+    assert loss == pytest.approx(-np.log(10) * chosen.mean(), rel=1e-4)
+    grads["x"] = np.zeros_like(model.w["x"])
+    np.add.at(grads["x"], before.reshape(-1), dx)
+    assert set(grads) == set(model.w)
+    for name, g in grads.items():
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, losses = model.w[name][i], []
+        for step in (1e-2, -1e-2):
+            model.w[name][i] = old + step
+            losses.append(model.gradients(before, after, real)[0])
+        model.w[name][i] = old
+        assert abs(g[i]) > 1e-3 and (losses[0] - losses[1]) / 2e-2 == pytest.approx(g[i], rel=0.05, abs=1e-3)
+    model.ready()
+    member = model.member[model.classes[np.append(model.end, ids[:-1])], ids]
+    assert np.allclose(model.scores(ids, np.array([30])), chosen + member, atol=1e-4)
+    wide = small_model(L.ModelSettings(), size=300)
+    wide.ready()
+    assert {m.shape[1] for m in wide.out} == {8 + L.GROUP} and wide.s.classes == 128
+
+
+def test_centres_that_are_alike_share_a_group():
+    rng = np.random.default_rng(8)
+    kind = rng.permutation(np.repeat(np.arange(4), L.GROUP))
+    order = L.alike(rng.standard_normal((4, 9))[kind] * 9 + rng.standard_normal((4 * L.GROUP, 9)) / 9)
+    assert sorted(order.tolist()) == list(range(4 * L.GROUP))
+    assert all(len(set(kind[order[i : i + L.GROUP]].tolist())) == 1 for i in range(0, len(kind), L.GROUP))
+    assert sorted(L.alike(rng.standard_normal((21, 3))).tolist()) == list(range(21))
+
+
+def test_counts_of_hot_words_are_looked_up_once_and_follow_their_table():
+    import public_tokenizers
+
+    from loomtrace.llm.queries import LOSSLESS
+
+    own = L.Speller(tokenizer_path(LOSSLESS), public_tokenizers.PATTERN, most_words=4)
+    tables = {"one": {b"a": 5, b"b": 2}, "two": {b"a": 7}}
+    asked, real = [], L.hot_words
+
+    class Asked(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    try:
+        L.hot_words = lambda path: Asked(tables[path])
+        for path, words, want, looked in (("one", [b"a", b"x"], [5, 0], 2), ("one", [b"x", b"b", b"a"], [0, 2, 5], 1), ("two", [b"a", b"b"], [7, 0], 2), ("two", [b"c", b"d", b"e"], [0, 0, 0], 3), ("two", [b"e", b"a"], [0, 7], 2)):
+            asked.clear()
+            names = np.array(words, object)
+            assert own.hot_counts(names, own.places(names), path).tolist() == want and len(asked) == looked
+    finally:
+        L.hot_words = real
+
+
 def test_ids_of_words_are_their_bytes():
     import public_tokenizers
 
